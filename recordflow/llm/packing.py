@@ -8,7 +8,8 @@ run without one (a penalty each). With f(j) the least cost of the stream up to c
 
 where padding is 0 for a power of two, else width minus length. The second kind is a
 sliding-window minimum of f(i) + P(i), held in a monotone queue, so every state costs
-amortised constant time; the powers of two are a dozen look-ups more. The stream is
+amortised constant time; of the powers of two, half and a quarter of the width are looked
+up (shorter sequences are made of a partition's end only). The stream is
 settled in stretches of about ``stretch`` ids, and the last, still open windows of a
 stretch go on to the next one, so memory is bounded by a stretch and one document.
 
@@ -20,65 +21,104 @@ whole; clashing names among other columns don't matter, as two columns are selec
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.shared import Recent, slabs
 
-SENTENCE = re.compile(r"(?<=[.!?…])[ \n]+|\n")
-#: A word with marks after it is encoded as two parts, as the tokenizer's own split does.
-MARKED = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?%&#$*|()\-]+)")
-AFTER_SENTENCE, INSIDE = 4.0, 64.0
+ENDS = {".", "!", "?", "…", "\n"}
+#: Letters and these marks are parts of their own to the tokenizer's split.
+MARKS = ".,;:!?%&#$*|()-"
+AFTER_SENTENCE, INSIDE, LONG = 4.0, 64.0, 256
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Words(dict):
+    """The ids of a word, four bytes each, remembered. Of about ``keep`` entries the new
+    become the old and the old go. Words without spaces and line feeds only: these the
+    tokenizer drops and never joins over."""
+
+    def __init__(self, tokenizer, keep: int):
+        super().__init__()
+        self.encode, self.keep = tokenizer.encode, keep
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def part(self, p: str) -> bytes:
+        ids = self.parts.get(p)
+        if ids is None:
+            ids = self.old_parts.get(p)
+            if ids is None:
+                ids = array("I", self.encode(p, add_special_tokens=False).ids).tobytes()
+            self.parts[p] = ids
+        return ids
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                ids = self.part(stem.lower() if stem.isascii() else stem)
+                if len(stem) < len(w):
+                    ids += self.part(w[len(stem) :])
+            else:
+                ids = array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
+        self[w] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        if len(self.parts) > self.keep * 5 // 3:
+            self.old_parts, self.parts = self.parts, {}
+
+
 class WordIds:
-    """Ids of whole texts, four bytes each, through a bounded memory of words. Words are
-    cut at spaces and line feeds only, which the tokenizer drops and never joins over."""
+    """Ids of whole texts, and where their sentences end."""
 
     def __init__(self, path: str, keep: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known, self.parts = Recent(keep), Recent(keep // 2)
-        self.known.update({"": b""})
-
-    def _learn(self, new: list[str], into: Recent) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            into[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        distinct: set[str] = set()
-        for t in texts:
-            distinct.update(t.replace("\n", " ").split(" "))
-        split, whole = [], []
-        for w in self.known.missing(distinct):
-            low = w.lower() if w.isascii() else w
-            if m := MARKED.fullmatch(low):
-                split.append((w, m[1], m[2]))
-            elif low.isalpha():
-                split.append((w, low, ""))
-            else:
-                whole.append(w)
-        self._learn(whole, self.known)
-        self._learn(self.parts.missing({x for s in split for x in s[1:]}), self.parts)
-        for w, a, b in split:
-            self.known[w] = self.parts[a] + self.parts[b]
-
-    def sentences(self, text: str) -> list[bytes]:
-        get = self.known.__getitem__
-        return [b"".join(map(get, s.split(" "))) for s in SENTENCE.split(text)]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known = Words(tokenizer, keep)
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Of each text its ids, and the number of ids before each sentence's end. Words
+        are numbered by Arrow, each distinct one is looked up once, and the ids of all
+        occurrences are gathered at once."""
+        self.known.trim()
+        spaced = pc.replace_substring(pc.fill_null(column, ""), "\n", " \n ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.known["\n"] = b""
+        found = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        last = np.fromiter([w[-1:] in ENDS for w in words], bool, len(words))
+        at = coded.indices.to_numpy()
+        n = size[at]
+        done = np.r_[0, np.cumsum(n)]
+        every = ids[np.repeat(begin[at] - done[:-1], n) + np.arange(done[-1])].astype("<u4")
+        ends = last[at]
+        cut = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            lo, hi = done[a], done[b]
+            e = done[a + 1 : b + 1][ends[a:b]] - lo
+            yield every[lo:hi].tobytes(), e
 
 
 def padding(length: int, width: int) -> int:
@@ -88,8 +128,10 @@ def padding(length: int, width: int) -> int:
 def windows(cuts: list[int], penalties: list[float], width: int) -> list[int]:
     """Indices of the cuts that bound the windows of least cost; cuts ascend from 0 with
     gaps of at most width; the first and the last are among the bounds."""
-    powers = [1 << k for k in range(width.bit_length()) if 1 << k <= width]
+    half, quarter = width // 2, width // 4
+    powers = width & (width - 1) == 0 and width >= 4
     index = {p: i for i, p in enumerate(cuts)}
+    place = index.get
     f, back = [0.0] * len(cuts), [0] * len(cuts)
     queue: deque[int] = deque([0])
     for j in range(1, len(cuts)):
@@ -99,9 +141,10 @@ def windows(cuts: list[int], penalties: list[float], width: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         best, at = f[i] + cuts[i] + width - p, i
-        for d in powers:
-            i = index.get(p - d)
-            if i is not None and f[i] < best:
+        if powers:
+            if (i := place(p - half)) is not None and f[i] < best:
+                best, at = f[i], i
+            if (i := place(p - quarter)) is not None and f[i] < best:
                 best, at = f[i], i
         f[j], back[j] = best + penalties[j], at
         key = f[j] + p
@@ -134,22 +177,31 @@ class Stream:
         self.docs: list[tuple] = []  # (id, ids as bytes, place in the stream, ids of it already settled)
         self.cuts, self.penalties, self.size = [0], [0.0], 0
 
-    def add(self, doc_id, sentences: list[bytes], end: bytes) -> None:
-        begin = self.size
-        at = begin
-        for s in [*sentences[:-1], sentences[-1] + end]:
-            n = len(s) // 4
-            while n > 256:  # a long run without a sentence's end
-                at, n = at + 256, n - 256
-                self.cuts.append(at)
-                self.penalties.append(self.inside)
-            if n:
-                at += n
-                self.cuts.append(at)
-                self.penalties.append(self.after_sentence)
-        self.penalties[-1] = 0.0
-        self.size = at
-        self.docs.append((doc_id, b"".join(sentences) + end, begin, 0))
+    def add(self, doc_id, ids: bytes, ends: np.ndarray) -> None:
+        """ids end with the separator; ends: ids before each sentence's end."""
+        begin, n = self.size, len(ids) // 4
+        places = ends[(ends > 0) & (ends < n - 1)]
+        if len(places) > 1:
+            places = places[np.r_[True, places[1:] > places[:-1]]]
+        at = 0
+        gaps = np.diff(places, prepend=0, append=n)
+        if gaps.max() <= LONG:
+            self.cuts.extend((places + begin).tolist())
+            self.penalties.extend([self.after_sentence] * len(places))
+        else:  # a long run without a sentence's end
+            for to in [*places.tolist(), n]:
+                while to - at > LONG:
+                    at += LONG
+                    self.cuts.append(begin + at)
+                    self.penalties.append(self.inside)
+                at = to
+                if to < n:
+                    self.cuts.append(begin + to)
+                    self.penalties.append(self.after_sentence)
+        self.cuts.append(begin + n)
+        self.penalties.append(0.0)
+        self.size = begin + n
+        self.docs.append((doc_id, ids, begin, 0))
 
     def settle(self, last: bool) -> Iterator[tuple]:
         if not self.docs or not last and self.size < self.stretch:
@@ -183,7 +235,16 @@ class Stream:
         self.sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096, stretch: int = 1 << 19, keep: int = 120_000, after_sentence: float = AFTER_SENTENCE, inside: float = INSIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(size) - size) // most
+    cut = np.nonzero(np.r_[True, group[1:] != group[:-1], True])[0] if len(size) else []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096, stretch: int = 1 << 19, keep: int = 300_000, after_sentence: float = AFTER_SENTENCE, inside: float = INSIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, as SCHEMA says; sequence ids are unique over partitions. No
     shuffle: documents keep the order in which they lie."""
     kind = docs.schema[id_col].dataType
@@ -203,11 +264,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096, st
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slabs(texts, 2_000_000):
-                words.learn(texts[a:b])
-                for d, t in zip(ids[a:b], texts[a:b], strict=True):
-                    stream.add(d, words.sentences(t), end)
+            for part in parts_of(batch, 8_000_000):
+                for d, (ids, ends) in zip(part.column(0).to_pylist(), words.texts(part.column(1)), strict=True):
+                    stream.add(d, ids + end, ends)
                     rows.extend(stream.settle(False))
                 if rows:
                     yield out(rows)

@@ -47,25 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 class Recent(dict):
     """A dictionary of bounded size: at ``limit`` entries what is new becomes old, and
-    the old goes; a lookup through ``warm`` makes an old entry new again."""
+    the old goes; what ``missing`` finds among the old is new again."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """Keys without an entry; those found among the old are taken over."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        old, out = self.old, []
-        for k in keys:
-            if k not in self:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    self[k] = v
-        return out
+        rest = keys - self.keys()
+        old = self.old
+        self.update({k: old[k] for k in rest & old.keys()})
+        return list(rest - old.keys())
 
 
 def slabs(texts: list, most: int):
