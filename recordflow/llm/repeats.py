@@ -315,13 +315,17 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
     """Length of the common prefix of each entry of a suffix array with the one before,
     up to ``most``. Kasai's rule, in text order: it is at least that of the place before
-    less one. The text is cut into lanes that go on side by side, one place a step."""
+    less one. As the array is sorted to a depth over ``most`` only, the rule holds where
+    the neighbour's next place stands before this place; elsewhere the comparison starts
+    anew. The text is cut into lanes that go on side by side, one place a step."""
     n = len(sa)
     lcp = np.zeros(n, np.int64)
     if n < 2:
         return lcp
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
+    index = np.full(n + 1, n)
+    index[sa] = np.arange(n)
     word = np.concatenate([words_at(raw), np.zeros(most + 8, np.uint64)])
     out = np.zeros(n, np.int64)
     begin = np.arange(0, n, lane)
@@ -329,8 +333,9 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int, lane: int = 64)
     for step in range(lane):
         at = begin + step
         ok = at < n
-        at, h = at[ok], np.maximum(h[ok] - 1, 0)
-        begin = begin[ok]
+        at, h, begin = at[ok], np.maximum(h[ok] - 1, 0), begin[ok]
+        if step:
+            h[index[other[ok] + 1] > index[at]] = 0
         other = before[at]
         go = np.nonzero(other >= 0)[0]
         h[other < 0] = 0
