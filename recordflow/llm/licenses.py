@@ -31,6 +31,7 @@ from recordflow.llm.shared import settle
 
 # The word pattern, the base phrases and their labels, license notices.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
     ("mit", "released under the mit license"),
@@ -49,10 +50,14 @@ THRESHOLD = 0.9
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text after A-Z are lower-cased. Upper case can only change words of
-    ASCII letters, so the map is applied to the words' text at once."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """Words of a text after A-Z are lower-cased: what stands between runs of other
+    characters. lower() does the same as a map of A-Z would, as words with a letter
+    beyond ASCII equal no word of a phrase or template; but two such letters have an
+    ASCII letter as their lower case, so texts with these are mapped."""
+    t = F.coalesce(text, F.lit(""))
+    mapped = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.when(F.contains(t, F.lit("\u212a")) | F.contains(t, F.lit("\u0130")), mapped).otherwise(F.lower(t))
+    return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
 def _strings(values) -> Column:
