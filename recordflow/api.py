@@ -137,12 +137,13 @@ class Program:
             order1 = [x for x in first.columns if x in ("__pos",)] or [first.columns[0]]
         filled = {a for a, _ in f1.cells}
         s2, f2 = low.record(False, filled)
-        if f2.cells or s2.updates or low.ends:
-            raise NotRelational("rules on the second input change arrays")
+        if {a for a, _ in f2.cells} & filled or s2.updates or low.ends:
+            raise NotRelational("rules on the second input change arrays of the first")
         c2 = low.columns(rest.select([x for x in rest.columns if x not in INNER]), table)
         used = [v for o in s2.outputs for v in (o.guard, *o.args) if v is not None]
-        asked = sorted({x for v in used for x in inside(v) if x.op in ("lookup", "inconst") and x.args[0] in filled}, key=repr)
-        df, _ = low.prepare(rest, c2, s2, f2, order, set(used))
+        changes = [v for v in (*f2.cells.values(), *f2.vars.values()) if v is not None]
+        asked = sorted({x for v in (*used, *changes) for x in inside(v) if x.op in ("lookup", "inconst") and x.args[0] in filled}, key=repr)
+        df = rest
         from recordflow.plans.program import End
 
         e = End(low, first, c1, s1, f1, order1)
@@ -162,6 +163,7 @@ class Program:
                 c2.known[x] = (F.col(f"__in{n}").isNotNull(), "B")
             else:
                 c2.known[x] = (F.coalesce(F.col(f"__w{n}"), F.lit(0.0) if kind == "N" else F.lit("")), kind)
+        df, _ = low.prepare(df, c2, s2, f2, order, set(used))
         out = low.print_rows(df, c2, s2.outputs, names, order, typed)
         return Lowered("2c", "lookup joins", out, not typed)
 

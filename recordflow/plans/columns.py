@@ -266,8 +266,8 @@ class Columns:
     def c_itemfield(self, fields):
         return F.col("__item"), "F"
 
-    def c_item(self):
-        return (F.col("__at") + 1).cast("double"), "N"
+    def c_item(self, first):
+        return (F.col("__at") + first).cast("double"), "N"
 
 
 

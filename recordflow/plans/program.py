@@ -220,7 +220,7 @@ class Lowering:
     def columns(self, df: DataFrame | None, table: bool) -> Columns:
         c = Columns(df.schema if df is not None else None, table, self.ofs, self.fs, self.options.get("csv", False), self.constants.get("RS") == "")
         c.c_lookup = lambda array, k: self.constant_lookup(c, array, k)
-        c.c_inconst = lambda array, k: (F.when(self.constant_map(array).getItem(self.key_text(c, k)).isNotNull(), 1.0).otherwise(0.0), "N")
+        c.c_inconst = lambda array, k: (F.when(F.try_element_at(self.constant_map(array), self.key_text(c, k)).isNotNull(), 1.0).otherwise(0.0), "N")
         return c
 
     def constant_map(self, array: str) -> Column:
@@ -232,7 +232,7 @@ class Lowering:
 
     def constant_lookup(self, c: Columns, array: str, k: tuple) -> tuple[Column, str]:
         items = self.constant_arrays.get(array, {})
-        found = self.constant_map(array).getItem(self.key_text(c, k))
+        found = F.try_element_at(self.constant_map(array), self.key_text(c, k))
         if all(isinstance(v, float) for v in items.values()):
             return F.coalesce(found.cast("double"), F.lit(0.0)), "N"
         return F.coalesce(found, F.lit("")), "S" if all(type(v) is str for v in items.values()) else "F"
@@ -608,7 +608,7 @@ class End:
         ups = [u for u in self.s.updates if u.array == array]
         if len(cells) + len({u.key for u in ups}) != 1:
             raise NotRelational(f"{array} has no single key")
-        if array in self.s.reads and cells and self.f.made.get(cells[0], ZERO) is not None and not ups:
+        if any(a == array and (a, k) not in cells for a, k in self.s.reads):
             raise NotRelational(f"reading {array} makes elements")
         key = cells[0][1] if cells else ups[0].key
         loop = ups[0].loop if ups else None
@@ -639,6 +639,10 @@ class End:
                 names[a] = (f"__v{len(names)}", kind)
                 aggs.append(col.alias(names[a][0]))
                 made = self.low.made_first(self.f, V("held", (a, k)))
+                for g in self.s.reads.get((a, k), []):  # a read makes the element too
+                    made = ONE if g is None or made == ONE else g if made == ZERO else V("or", (made, g))
+                if states(made):
+                    raise NotRelational(f"what makes an element of {a} depends on state")
                 if made != ONE:
                     aggs.append(F.max(c.test(made)).alias("__h" + names[a][0]))
         keys = [x.alias(f"__k{i}") for i, x in enumerate(self.low.key_columns(c, key))]

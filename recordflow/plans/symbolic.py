@@ -60,7 +60,7 @@ class Symbolic:
         self.locals: list[dict] = []
         self.loop: tuple | None = None
         self.path: V | None = None
-        self.reads: set = set()  # arrays that a plain read may enlarge
+        self.reads: dict = {}  # (array, key) -> guards under which a plain read makes it
         self.ending = False
         self.updating = False
         self.looked_up: set = set()  # arrays that another input has filled
@@ -187,7 +187,7 @@ class Symbolic:
         if array not in self.written_arrays:
             return V("lookup", (array, k), "?") if array in self.constant_arrays else UNSET
         if not self.updating:
-            self.reads.add(array)
+            self.reads.setdefault((array, k), []).append(self.guard(f))
         return V("cell", (array, k), "?")
 
     def e_In(self, f, e):
@@ -570,7 +570,7 @@ class Symbolic:
         g = f.copy()
         self.loop = (end.args[0], int(s.start.value.value.value))
         self.loop_vars = frozenset({i})
-        g.vars[i] = V("item")
+        g.vars[i] = V("item", (self.loop[1],))
         before = set(g.vars)
         self.stmt(g, s.body)
         if set(g.vars) - before or g.cells != f.cells or g.alive != f.alive:
