@@ -12,7 +12,9 @@
    is lost.
 4. A compared pair is verified in batches of signature hashes. After n hashes with m
    matches, a uniform prior gives P(similarity >= 0.75) = P(Binomial(n + 1, 0.75) <= m);
-   below ``MISS`` the pair is pruned. Survivors are verified exactly, on full sets.
+   below ``MISS`` the pair is pruned, as it is if the sizes of the sets rule a link out.
+   Members that reach the last round get ``MORE`` hashes (a byte of each), which tell
+   similarities of 0.65 from 0.75. Survivors are verified exactly, on full sets.
 5. Verified links are joined to connected components by star contraction.
 
 Cases: null texts and texts without words have no shingles, are linked with nothing and
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.llm.graphs import components
-from recordflow.llm.shared import settle
+from recordflow.llm.shared import among, settle
 
-WORDS, BANDS, ROWS, MISS = 5, 32, 4, 1e-6
+WORDS, BANDS, ROWS, MORE, MISS = 5, 32, 4, 512, 1e-6
 #: Similarity that links, as a fraction.
 OVER, UNDER = 75, 100
 BLOCK = 1024
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -89,19 +92,29 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(np.concatenate(found)))
 
 
+def _least(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low = np.full(len(a), np.iinfo(np.uint64).max)
+    for i in range(0, len(s), 1024):
+        np.minimum(low, ((s[i : i + 1024, None] ^ b) * a).min(axis=0), out=low)
+    return low
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """Least values of the hash family over a set, the high half of each."""
-    low = np.full(len(_A), np.iinfo(np.uint64).max)
-    for a in range(0, len(s), 1024):
-        np.minimum(low, ((s[a : a + 1024, None] ^ _B) * _A).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    return (_least(s, _A[: BANDS * ROWS], _B[: BANDS * ROWS]) >> np.uint64(32)).astype("<u4")
+
+
+def more_hashes(s: np.ndarray) -> np.ndarray:
+    """One mixed byte of further least values; different ones agree once in 256."""
+    return (mixed(_least(s, _A[BANDS * ROWS :], _B[BANDS * ROWS :])) >> np.uint64(56)).astype(np.uint8)
 
 
-def least_matches(batch: int = 32) -> dict[int, int]:
+@lru_cache
+def least_matches(first: int, last: int, batch: int) -> dict[int, int]:
     """After how many hashes at least how many matches keep a pair."""
     t = OVER / UNDER
     out = {}
-    for n in range(batch, BANDS * ROWS + 1, batch):
+    for n in range(first, last + 1, batch):
         m, p = -1, 0.0
         while p < MISS:
             m += 1
@@ -110,10 +123,11 @@ def least_matches(batch: int = 32) -> dict[int, int]:
     return out
 
 
-def competing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of pairs of signatures (rows of both), which survive all batches."""
-    alive, seen, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
-    for n, m in least_matches().items():
+def competing(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Of pairs of signatures (rows of both) with set sizes, which survive all batches."""
+    alive = np.nonzero(UNDER * np.minimum(n_left, n_right) >= OVER * np.maximum(n_left, n_right))[0]
+    seen, done = np.zeros(len(alive), np.int64), 0
+    for n, m in least_matches(32, left.shape[1], 32).items():
         seen = seen + (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
         keep = seen >= m
         alive, seen, done = alive[keep], seen[keep], n
@@ -138,23 +152,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
 
 
+def _more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([more_hashes(shingles(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "more"])
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig = [np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(b.num_rows, -1) for k in (2, 3)]
-        keep = pa.array(competing(*sig))
+        x, y, p, q = b.columns[2:]
+        keep = pa.array(competing(_matrix(x, "<u4"), _matrix(y, "<u4"), p.to_numpy(), q.to_numpy()))
         yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
 
 def _block_pairs(group: pa.Table) -> pa.Table:
     """Of a pair of blocks of one bucket (columns i, j, r), the surviving pairs between
-    members of different components."""
-    r, i = group.column("r").to_numpy(), group.column("i")[0].as_py()
-    j = group.column("j")[0].as_py()
-    rep, comp = group.column("rep").to_numpy(), group.column("comp").to_numpy()
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(rep), -1)
+    members of different components, each in the first band that it shares."""
+    one = lambda c: group.column(c)[0].as_py()
+    i, j, band = one("i"), one("j"), one("band")
+    rep, comp, size, r = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "r"))
+    sig, more = _matrix(group.column("sig"), "<u4"), _matrix(group.column("more"), np.uint8)
     left, right = np.nonzero(r == i)[0], np.nonzero(r == j)[0]
-    n, m = next(iter(least_matches().items()))
-    out = []
+    n = 32
+    m = least_matches(n, n, n)[n]
+    out = [np.zeros((2, 0), np.int64)]
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
         same = np.zeros((len(x), len(right)), np.int16)
@@ -164,54 +189,75 @@ def _block_pairs(group: pa.Table) -> pa.Table:
         a, b = x[a], right[b]
         if i == j:
             a, b = a[a < b], b[a < b]
-        keep = competing(sig[a], sig[b])
-        out.append(np.stack([rep[a[keep]], rep[b[keep]]]))
-    low, high = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.zeros((2, 0), np.int64)
+        keep = competing(sig[a], sig[b], size[a], size[b])
+        a, b = a[keep], b[keep]
+        equal = sig[a] == sig[b]
+        first = equal.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        a, b, seen = a[first], b[first], equal[first].sum(axis=1)
+        for done in range(0, MORE, 128):
+            seen = seen + (more[a, done : done + 128] == more[b, done : done + 128]).sum(axis=1)
+            total = BANDS * ROWS + done + 128
+            keep = seen >= least_matches(total, total, 1)[total]
+            a, b, seen = a[keep], b[keep], seen[keep]
+        out.append(np.stack([rep[a], rep[b]]))
+    low, high = np.sort(np.concatenate(out, axis=1), axis=0)
     return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def with_ends(pairs: DataFrame, facts: DataFrame, *names: tuple[str, str, str]) -> DataFrame:
+    """pairs with what facts (id and others) has of both ends: (column, as of a, as of b)."""
+    for side, at in (("a", 1), ("b", 2)):
+        pairs = pairs.hint("merge").join(facts.select(F.col("id").alias(side), *[F.col(n[0]).alias(n[at]) for n in names]), side)
+    return pairs
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the similarity."""
     pairs = settle(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").select("id", "text").mapInArrow(_sets, "id long, s array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    sets = settle(among(docs.select(F.col("doc_id").alias("id"), "text"), "id", ends(pairs)).mapInArrow(_sets, "id long, s array<long>"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return with_ends(pairs, sets, ("s", "x", "y")).filter(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = settle(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
-    classes = settle(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    known = classes.filter("rep is not null").select("rep", "sig")
+    classes = settle(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    known = classes.filter("rep is not null").select(F.col("rep").alias("id"), "n", "sig")
     width = 4 * ROWS
-    banded = known.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("n"))
-    banded = banded.select("rep", F.xxhash64("n", F.substr("sig", F.col("n") * width + 1, F.lit(width))).alias("bucket"))
+    banded = known.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    banded = banded.select(F.col("id").alias("rep"), "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1")
-    members = settle(banded.join(shared, "bucket").select("bucket", "rep", "low"))
+    members = settle(banded.hint("merge").join(shared, "bucket").select("bucket", "band", "rep", "low"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        sigs = known.dropDuplicates(["rep"])
-        with_sigs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-        return with_sigs.select("a", "b", "x", "y").mapInArrow(_survivors, "a long, b long")
+        pairs = settle(pairs.distinct())
+        facts = among(known, "id", ends(pairs))
+        return with_ends(pairs, facts, ("sig", "x", "y"), ("n", "p", "q")).select("a", "b", "x", "y", "p", "q").mapInArrow(_survivors, "a long, b long")
 
     def open_members(comps: DataFrame) -> DataFrame:
         """Members of buckets that still hold several components."""
-        m = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+        m = members.hint("merge").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
         drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("bucket", "rep"))
         mixed_ones = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), drawn.alias("pivot")).filter("c1 <> c2")
-        return settle(m.join(mixed_ones, "bucket").select("bucket", "rep", "comp", "size", "pivot"))
+        return settle(m.hint("merge").join(mixed_ones, "bucket").select("bucket", "band", "rep", "comp", "size", "pivot"))
 
-    links = settle(verified(compared(members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()), docs))
+    links = settle(verified(compared(members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))), docs))
     comps = settle(components(links))
-    left = open_members(comps).filter("comp <> pivot.comp").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+    left = open_members(comps).filter("comp <> pivot.comp").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
     links = links.unionAll(settle(verified(compared(left), docs)))
     comps = settle(components(links))
-    left = open_members(comps).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = open_members(comps)
+    facts = settle(among(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", left.select(F.col("rep").alias("id")).distinct()).mapInArrow(_more, "rep long, more binary"))
+    facts = facts.dropDuplicates(["rep"]).hint("merge").join(known.dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
+    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     left = left.withColumn("r", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "rep", "comp").join(known.dropDuplicates(["rep"]), "rep")
+    left = left.select("bucket", "band", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "rep", "comp").hint("merge").join(facts, "rep")
     left = left.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
     links = links.unionAll(settle(verified(left, docs)))
     comps = components(links)

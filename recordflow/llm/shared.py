@@ -74,3 +74,21 @@ def slabs(texts: list, most: int):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+#: Bits of the sketch that ``among`` broadcasts, in rows of 4 KB: 8 MB, whatever the ids.
+SKETCH_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def among(df: DataFrame, key: str, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows of df whose key is among ids (distinct). First by a bitmap of fixed size over
+    hashed ids, which is broadcast, so that most other rows are never shuffled; then
+    exactly, by a merge join of what is left. With more ids than the bitmap can tell
+    apart, the join does all the work."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SKETCH_BITS))
+    bits = ids.select(place(id_col).alias("p")).groupBy((F.col("p") / ROW_BITS).cast("int").alias("__row")).agg(F.bitmap_construct_agg(F.col("p") % ROW_BITS).alias("__bits"))
+    near = df.withColumn("__p", place(key)).withColumn("__row", (F.col("__p") / ROW_BITS).cast("int")).join(F.broadcast(bits), "__row")  # at most 2048 rows
+    at = (F.col("__p") % ROW_BITS).cast("int")
+    byte = F.conv(F.hex(F.substr("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = near.filter(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+    return near.hint("merge").join(ids.select(F.col(id_col).alias("__id")), F.col(key) == F.col("__id"), "left_semi")
