@@ -487,7 +487,7 @@ def _stripped(rest: list[str], keep_text: bool):
 def _sought(docs: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, int]:
     """docs with their group g, what is known of copies, and what shards found."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_groups = 4 * n, 4 * n + 1
+    n_buckets, n_groups = n, n + 1
     two = docs.select("doc_id", "text")
     announced = two.mapInArrow(_announce(n_buckets), "bucket long, a binary, c binary, d binary, t binary")
     answers = settle(announced.groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
