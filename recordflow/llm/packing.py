@@ -173,7 +173,7 @@ class Stream:
 
     def __init__(self, width: int, stretch: int, first_sequence: int, after_sentence: float, inside: float):
         self.width, self.stretch, self.sequence = width, stretch, first_sequence
-        self.after_sentence, self.inside = after_sentence, inside
+        self.after_sentence, self.inside, self.long = after_sentence, inside, min(LONG, max(1, width // 4))
         self.docs: list[tuple] = []  # (id, ids as bytes, place in the stream, ids of it already settled)
         self.cuts, self.penalties, self.size = [0], [0.0], 0
 
@@ -185,13 +185,13 @@ class Stream:
             places = places[np.r_[True, places[1:] > places[:-1]]]
         at = 0
         gaps = np.diff(places, prepend=0, append=n)
-        if gaps.max() <= LONG:
+        if gaps.max() <= self.long:
             self.cuts.extend((places + begin).tolist())
             self.penalties.extend([self.after_sentence] * len(places))
         else:  # a long run without a sentence's end
             for to in [*places.tolist(), n]:
-                while to - at > LONG:
-                    at += LONG
+                while to - at > self.long:
+                    at += self.long
                     self.cuts.append(begin + at)
                     self.penalties.append(self.inside)
                 at = to

@@ -485,14 +485,14 @@ def _stripped(rest: list[str], keep_text: bool):
 
 
 def _sought(docs: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, int]:
-    """docs with their group g, what is known of copies, and what shards found."""
+    """docs with their group __g, what is known of copies, and what shards found."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_groups = n, n + 1
     two = docs.select("doc_id", "text")
     announced = two.mapInArrow(_announce(n_buckets), "bucket long, a binary, c binary, d binary, t binary")
     answers = settle(announced.groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
-    grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups)))
-    cut = grouped.select("g", "doc_id", "text").groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_compared(n_buckets), "bucket long, d binary, c binary, n binary, b binary")
+    grouped = docs.withColumn("__g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups)))
+    cut = grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(answers.groupBy("g")).applyInArrow(_compared(n_buckets), "bucket long, d binary, c binary, n binary, b binary")
     found = cut.groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
     return grouped, answers.filter("kind = 1").unionAll(found), n_groups
 
@@ -500,7 +500,7 @@ def _sought(docs: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, int]:
 def digests(docs: DataFrame, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     grouped, told, _ = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard)
-    return grouped.select("g", "doc_id", "text").groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_stripped([], False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped([], False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -511,4 +511,4 @@ def strip(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     grouped, told, _ = _sought(docs.select("doc_id", "text", *rest), shard)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
     schema = f"doc_id long, {types}{', ' if types else ''}text string, spans array<struct<first: long, end: long>>"
-    return grouped.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_stripped(rest, True), schema)
+    return grouped.groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped(rest, True), schema)
