@@ -162,7 +162,7 @@ class Program:
             if x.op in ("held", "inconst"):
                 c2.known[x] = (F.col(f"__in{n}").isNotNull(), "B")
             else:
-                c2.known[x] = (F.coalesce(F.col(f"__w{n}"), F.lit(0.0) if kind == "N" else F.lit("")), kind)
+                c2.known[x] = (F.col(f"__w{n}"), "W") if kind in "NW" else (F.coalesce(F.col(f"__w{n}"), F.lit("")), kind)
         df, _ = low.prepare(df, c2, s2, f2, order, set(used))
         out = low.print_rows(df, c2, s2.outputs, names, order, typed)
         return Lowered("2c", "lookup joins", out, not typed)
@@ -217,13 +217,14 @@ class Program:
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.union(p)
+        recut = any(type(n).__name__ == "Assign" and n.target == Var("RS") for r in self.tree.rules if r.kind != "BEGIN" for n in walk(r.action))
         name = names[0] if names and len(names) == 1 else "value"
         fs = "\x1f" if table else None
 
         def lines(group: pa.Table | None, records: list[tuple]) -> list[str]:
             out: list[str] = []
             ev = self.evaluator(out, fs)
-            ev.run(_files(records))
+            ev.run(_files(records, recut))
             text = "".join(out).split("\n")
             return text[:-1] if text and text[-1] == "" else text
 
@@ -282,12 +283,14 @@ class Program:
         return [r["value"] for r in (df.orderBy(*by) if by else df).collect()]
 
 
-def _files(records):
-    """Records of (input, file, line), as the evaluator wants inputs."""
+def _files(records, recut: bool = False):
+    """Records of (input, file, line), as the evaluator wants inputs: as they were cut, or
+    as one text, if the program changes how it is cut."""
     import itertools
 
     for (_, name), group in itertools.groupby(records, key=lambda r: (r[0], r[1])):
-        yield name or "", (r[2] for r in group)
+        lines = (r[2] for r in group)
+        yield name or "", "".join(x + "\n" for x in lines) if recut else lines
 
 
 __all__ = ["ZERO", "Program"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordflow.api import Program
+from recordflow.sources.records import cut_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,7 +85,7 @@ register("gsub_count", '{ n = gsub(/[aeiou]/, "*", $2); print $1, $2, n }', "par
 register("match_pos", "{ m = match($2, /[0-9]+/); print $1, RSTART, RLENGTH }", "customer", "k a n", "SELECT c_custkey AS k, strpos(c_name, regexp_extract(c_name, '[0-9]+'))::BIGINT AS a, length(regexp_extract(c_name, '[0-9]+'))::BIGINT AS n FROM customer", longs="k a n")
 register("longest_match", "{ m = match($2, /w|widget|wid/); print $1, RSTART, RLENGTH }", "part", "k a n", "SELECT p_partkey AS k, CASE WHEN strpos(p_name, 'w') > 0 THEN strpos(p_name, 'w') ELSE 0 END::BIGINT AS a, CASE WHEN strpos(p_name, 'w') = 0 THEN -1 WHEN strpos(p_name, 'widget') = strpos(p_name, 'w') THEN 6 WHEN strpos(p_name, 'wid') = strpos(p_name, 'w') THEN 3 ELSE 1 END::BIGINT AS n FROM part", longs="k a n")
 register("sprintf_fmt", '{ print $1, sprintf("%05d|%.2f|%-6s|%x", $1, $4, $5, $3) }', "customer", "k s", "SELECT c_custkey AS k, printf('%05d|%.2f|', c_custkey, c_acctbal) || rpad(c_mktsegment, greatest(6, length(c_mktsegment))::INTEGER, ' ') || '|' || printf('%x', c_nationkey) AS s FROM customer", longs="k")
-register("printf_rule", '{ printf "%d:%s\\n", $1, $2 }', "nation", "line", r"SELECT n_nationkey || ':' || n_name || chr(10) AS line FROM nation")
+register("printf_rule", '{ printf "%d:%s\\n", $1, $2 }', "nation", "line", "SELECT n_nationkey || ':' || n_name AS line FROM nation")
 register("number_text", '{ print $1 ":" $6 / 8 }', "lineitem", "s", None)
 register("math_fns", "{ print $1, sin($5), cos($5), atan2($5, $4), exp(-$4), log($6), sqrt($5) }", "lineitem", "k a b c d e f", "SELECT l_orderkey AS k, round(sin(l_quantity), 6) AS a, round(cos(l_quantity), 6) AS b, round(atan2(l_quantity, l_linenumber), 6) AS c, round(exp(-l_linenumber), 6) AS d, round(ln(l_extendedprice), 6) AS e, round(sqrt(l_quantity), 6) AS f FROM lineitem", longs="k", rounds=dict.fromkeys("abcdef", 6))
 register("bit_fns", "{ print $1, and($1, 7), or($2, 1), xor($1, $3), lshift($4, 2), rshift($1, 1) }", "lineitem", "k a b c d e", "SELECT l_orderkey AS k, l_orderkey & 7 AS a, l_partkey | 1 AS b, xor(l_orderkey, l_suppkey) AS c, (l_linenumber::BIGINT << 2) AS d, (l_orderkey >> 1) AS e FROM lineitem", longs="k a b c d e")
@@ -190,7 +191,37 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(df, "k ok")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newline records of all texts: how many start with a capital, fields in all."""
+    records = cut_records(table(spark, sf_dir, "documents"), "text").select("value")
+    return shaped(Program("/^[A-Z]/ { cap++ } { words += NF } END { print NR, cap, words }").run(records, names=["n", "cap", "words"], relational=True), "n cap words")
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph records (RS empty) of texts whose sentences were set apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    records = cut_records(docs, "text", "").select("value")
+    return shaped(Program('BEGIN { RS = "" } { n[NF]++ } END { for (k in n) print k, n[k] }').run(records, names=["words", "n"], relational=True), "n")
+
+
+def _regex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records cut at a regular expression."""
+    records = cut_records(table(spark, sf_dir, "documents"), "text", "[.]+[ \n]*").select("value")
+    return shaped(Program("length($0) > 40 { long++ } END { print NR, long }").run(records, names=["n", "long"], relational=True), "n long")
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV records with quotes, doubled quotes and commas inside."""
+    c = table(spark, sf_dir, "customer")
+    line = F.concat(F.lit('"'), "c_name", F.lit(', ""x""",'), F.col("c_custkey").cast("string"), F.lit(',"'), "c_mktsegment", F.lit('"'))
+    return shaped(Program("{ print $2, $1, $3, NF }", csv=True).run(c.select(line.alias("value")), names=["k", "name", "seg", "nf"], relational=True), "k nf").withColumn("k", F.col("k").cast("bigint"))
+
+
 for _name, _run, _sql in (
+    ("line_records", _lines, r"SELECT count(*) AS n, count(*) FILTER (regexp_matches(v, '^[A-Z]')) AS cap, sum(len(list_filter(string_split_regex(v, '[ \t]+'), lambda x: x <> '')))::BIGINT AS words FROM (SELECT unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS v FROM documents WHERE text <> '')"),
+    ("paragraph_records", _paragraphs, r"SELECT w::VARCHAR AS words, count(*) AS n FROM (SELECT len(list_filter(string_split_regex(v, '[ \t\n]+'), lambda x: x <> '')) AS w FROM (SELECT unnest(string_split_regex(t, '\n\n+')) AS v FROM (SELECT regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10)), '^\n+', ''), '\n+$', '') AS t FROM documents) WHERE t <> '')) GROUP BY 1"),
+    ("regex_records", _regex_records, r"SELECT count(*) AS n, count(*) FILTER (length(v) > 40) AS long FROM (SELECT unnest(string_split_regex(regexp_replace(text, '[.]+[ \n]*$', ''), '[.]+[ \n]*')) AS v FROM documents WHERE text <> '')"),
+    ("csv_records", _csv, """SELECT c_custkey AS k, c_name || ', "x"' AS name, c_mktsegment AS seg, 3::BIGINT AS nf FROM customer"""),
     ("moving_avg", _moving_average, "SELECT event_id AS id, round(avg(value) OVER (ORDER BY event_id ROWS 4 PRECEDING), 4) AS m FROM events"),
     ("sort_pipe_top_k", _top_k, "SELECT c_custkey || ' ' || trunc(c_acctbal)::BIGINT AS value FROM customer ORDER BY trunc(c_acctbal) DESC, value DESC LIMIT 10"),
     ("tail_n", _tail, "SELECT event_id AS id, event_type AS t FROM events ORDER BY event_id DESC LIMIT 15"),

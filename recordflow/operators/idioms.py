@@ -57,7 +57,7 @@ def distinct_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 def numbered(df: DataFrame, order: list[str], name: str = "nr") -> DataFrame:
     """NR without gathering all rows in one task."""
-    return with_running(df, order, [], [Running(name, "sum", F.lit(1))]).withColumn(name, F.col(name) + 1)
+    return with_running(df, order, [], [Running(name, "sum", F.lit(1))]).withColumn(name, F.coalesce(name, F.lit(0)) + 1)
 
 
 def islands(df: DataFrame, order: list[str], value: str, name: str = "island") -> DataFrame:
@@ -65,4 +65,4 @@ def islands(df: DataFrame, order: list[str], value: str, name: str = "island") -
     df = with_running(df, order, [], [Running("__p", "last", F.struct(F.col(value).alias("v")))])
     new = F.when(F.col("__p").isNull() | ~F.col("__p.v").eqNullSafe(F.col(value)), 1).otherwise(0)
     df = df.withColumn("__new", new).drop("__p")
-    return with_running(df, order, [], [Running(name, "sum", F.col("__new"))]).withColumn(name, F.col(name) + F.col("__new")).drop("__new")
+    return with_running(df, order, [], [Running(name, "sum", F.col("__new"))]).withColumn(name, F.coalesce(name, F.lit(0)) + F.col("__new")).drop("__new")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Running:
-    """What is known before a row. how: sum (0 before any), max, min (null), last (of the
+    """What is known before a row, null if nothing is. how: sum, max, min, or last (of the
     values that aren't null)."""
 
     name: str
@@ -34,7 +34,7 @@ def _over(r: Running, w) -> Column:
 
 def _joined(r: Running, before: Column, here: Column) -> Column:
     if r.how == "sum":
-        return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+        return F.coalesce(before + here, before, here)
     if r.how == "last":
         return F.coalesce(here, before)
     return (F.greatest if r.how == "max" else F.least)(before, here)
@@ -61,12 +61,12 @@ def with_running(df: DataFrame, order: list[str], keys: list[Column], specs: lis
     by = [F.col(c) for c in order]
     if keys:
         w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[(F.coalesce(_over(r, w), F.lit(0)) if r.how == "sum" else _over(r, w)).alias(r.name) for r in specs])
+        return df.select("*", *[_over(r, w).alias(r.name) for r in specs])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = ranges(df, order, max(2, n))
     if cut is None:
         w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[(F.coalesce(_over(r, w), F.lit(0)) if r.how == "sum" else _over(r, w)).alias(r.name) for r in specs])
+        return df.select("*", *[_over(r, w).alias(r.name) for r in specs])
     ranged = df.select("*", cut.alias("__range"), *[r.value.alias(f"__v{i}") for i, r in enumerate(specs)])
     plain = [Running(r.name, r.how, F.col(f"__v{i}")) for i, r in enumerate(specs)]
     w = Window.partitionBy("__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)

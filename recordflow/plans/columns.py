@@ -75,6 +75,8 @@ class Columns:
         c, k = self.col(v)
         if k == "N":
             return c
+        if k == "W":
+            return F.coalesce(c, F.lit(0.0))
         if k == "U":
             return F.lit(0.0)
         if k == "S":
@@ -88,6 +90,8 @@ class Columns:
         if k == "N":
             integral = v.op == "field" and v.args[0] == V("fields", (), "A") and self.table and isinstance(self.types[v.args[1] - 1][1], T.IntegralType) or v.op in ("nr", "nf", "length", "index")
             return N.text_of_number(c, fmt, integral)
+        if k == "W":
+            return F.coalesce(N.text_of_number(c, fmt), F.lit(""))
         return F.lit("") if k == "U" else c
 
     def test(self, v: V) -> Column:
@@ -102,7 +106,7 @@ class Columns:
             c, k = self.col(v.args[0])
             if k == "M":
                 raise NotRelational("a test of what is text or number by record")
-            return N.truth(c, k)
+            return N.truth(F.coalesce(c, F.lit(0.0)), "N") if k == "W" else N.truth(c, k)
         if v.op == "match":
             return S.matches(self.text(v.args[0]), v.args[1])
         if v.op == "cmp":
@@ -112,24 +116,42 @@ class Columns:
             return F.when(t, self.test(v.args[1])).otherwise(self.test(v.args[2]))
         if v in self.known:
             c, k = self.known[v]
-            return c if k == "B" else N.truth(c, k)
+            if k == "B":
+                return c
         c, k = self.col(v)
-        return N.truth(c, k)
+        return N.truth(F.coalesce(c, F.lit(0.0)), "N") if k == "W" else N.truth(c, k)
 
     def compared(self, op: str, a: V, b: V) -> Column:
         x, p = self.col(a)
         y, q = self.col(b)
         if "M" in (p, q):
             raise NotRelational("a comparison of what is text or number by record")
+        if (plain := self.plain_comparison(op, a, b)) is not None:
+            return plain
         if "S" in (p, q):
             return N.compare_texts(op, self.text(a), self.text(b))
-        if p in "NU" and q in "NU":
+        if p in "NUW" and q in "NUW":
             return N.compare_numbers(op, self.number(a), self.number(b), not any(i.op == "math" for v in (a, b) for i in inside(v)))
         looks = [N.is_numeric(c) for c, k in ((x, p), (y, q)) if k == "F"]
         both = looks[0] if len(looks) == 1 else looks[0] & looks[1]
         numeric = N.compare_numbers(op, self.number(a), self.number(b), False)
         return F.when(both, numeric).otherwise(N.compare_texts(op, self.text(a), self.text(b)))
 
+    def plain_comparison(self, op: str, a: V, b: V) -> Column | None:
+        """A table's column with a constant, without casts, so that it reaches the scan."""
+        if is_const(a) and not is_const(b):
+            a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+        if not (self.table and a.op == "field" and a.args[0] == V("fields", (), "A") and a.args[1] <= len(self.types) and is_const(b)):
+            return None
+        name, kind = self.types[a.args[1] - 1]
+        c, x = F.col(f"`{name}`"), const_value(b)
+        if isinstance(kind, T.IntegralType) and isinstance(x, float) and x == int(x) and abs(x) < 2**31:
+            return N.compare_texts(op, c, F.lit(int(x)))
+        if isinstance(kind, T.StringType) and type(x) is str and x and op in ("==", "!="):
+            same = c.eqNullSafe(F.lit(x))
+            return same if op == "==" else ~same
+        return None
+
     def col(self, v: V) -> tuple[Column, str]:
         if v in self.known:
             c, k = self.known[v]
@@ -198,8 +220,9 @@ class Columns:
         test = self.test(t)
         if p == q:
             return F.when(test, x).otherwise(y), p
-        if {p, q} == {"N", "U"}:
-            return F.when(test, self.number(a)).otherwise(self.number(b)), "N"
+        if {p, q} <= {"N", "U", "W"}:
+            unset = F.lit(None).cast("double")
+            return F.when(test, unset if p == "U" else x).otherwise(unset if q == "U" else y), "W"
         kind = "S" if {p, q} == {"S", "U"} else "F" if {p, q} == {"F", "U"} else "M"
         return F.when(test, self.text(a)).otherwise(self.text(b)), kind
 
@@ -233,7 +256,7 @@ class Columns:
         given = []
         for a in args:
             c, k = self.col(a)
-            given.append((self.text(a), "S") if k in "UM" else (c, k))
+            given.append((self.text(a), "S") if k in "UM" else (self.number(a), "N") if k == "W" else (c, k))
         return S.sprintf(fmt, given, convfmt), "S"
 
     def c_strftime(self, fmt, at):

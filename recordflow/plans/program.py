@@ -204,6 +204,9 @@ class Lowering:
                 before = V("held", ("range", i, t, until))
                 t = V("or", (before, t))
             self.do(s, f, t, r)
+        if s.enlarged & s.tested:
+            raise NotRelational(f"reading {min(s.enlarged & s.tested)} makes elements that are tested for")
+        self.reads = s.reads
         return s, f
 
     def do(self, s: Symbolic, f: Frame, t: V, r) -> None:
@@ -234,7 +237,7 @@ class Lowering:
         items = self.constant_arrays.get(array, {})
         found = F.try_element_at(self.constant_map(array), self.key_text(c, k))
         if all(isinstance(v, float) for v in items.values()):
-            return F.coalesce(found.cast("double"), F.lit(0.0)), "N"
+            return found.cast("double"), "W"
         return F.coalesce(found, F.lit("")), "S" if all(type(v) is str for v in items.values()) else "F"
 
     def key_text(self, c: Columns, k: tuple) -> Column:
@@ -249,7 +252,14 @@ class Lowering:
         """Number rows, cut at exits, and add the state before each row that ``used``
         values depend on."""
         windows = False
-        need_nr = any(x.op in ("nr", "fnr") for v in used for x in inside(v))
+        every = [*used, *(p for _, k in f.cells for p in k)]
+        for x in (*(V("state", (n,), "?") for n in f.vars), *(V("cell", at, "?") for at in f.cells)):
+            try:
+                r = self.change_of(f, x)
+                every += [r.value, r.guard]
+            except NotRelational:  # if it matters, it is found out where it is asked for
+                every.append(f.vars.get(x.args[0]) if x.op == "state" else f.cells[x.args])
+        need_nr = any(x.op in ("nr", "fnr") for v in every if v is not None for x in inside(v))
         exits = [V("num", (1.0,)) if g is None else g for g in s.exits + s.skips]
         if exits and not order:
             raise NotRelational("an exit needs an order")
@@ -261,7 +271,7 @@ class Lowering:
         if need_nr:
             if not order:
                 raise NotRelational("NR needs an order")
-            df = with_running(df, order, [], [Running("__nr", "sum", F.lit(1))]).withColumn("__nr", (F.col("__nr") + 1).cast("double"))
+            df = with_running(df, order, [], [Running("__nr", "sum", F.lit(1))]).withColumn("__nr", (F.coalesce("__nr", F.lit(0)) + 1).cast("double"))
             c.known[V("nr", ())] = (F.col("__nr"), "N")
             c.known[V("fnr", ())] = (F.col("__nr"), "N")
             windows = True
@@ -311,7 +321,10 @@ class Lowering:
     def made_first(self, f: Frame, x: V) -> V:
         """Whether a record makes an element, if there is none yet."""
         made = f.made.get(x.args, ZERO)
-        return ONE if made is None else simplified(substituted(made, {x: ZERO}))
+        made = ONE if made is None else simplified(substituted(made, {x: ZERO}))
+        for g in self.reads.get(x.args, []):  # a read makes the element too
+            made = ONE if g is None or made == ONE else g if made == ZERO else V("or", (made, g))
+        return made
 
     def add_state(self, df: DataFrame, c: Columns, f: Frame, x: V, order: list[str]) -> DataFrame:
         if not order:
@@ -337,7 +350,7 @@ class Lowering:
         if r.how == "add":
             df = with_running(df, order, keys, [Running(name, "sum", within(c.number(r.value)))])
             col = F.col(name).cast("double")
-            c.known[x] = (col + F.lit(N_number(start)) if start is not None else col, "N")
+            c.known[x] = (F.coalesce(col, F.lit(0.0)) + F.lit(N_number(start)), "N") if start is not None else (col, "W")
         elif r.how in ("last", "first"):
             v, kind = c.col(r.value)
             if kind == "M":
@@ -345,21 +358,26 @@ class Lowering:
             if r.how == "first":
                 raise NotRelational("a first value is read before the end")
             df = with_running(df, order, keys, [Running(name, "last", within(v))])
-            default = F.lit(0.0) if kind == "N" else F.lit("")
             if start is not None:
-                if isinstance(start, float) != (kind == "N"):
+                if isinstance(start, float) != (kind in "NW"):
                     raise NotRelational("state is text or number by record")
-                default = F.lit(start if isinstance(start, float) else str(start))
-            c.known[x] = (F.coalesce(F.col(name), default), kind)
+                c.known[x] = (F.coalesce(F.col(name), F.lit(start if isinstance(start, float) else str(start))), kind)
+            elif kind in "NW":
+                c.known[x] = (F.col(name), "W")
+            else:
+                c.known[x] = (F.coalesce(F.col(name), F.lit("")), kind)
         elif r.how in ("max", "min"):
             if c.col(r.value)[1] != "N":
                 raise NotRelational("an extremum of texts")
             df = with_running(df, order, keys, [Running(name, r.how, within(c.number(r.value)))])
             base = F.lit(N_number(start))
             col = F.col(name)
-            c.known[x] = ((F.greatest if r.how == "max" else F.least)(col, base) if r.floor or start is not None else F.coalesce(col, base), "N")
+            best = F.when(col.isNotNull(), (F.greatest if r.how == "max" else F.least)(col, base)) if r.floor or start is not None else col
+            # an extremum that never passed the unset start leaves it unset
+            passed = (best > base) if r.how == "max" else (best < base)
+            c.known[x] = (F.coalesce(best, base), "N") if start is not None else (F.when(passed, best) if r.floor else best, "W")
         elif r.how == "keep":
-            c.known[x] = (F.lit(N_number(start)), "N") if start is None or isinstance(start, float) else (F.lit(str(start)), "S")
+            c.known[x] = (F.lit(None).cast("double"), "W") if start is None else (F.lit(start), "N") if isinstance(start, float) else (F.lit(str(start)), "S")
         else:
             raise NotRelational(f"{r.how} is read before the end")
         return df
@@ -400,14 +418,16 @@ class Lowering:
             out = []
             for i, a in enumerate(o.args):
                 col, kind = c.col(a)
-                out.append((F.lit("") if kind == "U" else col).alias(names[i] if names else f"c{i + 1}"))
+                out.append((F.lit("") if kind == "U" else F.coalesce(col, F.lit(0.0)) if kind == "W" else col).alias(names[i] if names else f"c{i + 1}"))
             return out
+        if o.formatted and not typed and not self.format_of(o).endswith("\n"):
+            raise NotRelational("a printed format doesn't end its line")
         return [self.line(c, o).alias(names[0] if typed and names else "value")]
 
     def line(self, c: Columns, o: Output) -> Column:
         ofmt = N_text(self.constants["OFMT"])
         if o.formatted:
-            s = V("sprintf", (self.format_of(o), tuple(o.args[1:]), N_text(self.constants["CONVFMT"])), "S")
+            s = V("sprintf", (self.format_of(o).removesuffix("\n"), tuple(o.args[1:]), N_text(self.constants["CONVFMT"])), "S")
             return c.col(s)[0]
         texts = [c.text(a, ofmt) for a in o.args]
         return texts[0] if len(texts) == 1 else F.concat_ws(self.ofs, *texts)
@@ -527,26 +547,32 @@ class End:
         guard = None if r.guard is None else c.test(r.guard)
         within = (lambda v: v) if guard is None else (lambda v: F.when(guard, v))
         at = F.struct(*[F.col(f"`{o}`") for o in self.order]) if self.order else None
-        if r.how in ("keep",):
-            return (F.first(F.lit(N_number(start))), "N")
+        if r.how == "keep":
+            return (F.first(F.lit(None).cast("double")), "W") if start is None else (F.first(F.lit(start)), "N") if isinstance(start, float) else (F.first(F.lit(str(start))), "S")
         if r.how == "add":
             v = r.value
             if v == ONE and guard is None:
                 total = F.count(F.lit(1)).cast("double")
+                total = F.when(total > 0, total)
             elif v.op == "cond" and v.args[1] == ONE and v.args[2] == ZERO:
                 total = F.count_if(c.test(v.args[0])).cast("double")
+                total = F.when(total > 0, total)
+            elif v.op == "cond" and v.args[2] == ZERO:
+                total = F.sum(F.when(c.test(v.args[0]), c.number(v.args[1])))
             else:
-                total = F.coalesce(F.sum(within(c.number(v))), F.lit(0.0))
-            return (total + F.lit(N_number(start)) if start is not None else total), "N"
+                total = F.sum(within(c.number(v)))
+            return (F.coalesce(total, F.lit(0.0)) + F.lit(N_number(start)), "N") if start is not None else (total, "W")
         if r.how in ("max", "min"):
             v, kind = c.col(r.value)
             if kind != "N":
                 raise NotRelational("an extremum of texts")
             best = (F.max if r.how == "max" else F.min)(within(v))
             base = F.lit(N_number(start))
-            if not r.floor and start is None:
-                return F.coalesce(best, base), "N"
-            return F.coalesce((F.greatest if r.how == "max" else F.least)(best, base), base), "N"
+            if start is not None:
+                return F.coalesce((F.greatest if r.how == "max" else F.least)(best, base), base), "N"
+            if not r.floor:
+                return best, "W"
+            return F.when((best > base) if r.how == "max" else (best < base), best), "W"
         if at is None:
             raise NotRelational("a last or first value needs an order")
         if r.how == "join":
@@ -557,7 +583,7 @@ class End:
             best = F.min_by(v, F.when(guard, at) if guard is not None else at)
         else:
             best = F.max_by(v, F.when(guard, at) if guard is not None else at)
-        return F.coalesce(best, F.lit(0.0) if kind == "N" else F.lit("")), kind if kind != "U" else "S"
+        return (best, "W") if kind in "NW" else (F.coalesce(best, F.lit("")), kind if kind != "U" else "S")
 
     def arg_of(self, x: V, r: Step_) -> tuple[Column, str] | None:
         """A value that is set where an extremum is: taken with the extremum."""
@@ -594,7 +620,7 @@ class End:
             out = F.max_by(v, F.when(keep, back))
         else:
             out = F.max_by(v, F.when(keep, F.struct(signed, *[F.col(f"`{o}`") for o in self.order])))
-        return F.coalesce(out, F.lit(0.0) if kind == "N" else F.lit("")), kind
+        return (out, "W") if kind in "NW" else (F.coalesce(out, F.lit("")), kind)
 
     def numeric(self, name: str) -> bool:
         from pyspark.sql import types as T
@@ -639,8 +665,6 @@ class End:
                 names[a] = (f"__v{len(names)}", kind)
                 aggs.append(col.alias(names[a][0]))
                 made = self.low.made_first(self.f, V("held", (a, k)))
-                for g in self.s.reads.get((a, k), []):  # a read makes the element too
-                    made = ONE if g is None or made == ONE else g if made == ZERO else V("or", (made, g))
                 if states(made):
                     raise NotRelational(f"what makes an element of {a} depends on state")
                 if made != ONE:
@@ -683,7 +707,7 @@ class End:
                     name, kind = theirs[other]
                     more = self.present(more, theirs, other).select(F.col("__k"), F.col(name).alias("__x" + other))
                     df = df.join(more, "__k", "left")
-                    c.known[V("value", (other,), "?")] = (F.coalesce(F.col("__x" + other), F.lit(0.0) if kind == "N" else F.lit("")), kind)
+                    c.known[V("value", (other,), "?")] = (F.col("__x" + other), "W") if kind in "NW" else (F.coalesce(F.col("__x" + other), F.lit("")), kind)
                 else:
                     c.known[V("value", (other,), "?")] = (F.col(cols[other][0]), cols[other][1])
         one = self.one_row(ones, c)
@@ -726,7 +750,8 @@ class End:
                     continue
                 col, kind = cols[array]
                 at = SUBSEP.join(str(p.args[0]) for p in k)
-                rels.append(self.present(rel, cols, array).filter(F.col("__k") == at).agg(F.coalesce(F.first(col), F.lit(0.0) if kind == "N" else F.lit("")).alias(name)))
+                rels.append(self.present(rel, cols, array).filter(F.col("__k") == at).agg((F.first(col) if kind in "NW" else F.coalesce(F.first(col), F.lit(""))).alias(name)))
+                kind = "W" if kind == "N" else kind
             elif x.op == "size":
                 rel, cols = self.relation(x.args[0])
                 rels.append(self.present(rel, cols, x.args[0]).agg(F.count(F.lit(1)).cast("double").alias(name)))

@@ -49,6 +49,11 @@ class Frame:
         return Frame(dict(self.vars), dict(self.cells), dict(self.made), self.record, self.fields, self.alive)
 
 
+def implied(guard: V | None, part: V) -> bool:
+    """Whether a guard is a conjunction with this part."""
+    return guard is not None and (guard == part or guard.op == "and" and any(implied(a, part) for a in guard.args))
+
+
 class Symbolic:
     def __init__(self, functions: dict, constants: dict, written: set, written_arrays: set, constant_arrays: dict, options: dict):
         self.functions, self.constants, self.options = functions, constants, options
@@ -63,6 +68,8 @@ class Symbolic:
         self.reads: dict = {}  # (array, key) -> guards under which a plain read makes it
         self.ending = False
         self.updating = False
+        self.enlarged: set = set()  # arrays of another origin that reads add to
+        self.tested: set = set()  # and those whose keys are tested for
         self.looked_up: set = set()  # arrays that another input has filled
         self.in_rows: str | None = None  # at the end: the array whose rows are gone through
 
@@ -182,6 +189,9 @@ class Symbolic:
             if all(map(is_const, k)):
                 return V("total", (array, k), "?")
             raise NotRelational(f"{array} is looked up under a computed key at the end")
+        if array in self.looked_up or array not in self.written_arrays and array in self.constant_arrays:
+            if not implied(self.guard(f), V("inconst", (array, k))):
+                self.enlarged.add(array)
         if array in self.looked_up:
             return V("lookup", (array, k), "?")
         if array not in self.written_arrays:
@@ -197,7 +207,10 @@ class Symbolic:
         if self.ending:
             raise NotRelational("membership is tested at the end")
         if e.array not in self.written_arrays or e.array in self.looked_up:
+            self.tested.add(e.array)
             return V("inconst", (e.array, k))
+        if (e.array, k) in self.reads:
+            raise NotRelational(f"an element of {e.array} is tested for after it was read")
         return V("held", (e.array, k))
 
     def e_Cond(self, f, e):

@@ -107,7 +107,7 @@ def truth(v: V) -> V:
     """The value as 0 or 1."""
     from recordflow.runtime.values import truth as held
 
-    if v.op in ("cmp", "and", "or", "not", "match", "in", "held", "bool"):
+    if v.op in ("cmp", "and", "or", "not", "match", "held", "inconst", "bool"):
         return v
     if is_const(v):
         return ONE if held(const_value(v)) else ZERO

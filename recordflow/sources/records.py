@@ -76,3 +76,20 @@ def paragraphs(text: Column) -> Column:
     lines."""
     body = F.regexp_replace(F.regexp_replace(text, r"\A\n+", ""), r"\n+\z", "")
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n\n+", -1))
+
+
+def cut_records(df: DataFrame, text: str, rs: str = "\n", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the texts in a column, natively where the separator allows: keep, __pos
+    (place in its text) and value. A text that ends with a separator has no record after
+    it."""
+    from recordflow.functions.strings import split_fields
+
+    c = F.coalesce(F.col(text), F.lit(""))
+    if rs == "":
+        parts = paragraphs(c)
+    else:
+        parts = split_fields(c, rs, len(rs) > 1)
+        parts = F.split(c, " ", -1) if rs == " " else parts
+        parts = F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+        parts = F.when(c == "", F.array().cast("array<string>")).otherwise(parts)
+    return df.select(*keep, F.posexplode(parts).alias("__pos", "value"))
