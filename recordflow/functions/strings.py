@@ -103,12 +103,11 @@ def substitute(s: Column, pattern: str, replacement: str, every: bool) -> tuple[
 def match(s: Column, pattern: str) -> tuple[Column, Column]:
     """Start and length of the first longest match: 0 and -1 without one."""
     ere = compile_ere(pattern)
-    if ere.exact:
-        found = F.regexp_substr(s, F.lit(ere.java)) if not ere.nullable else F.regexp_extract(s, ere.java, 0)
+    if ere.exact and not ere.nullable:
         hit = s.rlike(ere.java)
-        start = F.regexp_instr(s, F.lit(ere.java)).cast("double") if not ere.nullable else None
-        if start is not None:
-            return F.when(hit, start).otherwise(0.0), F.when(hit, F.length(found).cast("double")).otherwise(-1.0)
+        # characters, not UTF-16 units as regexp_instr counts them
+        before = F.length(F.regexp_extract(s, rf"(?s)\A(.*?)(?:{ere.java})", 1))
+        return F.when(hit, (before + 1).cast("double")).otherwise(0.0), F.when(hit, F.length(F.regexp_substr(s, F.lit(ere.java))).cast("double")).otherwise(-1.0)
 
     @F.arrow_udf(T.StructType([T.StructField("a", T.DoubleType()), T.StructField("n", T.DoubleType())]))
     def run(texts: pa.Array) -> pa.Array:
