@@ -8,15 +8,18 @@ shards, so texts are cut first where equal strings are cut alike:
    Consecutive strings with one anchor make up a slice. Equal strings have equal anchors
    at the same place, so all documents that repeat a string hold it in slices with the
    same anchor. Of each slice (anchor hash, slice hash, document) goes to the anchor's
-   bucket.
+   bucket; of equal slices of a batch one only, as the others are copies already.
 2. A bucket tells, of each slice, whether it is a copy of a slice in a smaller document
    (then all of it goes), or the first of its kind. If different slices share an anchor,
    the first ones are compared byte by byte.
 3. These go to shards by anchor. A shard of bounded size gets a suffix array by
    Larsson-Sadakane refinement (ranks by the first 8 bytes, then doubling, only in groups
    that are not yet sorted), common prefixes by Kasai's rule, and from both the least
-   document of every distinct 50-byte string. If an anchor's bucket is larger than a
-   shard, its shards' sorted strings are merged by binary search.
+   document of every distinct 50-byte string. If a bucket is larger than a shard, its
+   shards' sorted strings are merged by binary search. Of an anchor in more slices than
+   ``crowd`` of a batch (a passage's end in a third of all documents), what is over goes
+   round the anchor's bucket, and its strings are dealt to shards one by one, by their
+   own hashes; equal ones of a group of documents only once.
 4. What goes is sent back to the documents' own groups.
 
 Hashes only choose what is compared or, for copies, stand for a slice by 40 + 48 bits
@@ -35,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ from recordflow.llm.shared import settle
 
 LENGTH, GRAM = 50, 20
 SHARD = 8_000_000
+#: Slices of one anchor that a batch sends to the anchor's bucket, and that a bucket takes.
+CROWD, MOST = 32, 4096
 LAST = np.iinfo(np.int64).max
 
 
@@ -68,7 +74,7 @@ class Slices:
         if n < LENGTH:
             return
         up, down = Powers.to(n + 1)
-        total = np.zeros(n + 1, np.uint64)
+        total = self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
         gram = mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
         low = np.uint64((1 << 28) - 1)
@@ -86,6 +92,15 @@ class Slices:
         self.anchor = gram[at[first]]
         self.content = mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)) >> np.uint64(16)
 
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of slices: of each of their strings the slice, its number there, and its hash."""
+        n = self.count[which]
+        owner = np.repeat(which, n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = self.start[owner] + within
+        _, down = Powers.to(len(self.raw) + 1)
+        return owner, within, mixed((self.total[at + LENGTH] - self.total[at]) * down[at])
+
     def bytes_of(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.start[i] + self.count[i] + LENGTH - 1].tobytes()
 
@@ -121,53 +136,86 @@ def _ids(column) -> np.ndarray:
     return c.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _announce(n_buckets: int):
+ANNOUNCED = "bucket long, a binary, c binary, d binary, t binary, h binary, kd binary, kc binary, hd binary, hc binary"
+
+
+def _announce(n_buckets: int, crowd: int):
+    """Per batch and bucket: slices (a, c, d by t), crowded anchors (h); in rows of their
+    own, copies (kd, kc) and slices of crowded anchors (hd, hc) that are known already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for b in batches:
             ids = _ids(b.column(0))
             for first, texts in groups_of(b.column(1), 4_000_000):
                 s = Slices(texts)
-                bucket = (s.anchor % np.uint64(n_buckets)).astype(np.int64)
+                if not len(s.start):
+                    continue
+                doc = ids[first + s.text]
+                by = np.lexsort((doc, s.content, s.anchor))
+                a, c, d = s.anchor[by], s.content[by], doc[by]
+                new_a = np.r_[True, a[1:] != a[:-1]]
+                new = new_a | np.r_[True, c[1:] != c[:-1]]
+                copy = d > d[new][np.cumsum(new) - 1]
+                kd, kc = d[copy], c[copy]
+                a, c, d, new_a = a[new], c[new], d[new], new_a[new]
+                run_of = np.cumsum(new_a) - 1
+                rank = np.arange(len(a)) - np.nonzero(new_a)[0][run_of]
+                over = rank >= crowd
+                crowded = np.unique(a[over])
+                hd, hc = d[over], c[over]
+                a, c, d = a[~over], c[~over], d[~over]
+                bucket, h_bucket = (a % np.uint64(n_buckets)).astype(np.int64), (crowded % np.uint64(n_buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-                a, c, t = _cut(s.anchor >> np.uint64(24), 5)[by], _cut(s.content, 6)[by], (s.text[by]).astype("<u4")
-                used = np.nonzero(cut[1:] > cut[:-1])[0]
-                docs = ids[first : first + len(texts)].astype("<i8")
-                blobs = []
-                for k in used.tolist():
+                short, a, c, d = _cut(crowded >> np.uint64(24), 5), _cut(a >> np.uint64(24), 5)[by], _cut(c, 6)[by], d[by]
+                used = np.nonzero(cut[1:] > cut[:-1])[0].tolist()
+                rows = []
+                for k in used:
                     lo, hi = cut[k], cut[k + 1]
-                    held, at = np.unique(t[lo:hi], return_inverse=True)
-                    blobs.append((a[lo:hi].tobytes(), c[lo:hi].tobytes(), docs[held].tobytes(), at.astype("<u2" if len(held) <= 1 << 16 else "<u4").tobytes()))
-                if blobs:
-                    yield pa.record_batch([pa.array(used, pa.int64()), *[pa.array(x, pa.binary()) for x in zip(*blobs, strict=True)]], ["bucket", "a", "c", "d", "t"])
+                    held, at = np.unique(d[lo:hi], return_inverse=True)
+                    rows.append((k, a[lo:hi].tobytes(), c[lo:hi].tobytes(), held.astype("<i8").tobytes(), at.astype("<u2" if len(held) <= 1 << 16 else "<u4").tobytes(), short[h_bucket == k].tobytes(), b"", b"", b"", b""))
+                if len(kd) or len(hd):
+                    rows.append((turn % n_buckets, b"", b"", b"", b"", b"", kd.astype("<i8").tobytes(), _cut(kc, 6).tobytes(), hd.astype("<i8").tobytes(), _cut(hc, 6).tobytes()))
+                turn += 1
+                buckets, *blobs = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], [x.split()[0] for x in ANNOUNCED.split(", ")])
 
     return run
 
 
 ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary"
+#: Kinds of answers: to be compared; copies; strings found; of crowded anchors, to be compared.
+NEEDED, COPIED, FOUND, CROWDED = 0, 1, 2, 3
 
 
 def _answers(n_groups: int):
-    """Of the slices of a bucket: copies (kind 1) and those to be compared (kind 0)."""
+    """Of the slices of a bucket: copies and those to be compared."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        a, c, d = [], [], []
+        a, c, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        crowded, rows = [np.zeros(0, np.uint64)], []
         for x in group.to_pylist():
-            a.append(_uncut(x["a"], 5))
-            c.append(_uncut(x["c"], 6))
-            at = np.frombuffer(x["t"], "<u2" if len(x["t"]) < 4 * len(a[-1]) else "<u4")
-            d.append(np.frombuffer(x["d"], "<i8")[at])
-        a, c, d = np.concatenate(a), np.concatenate(c), np.concatenate(d)
+            if x["a"]:
+                a.append(_uncut(x["a"], 5))
+                c.append(_uncut(x["c"], 6))
+                at = np.frombuffer(x["t"], "<u2" if len(x["t"]) < 4 * len(a[-1]) else "<u4")
+                d.append(np.frombuffer(x["d"], "<i8")[at])
+            crowded.append(_uncut(x["h"], 5))
+            for kind, k in ((COPIED, "k"), (CROWDED, "h")):
+                if x[k + "d"]:
+                    rows.extend(_by_group(kind, n_groups, np.frombuffer(x[k + "d"], "<i8"), _uncut(x[k + "c"], 6), None))
+        a, c, d, crowded = np.concatenate(a), np.concatenate(c), np.concatenate(d), np.unique(np.concatenate(crowded))
         by = np.argsort(a, kind="stable")
         a, c, d = a[by], c[by], d[by]
         same = a[1:] == a[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
+        shared = (np.r_[False, same] | np.r_[same, False])[: len(a)] | np.isin(a, crowded)
         a, c, d = a[shared], c[shared], d[shared]
         by = np.lexsort((d, c, a))
         a, c, d = a[by], c[by], d[by]
         if not len(a):
-            return _answer([], bucket)
+            return _answer(rows, bucket)
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_c = new_a | np.r_[True, c[1:] != c[:-1]]
         of_c, of_a = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
@@ -176,10 +224,11 @@ def _answers(n_groups: int):
         kinds = np.bincount(of_a, new_c)[of_a]
         starts = np.nonzero(new_a)[0]
         lowest, highest = np.minimum.reduceat(first, starts)[of_a], np.maximum.reduceat(first, starts)[of_a]
-        need = ~copy & (kinds > 1) & (highest > lowest)
-        need &= np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])]
-        rows = []
-        for kind, take in ((1, copy), (0, need)):
+        crowd = np.isin(a, crowded)
+        need = ~copy & (crowd | (kinds > 1) & (highest > lowest))
+        need &= new_c | np.r_[True, d[1:] != d[:-1]]
+        crowd |= kinds > MOST
+        for kind, take in ((COPIED, copy), (NEEDED, need & ~crowd), (CROWDED, need & crowd)):
             rows.extend(_by_group(kind, n_groups, d[take], c[take], None))
         return _answer(rows, bucket)
 
@@ -210,7 +259,11 @@ def _told(answers: pa.Table, kinds: tuple) -> tuple[np.ndarray, np.ndarray, np.n
             m.append(np.frombuffer(x["m"], "<u8") if x["m"] else np.full(len(d[-1]), ~np.uint64(0)))
     d, c, m = np.concatenate(d), np.concatenate(c), np.concatenate(m)
     by = np.lexsort((c, d))
-    return d[by], c[by], m[by]
+    d, c, m = d[by], c[by], m[by]
+    if not len(d):
+        return d, c, m
+    first = np.nonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])[0]
+    return d[first], c[first], np.bitwise_or.reduceat(m, first)  # all that is said holds
 
 
 def _matched(s: Slices, docs: np.ndarray, told: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -236,35 +289,51 @@ def _matched(s: Slices, docs: np.ndarray, told: tuple) -> tuple[np.ndarray, np.n
     asked = (at[which].astype(np.uint64) << np.uint64(48)) | want["c"][which]
     k = np.minimum(np.searchsorted(flat, asked), len(flat) - 1)
     ok = flat[k] == asked
-    # a slice may be told of twice (as a copy and by its mask): all that is said holds
-    masks = m[k[ok]].copy()
-    nxt = np.minimum(k[ok] + 1, len(flat) - 1)
-    again = (flat[nxt] == asked[ok]) & (nxt > k[ok])
-    masks[again] |= m[nxt[again]]
-    return which[ok], masks
+    return which[ok], m[k[ok]]
+
+
+SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary, kc binary, km binary"
 
 
 def _compared(n_buckets: int):
-    """The slices of a group's texts that are to be compared, by bucket."""
+    """What is to be compared of a group's texts, by bucket: slices by their anchors, of
+    crowded anchors single strings (number k of their slice) by their own hashes."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[int, list[tuple]] = {}
-        told = _told(answers, (0,)) if answers.num_rows else None
-        if told is not None and len(told[0]) and docs.num_rows:
+        known = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        needed, crowded = ((_told(answers, (k,)) for k in (NEEDED, CROWDED)) if answers.num_rows else (None, None))
+        if needed is not None and docs.num_rows:
             ids = _ids(docs.column("doc_id"))
-            need = np.isin(ids, told[0])
-            ids, text = ids[need], docs.column("text").combine_chunks().filter(pa.array(need))
+            asked = np.isin(ids, needed[0]) | np.isin(ids, crowded[0])
+            ids, text = ids[asked], docs.column("text").combine_chunks().filter(pa.array(asked))
             for first, texts in groups_of(text, 4_000_000):
                 s = Slices(texts)
                 of = ids[first : first + len(texts)]
-                for i in _matched(s, of, told)[0].tolist():
-                    out.setdefault(int(s.anchor[i] % np.uint64(n_buckets)), []).append((int(of[s.text[i]]), int(s.content[i]), s.bytes_of(i)))
+                for i in _matched(s, of, needed)[0].tolist():
+                    out.setdefault(int(s.anchor[i] % np.uint64(n_buckets)), []).append((int(of[s.text[i]]), int(s.content[i]), 0, s.bytes_of(i)))
+                which = _matched(s, of, crowded)[0]
+                if not len(which):
+                    continue
+                slice_, k, h = s.strings(which)
+                d = of[s.text[slice_]]
+                by = np.lexsort((d, h))
+                slice_, k, h, d = slice_[by], k[by], h[by], d[by]
+                new = np.r_[True, h[1:] != h[:-1]]
+                later = d > d[new][np.cumsum(new) - 1]
+                known.append((d[later], s.content[slice_[later]], np.uint64(1) << k[later].astype(np.uint64)))
+                for i, j, x, y in zip(slice_[~later].tolist(), k[~later].tolist(), h[~later].tolist(), d[~later].tolist(), strict=True):
+                    at = int(s.start[i]) + j
+                    out.setdefault(x % n_buckets, []).append((y, int(s.content[i]), j, s.raw[at : at + LENGTH].tobytes()))
         rows = []
         for bucket, x in out.items():
-            d, c, b = zip(*x, strict=True)
-            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), b"".join(b)))
-        k, d, c, n, b = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.table({"bucket": pa.array(k, pa.int64()), "d": pa.array(d, pa.binary()), "c": pa.array(c, pa.binary()), "n": pa.array(n, pa.binary()), "b": pa.array(b, pa.binary())})
+            d, c, k, b = zip(*x, strict=True)
+            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), np.array(k, np.uint8).tobytes(), b"".join(b), b"", b"", b""))
+        d, c, m = (np.concatenate(x) for x in zip(*known, strict=True))
+        if len(d):
+            rows.append((int(d[0]) % n_buckets, b"", b"", b"", b"", b"", d.astype("<i8").tobytes(), _cut(c, 6).tobytes(), m.astype("<u8").tobytes()))
+        buckets, *blobs = zip(*rows, strict=True) if rows else ((),) * 9
+        return pa.table([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], [x.split()[0] for x in SENT.split(", ")])
 
     return run
 
@@ -419,13 +488,20 @@ def repeated_strings(sizes: np.ndarray, raw: np.ndarray, docs: np.ndarray, shard
 def _resolved(n_groups: int, shard: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        rows = group.select(["d", "c", "n", "b"]).to_pylist()
-        d = np.concatenate([np.frombuffer(x["d"], "<i8") for x in rows])
-        c = np.concatenate([_uncut(x["c"], 6) for x in rows])
-        n = np.concatenate([np.frombuffer(x["n"], np.uint8) for x in rows]).astype(np.int64)
-        masks = repeated_strings(n, np.frombuffer(b"".join([x["b"] for x in rows]), np.uint8), d, shard)
-        hit = masks > 0
-        return _answer(_by_group(2, n_groups, d[hit], c[hit], masks[hit]), bucket)
+        every = group.to_pylist()
+        rows = [x for x in every if x["d"]]
+        out: list[tuple] = []
+        if rows:
+            joined = {f: b"".join([x[f] for x in rows]) for f in "dcnkb"}
+            d, c = np.frombuffer(joined["d"], "<i8"), _uncut(joined["c"], 6)
+            n, k = np.frombuffer(joined["n"], np.uint8).astype(np.int64), np.frombuffer(joined["k"], np.uint8).astype(np.uint64)
+            masks = repeated_strings(n, np.frombuffer(joined["b"], np.uint8), d, shard) << k
+            hit = masks > 0
+            out = _by_group(FOUND, n_groups, d[hit], c[hit], masks[hit])
+        for x in every:
+            if x["kd"]:
+                out.extend(_by_group(FOUND, n_groups, np.frombuffer(x["kd"], "<i8"), _uncut(x["kc"], 6), np.frombuffer(x["km"], "<u8")))
+        return _answer(out, bucket)
 
     return run
 
@@ -448,7 +524,7 @@ def _stripped(rest: list[str], keep_text: bool):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids = _ids(docs.column("doc_id"))
-        told = _told(answers, (1, 2)) if answers.num_rows else (np.zeros(0, np.int64),) * 3
+        told = _told(answers, (COPIED, FOUND)) if answers.num_rows else (np.zeros(0, np.int64),) * 3
         size, removed, spans, digest, kept, where = [], [], [], [], [], []
         text = docs.column("text")
         for first, texts in groups_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, 4_000_000):
@@ -484,31 +560,31 @@ def _stripped(rest: list[str], keep_text: bool):
     return run
 
 
-def _sought(docs: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, int]:
+def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFrame, int]:
     """docs with their group __g, what is known of copies, and what shards found."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_groups = n, n + 1
     two = docs.select("doc_id", "text")
-    announced = two.mapInArrow(_announce(n_buckets), "bucket long, a binary, c binary, d binary, t binary")
+    announced = two.mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
     answers = settle(announced.groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
     grouped = docs.withColumn("__g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups)))
-    cut = grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(answers.groupBy("g")).applyInArrow(_compared(n_buckets), "bucket long, d binary, c binary, n binary, b binary")
+    cut = grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(answers.groupBy("g")).applyInArrow(_compared(n_buckets), SENT)
     found = cut.groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
-    return grouped, answers.filter("kind = 1").unionAll(found), n_groups
+    return grouped, answers.filter(F.col("kind") == COPIED).unionAll(found), n_groups
 
 
-def digests(docs: DataFrame, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    grouped, told, _ = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard)
+    grouped, told, _ = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard, crowd)
     return grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped([], False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+def strip(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """docs (doc_id long, text, any others) with what repeats taken from the texts, and
     ``spans``: first byte and end of each run that went. Of a character that went in part
     nothing stays."""
     rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text", "spans")]
-    grouped, told, _ = _sought(docs.select("doc_id", "text", *rest), shard)
+    grouped, told, _ = _sought(docs.select("doc_id", "text", *rest), shard, crowd)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
     schema = f"doc_id long, {types}{', ' if types else ''}text string, spans array<struct<first: long, end: long>>"
     return grouped.groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped(rest, True), schema)

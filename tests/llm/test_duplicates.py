@@ -150,11 +150,11 @@ def passages(seed=6):
     return docs + [(90, docs[3][1]), (91, None), (92, ""), (93, "short"), (94, "x" * 3000), (95, "x" * 49)]
 
 
-@pytest.mark.parametrize("shard", [repeats.SHARD, 2000])
-def test_repeats(table, shard):
+@pytest.mark.parametrize("shard,crowd", [(repeats.SHARD, repeats.CROWD), (2000, 32), (repeats.SHARD, 1), (2000, 3)])
+def test_repeats(table, shard, crowd):
     docs = passages()
     want = stripped(docs)
-    for r in repeats.digests(table(docs), shard).collect():
+    for r in repeats.digests(table(docs), shard, crowd).collect():
         text = dict(docs)[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], text]
 
