@@ -64,18 +64,6 @@ class Recent(dict):
         return list(rest - old.keys())
 
 
-def slabs(texts: list, most: int):
-    """Index ranges of texts with about ``most`` characters each, in order."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 #: Bits of the sketch that ``among`` broadcasts, in rows of 4 KB: 8 MB, whatever the ids.
 SKETCH_BITS, ROW_BITS = 1 << 26, 1 << 15
 

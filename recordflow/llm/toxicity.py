@@ -1,26 +1,27 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams (with its bounds marked), each hashed to a row
-of an embedding table; a passage of ``WINDOW`` words is the average of its words' bags; a
-linear softmax over the average gives its class. Table and softmax are trained jointly in
-numpy. An unseen misspelling shares most n-gram vectors with the word it stands for. Since
-one remark in a long text makes it toxic, a document takes the score of its worst passage,
-and training follows: after a first round on all passages, each document is represented
-by the passage that now scores highest.
+of an embedding table; a linear softmax over the average of bags gives a class. Table and
+softmax are trained jointly in numpy. An unseen misspelling shares most n-gram vectors
+with the word it stands for; rows start at zero, so n-grams that were never seen say
+nothing. Since a remark in a long text makes it toxic, the average goes over the ``WORST``
+distinct words of a document that score highest; training follows: after rounds on words
+from all over the texts, each document is represented by the words that now score highest.
 
 Training is bounded by parameters: ``per_class`` labelled rows of each class (those of
 the smallest id hashes) with at most ``longest`` characters. Scoring reads every text
 whole.
 
-Cases: null and empty texts have no passage and take the softmax of a zero average, kept
-below 0.5; labels other than 0 and 1 and rows without a text are not learned from; without
-labels of both classes every score is 0; repeated rows are scored each; a null id counts
-as the empty text in the fold rule; other columns are kept by ``with_score``.
+Cases: null and empty texts have no words and score below 0.5; labels other than 0 and 1
+and rows without a text are not learned from; without labels of both classes every score
+is below 0.5; repeated rows are scored each; a null id counts as the empty text in the
+fold rule; other columns are kept by ``with_score``.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.llm.shared import Recent, slabs
 
-BUCKETS, WIDTH, WINDOW, GRAMS = 1 << 18, 8, 5, (3, 4, 5, 6)
+BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5, 6)
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-_=/\\~`^@"
 
 
@@ -53,18 +53,18 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        docs = []
-        for t in texts:
-            docs.append(np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int64))
-        bags = [grams(w) for w in number]
-        self.size = np.array([len(b) for b in bags], np.int64)
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
+        rows, size = array("i"), array("i")  # plain ints in lists would take ten times the memory
+        for w in number:
+            g = grams(w)
+            rows.extend(g)
+            size.append(len(g))
+        self.rows, self.size = np.frombuffer(rows, np.int32), np.frombuffer(size, np.int32).astype(np.int64)
         self.start = np.r_[0, np.cumsum(self.size)]
-        self.rows = np.array([r for b in bags for r in b], np.int64)
-        self.docs = docs
 
     def means(self, table: np.ndarray) -> np.ndarray:
         """Average of a one-column table over the bag of each word."""
-        return np.add.reduceat(np.r_[table[self.rows], 0.0], self.start[:-1]) / np.maximum(self.size, 1) if len(self.size) else np.zeros(0)
+        return np.add.reduceat(table.astype(np.float32)[self.rows], self.start[:-1]).astype(np.float64) / self.size if len(self.size) else np.zeros(0)
 
     def gather(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Table rows of passages, the passage of each, and its share in the average."""
@@ -76,21 +76,21 @@ class Bags:
         return self.rows[at], np.repeat(owner, size), np.repeat(share, size)
 
 
-def passages(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Averages of all runs of ``window`` values (of all values, if fewer)."""
-    if len(values) <= window:
-        return values.mean(keepdims=True) if len(values) else values
-    c = np.cumsum(np.r_[0.0, values])
-    return (c[window:] - c[:-window]) / window
+def worst(values: np.ndarray) -> float:
+    """The average of the highest values."""
+    if len(values) > WORST:
+        values = np.partition(values, len(values) - WORST)[-WORST:]
+    return float(values.mean())
 
 
 class Model:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.rng = rng
-        self.table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
+        self.table = np.zeros((BUCKETS, WIDTH))
         self.out, self.bias = rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)
-        self.g_table, self.g_out, self.g_bias = np.full(BUCKETS, 1e-8), 1e-8, 1e-8
+        #: Squared movement so far; its start keeps rows that were seen once near zero.
+        self.g_table, self.g_out, self.g_bias = np.full(BUCKETS, 1e-6), 1e-8, 1e-8
 
     def step(self, bags: Bags, batch: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rate: float) -> None:
         """One step of weighted cross entropy on averages, with rates that adapt to how
@@ -121,40 +121,44 @@ class Model:
         return (self.table @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 256, rate: float = 0.15) -> tuple[np.ndarray, float]:
-    """Log odds per table row, and offset."""
+def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2, drawn: int = 30, batch: int = 256, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Log odds per table row, and offset. In the first rounds ``drawn`` words of each
+    text are learned from."""
     bags, model = Bags(texts), Model()
     docs = [i for i, d in enumerate(bags.docs) if len(d)]
     if not docs or len(set(labels[docs].tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), -20.0
     balance = len(docs) / 2 / np.bincount(labels[docs], minlength=2)
+    distinct = {i: np.unique(bags.docs[i]) for i in docs}
     for turn in range(rounds):
-        score = bags.means(model.line()[0].astype(np.float64)) if turn > 1 else None
+        score = bags.means(model.line()[0]) if turn >= first else None
         for at in np.array_split(model.rng.permutation(docs), max(1, len(docs) // batch)):
             chosen, of = [], []
             for i in at.tolist():
-                d = bags.docs[i]
-                if score is None:  # passages from all over the text
-                    starts = model.rng.integers(0, max(1, len(d) - WINDOW + 1), 6)
-                else:  # the worst one, and another
-                    s = passages(score[d])
-                    starts = [int(s.argmax()), int(model.rng.integers(0, len(s)))] if not labels[i] else [int(s.argmax())]
-                for a in starts:
-                    chosen.append(d[a : a + WINDOW])
+                if score is None:
+                    d = bags.docs[i]
+                    chosen.extend(d[a : a + 1] for a in model.rng.integers(0, len(d), drawn))
+                    of.extend([i] * drawn)
+                    continue
+                d = distinct[i]
+                by = d[np.argsort(-score[d], kind="stable")[: 2 * WORST]]
+                chosen.append(by[:WORST])
+                of.append(i)
+                if not labels[i] and len(by) > WORST:  # and the next ones
+                    chosen.append(by[WORST:])
                     of.append(i)
             y = labels[of]
             model.step(bags, chosen, y, balance[y] / len(of), rate)
     line, offset = model.line()
-    score = bags.means(line.astype(np.float64))
-    worst = np.array([passages(score[bags.docs[i]]).max() for i in docs])
-    return line, threshold(worst, labels[docs], offset)
+    score = bags.means(line)
+    return line, threshold(np.array([worst(score[distinct[i]]) for i in docs]), labels[docs], offset)
 
 
-def threshold(worst: np.ndarray, labels: np.ndarray, offset: float) -> float:
+def threshold(scores: np.ndarray, labels: np.ndarray, offset: float) -> float:
     """The offset at which the most training documents are classed rightly; of a gap
     between classes the middle."""
-    order = np.argsort(worst)
-    w, y = worst[order], labels[order]
+    order = np.argsort(scores)
+    w, y = scores[order], labels[order]
     right = np.r_[0, np.cumsum(y == 0)] + (y == 1).sum() - np.r_[0, np.cumsum(y == 1)]
     best = np.nonzero(right == right.max())[0]
     at = best[len(best) // 2]
@@ -168,8 +172,23 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).filter("y in (0, 1) and id is not null").filter(fold(F.col("id")) != 0)
     d = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(f"t is not null and length(t) <= {longest}")
     taken = [known.filter(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    got = d.join(F.broadcast(taken[0].unionAll(taken[1])), "id").select("t", "y").toArrow().sort_by([("y", "ascending"), ("t", "ascending")])
-    return got.column("t").to_pylist(), got.column("y").to_numpy().astype(np.int64)
+    got = d.join(F.broadcast(taken[0].unionAll(taken[1])), "id").select("t", "y").toArrow()
+    rows = sorted(zip(got.column("y").to_pylist(), got.column("t").to_pylist(), strict=True))
+    return [t for _, t in rows], np.array([y for y, _ in rows], np.int64)
+
+
+class Known(dict):
+    """Log odds of words; when there are ``most``, they are forgotten."""
+
+    def __init__(self, line: np.ndarray, most: int):
+        super().__init__()
+        self.line, self.most = line, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        x = self[word] = float(self.line[grams(word)].mean())
+        return x
 
 
 def scorer(line: np.ndarray, offset: float, keep: int = 200_000):
@@ -177,18 +196,15 @@ def scorer(line: np.ndarray, offset: float, keep: int = 200_000):
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Recent(keep)
+        known = Known(line, keep)
+        get = known.__getitem__
         for batch in batches:
             out: list[float] = []
-            texts = batch.to_pylist()
-            for a, b in slabs(texts, 4_000_000):
-                split = [t.lower().split() if t else [] for t in texts[a:b]]
-                for w in known.missing({w for s in split for w in s}):
-                    known[w] = float(line[grams(w)].mean())
-                for words in split:
-                    s = passages(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-                    z = float(s.max()) + offset if len(s) else min(offset, -1.0)
-                    out.append(1 / (1 + float(np.exp(-max(-60.0, min(60.0, 4 * z))))))
+            for t in batch:
+                t = t.as_py()
+                words = set(t.lower().split()) if t else ()
+                z = worst(np.fromiter(map(get, words), np.float64, len(words))) + offset if words else min(offset, -1.0)
+                out.append(1 / (1 + float(np.exp(-max(-60.0, min(60.0, 4 * z))))))
             yield pa.array(out, pa.float64())
 
     return score
