@@ -180,8 +180,8 @@ def _block_pairs(group: pa.Table) -> pa.Table:
     n = 32
     m = least_matches(n, n, n)[n]
     out = [np.zeros((2, 0), np.int64)]
-    for at in range(0, len(left), 64):
-        x = left[at : at + 64]
+    for at in range(0, len(left), 16):  # so few that all their pairs take little memory
+        x = left[at : at + 16]
         same = np.zeros((len(x), len(right)), np.int16)
         for k in range(n):
             same += sig[x, k][:, None] == sig[right, k][None, :]
