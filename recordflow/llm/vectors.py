@@ -313,11 +313,26 @@ def learn(x: np.ndarray, n_parts: int, neighbours: int = 10, hidden: int = 128,
     return router
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32, probes: int = 12, sample: int = 8192, rows: int = ROWS, at_once: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def probes_for(router: Router, x: np.ndarray, asked: np.ndarray, k: int, target: float) -> int:
+    """The least number of parts in which rows of x that the router wasn't fitted on
+    (numbers ``asked``) find the target share of their k nearest among x."""
+    scores = router.scores(x)
+    part, n_parts = scores.argmax(axis=1), scores.shape[1]
+    place = np.argsort(np.argsort(-scores[asked], axis=1, kind="stable"), axis=1)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(s, -k, axis=1)[:, -k:]
+    found = np.sort(np.take_along_axis(place, part[near], axis=1).ravel())
+    return int(found[min(len(found) - 1, math.ceil(target * len(found)) - 1)]) + 1
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32, probes: int | None = None, target: float = 0.95, sample: int = 8192, rows: int = ROWS, at_once: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``,
     the k rows with the largest inner product found in the ``probes`` parts that the
-    router names. The router is fitted on the ``sample`` rows of the smallest id hashes,
-    which are collected; every row is indexed under its most probable part."""
+    router names. The router is fitted on four fifths of the ``sample`` rows of the
+    smallest id hashes, which are collected; the others tell how many probes reach the
+    ``target`` recall, where that isn't given. Every row is indexed under its most
+    probable part. On vectors without clusters most parts have to be probed."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v"), False) & F.col("id").isNotNull())
     taken = v.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
@@ -325,7 +340,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = matrix(taken.column("v"))
     width = x.shape[1]
-    router = learn(x, n_parts)
+    own = np.arange(len(x)) % 5 == 0
+    router = learn(x[~own], n_parts)
+    if probes is None:
+        few = len(x) < 10 * k
+        probes = n_parts if few else probes_for(router, x, np.nonzero(own)[0][:1000], k, target)
     net = (router.w1, router.b1, router.w2, router.b2)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
