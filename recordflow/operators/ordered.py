@@ -72,8 +72,8 @@ def with_running(df: DataFrame, order: list[str], keys: list[Column], specs: lis
     w = Window.partitionBy("__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     of_range = {"sum": F.sum, "max": F.max, "min": F.min}
     last = F.struct(*by)
-    totals = ranged.groupBy("__range").agg(*[(F.max_by(r.value, F.when(r.value.isNotNull(), last)) if r.how == "last" else of_range[r.how](r.value)).alias(f"__t{i}") for i, r in enumerate(plain)])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__range", *[_over(Running("", r.how, F.col(f"__t{i}")), before).alias(f"__b{i}") for i, r in enumerate(plain)])
-    out = ranged.select("*", *[_over(r, w).alias(f"__h{i}") for i, r in enumerate(plain)]).join(F.broadcast(totals), "__range")  # a row a range
+    totals = ranged.groupBy(F.col("__range").alias("__before")).agg(*[(F.max_by(r.value, F.when(r.value.isNotNull(), last)) if r.how == "last" else of_range[r.how](r.value)).alias(f"__t{i}") for i, r in enumerate(plain)])
+    before = Window.orderBy("__before").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__before", *[_over(Running("", r.how, F.col(f"__t{i}")), before).alias(f"__b{i}") for i, r in enumerate(plain)])
+    out = ranged.select("*", *[_over(r, w).alias(f"__h{i}") for i, r in enumerate(plain)]).join(F.broadcast(totals), F.col("__range").eqNullSafe(F.col("__before")))  # a row a range
     return out.select(*df.columns, *[_joined(r, F.col(f"__b{i}"), F.col(f"__h{i}")).alias(r.name) for i, r in enumerate(plain)])
