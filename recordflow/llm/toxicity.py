@@ -31,16 +31,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5, 6)
+BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5)
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-_=/\\~`^@"
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case, without marks around them."""
+    return [w.strip(MARKS) or w for w in text.lower().split()]
+
+
 def grams(word: str) -> list[int]:
     """Rows of a word's n-grams and of the word itself in the embedding table."""
-    w = ("<" + (word.strip(MARKS) or word)[:64] + ">").encode()
+    w = ("<" + word[:64] + ">").encode()
     n, crc = len(w), zlib.crc32
-    out = [crc(w[i : i + k]) % BUCKETS for k in GRAMS for i in range(n - k + 1)]
-    out.append(crc(w, 1) % BUCKETS)
+    out = [crc(w[i : i + k]) & BUCKETS - 1 for k in GRAMS for i in range(n - k + 1)]
+    out.append(crc(w, 1) & BUCKETS - 1)
     return out
 
 
@@ -53,7 +58,7 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
         rows, size = array("i"), array("i")  # plain ints in lists would take ten times the memory
         for w in number:
             g = grams(w)
@@ -178,20 +183,27 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
 
 
 class Known(dict):
-    """Log odds of words; when there are ``most``, they are forgotten."""
+    """Log odds of words; when there are ``most``, those that weren't asked for since the
+    last time are forgotten."""
 
     def __init__(self, line: np.ndarray, most: int):
         super().__init__()
-        self.line, self.most = line, most
+        self.line, self.most = line.tolist(), most  # of single numbers lists are faster
+        self.old: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        x = self[word] = float(self.line[grams(word)].mean())
+        x = self.old.get(word)
+        if x is None:
+            line, rows = self.line, grams(word)
+            x = sum([line[i] for i in rows]) / len(rows)
+        self[word] = x
         return x
 
 
-def scorer(line: np.ndarray, offset: float, keep: int = 200_000):
+def scorer(line: np.ndarray, offset: float, keep: int = 150_000):
     """An Arrow function from texts to scores."""
 
     @F.arrow_udf(T.DoubleType())
@@ -200,9 +212,8 @@ def scorer(line: np.ndarray, offset: float, keep: int = 200_000):
         get = known.__getitem__
         for batch in batches:
             out: list[float] = []
-            for t in batch:
-                t = t.as_py()
-                words = set(t.lower().split()) if t else ()
+            for t in batch.to_pylist():
+                words = set(words_of(t)) if t else ()
                 z = worst(np.fromiter(map(get, words), np.float64, len(words))) + offset if words else min(offset, -1.0)
                 out.append(1 / (1 + float(np.exp(-max(-60.0, min(60.0, 4 * z))))))
             yield pa.array(out, pa.float64())
