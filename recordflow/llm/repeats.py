@@ -48,7 +48,7 @@ from recordflow.llm.shared import settle
 LENGTH, GRAM = 50, 20
 SHARD = 8_000_000
 #: Slices of one anchor that a batch sends to the anchor's bucket, and that a bucket takes.
-CROWD, MOST = 32, 4096
+CROWD, MOST = 256, 1 << 17
 LAST = np.iinfo(np.int64).max
 
 
@@ -147,7 +147,7 @@ def _announce(n_buckets: int, crowd: int):
         turn = TaskContext.get().partitionId()
         for b in batches:
             ids = _ids(b.column(0))
-            for first, texts in groups_of(b.column(1), 4_000_000):
+            for first, texts in groups_of(b.column(1), 1_000_000):
                 s = Slices(texts)
                 if not len(s.start):
                     continue
@@ -307,7 +307,7 @@ def _compared(n_buckets: int):
             ids = _ids(docs.column("doc_id"))
             asked = np.isin(ids, needed[0]) | np.isin(ids, crowded[0])
             ids, text = ids[asked], docs.column("text").combine_chunks().filter(pa.array(asked))
-            for first, texts in groups_of(text, 4_000_000):
+            for first, texts in groups_of(text, 1_000_000):
                 s = Slices(texts)
                 of = ids[first : first + len(texts)]
                 for i in _matched(s, of, needed)[0].tolist():
@@ -527,7 +527,7 @@ def _stripped(rest: list[str], keep_text: bool):
         told = _told(answers, (COPIED, FOUND)) if answers.num_rows else (np.zeros(0, np.int64),) * 3
         size, removed, spans, digest, kept, where = [], [], [], [], [], []
         text = docs.column("text")
-        for first, texts in groups_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, 4_000_000):
+        for first, texts in groups_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, 1_000_000):
             hit = np.isin(ids[first : first + len(texts)], told[0])
             some = [t for t, h in zip(texts, hit.tolist(), strict=True) if h]
             if some:
