@@ -15,8 +15,9 @@ def test_stages(spark, sf):
     clean = settle(stages["toxicity"](spark, docs, sf))
     assert clean.columns == columns and clean.count() < docs.count()
     kept = {i for i, _ in texts(clean)}
-    assert sum(labels[i] for i in kept if i in labels) <= 2  # a few dozen labels to learn from
-    assert sum(i not in kept for i, y in labels.items() if y == 0) <= 2
+    # a few dozen labels to learn from, a dozen of them toxic: most go, and few others
+    assert 2 * sum(labels[i] for i in kept if i in labels) < sum(labels.values())
+    assert sum(i not in kept for i, y in labels.items() if y == 0) <= 5
     single = settle(stages["near duplicates"](spark, clean, sf))
     want = components(texts(clean))
     assert single.columns == columns and sorted(i for i, _ in texts(single)) == sorted(i for i, (_, c) in want.items() if c == i)
