@@ -109,8 +109,8 @@ def groups_of(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes, about ``most`` bytes at a time (a larger text alone), and where
     each run begins."""
     part, size, first = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        t = t.encode() if t else b""
+    for i, t in enumerate(column.cast(pa.binary())):  # one at a time, as bytes at once
+        t = t.as_py() or b""
         if part and size + len(t) > most:
             yield first, part
             part, size, first = [], 0, i
