@@ -10,7 +10,8 @@ from all over the texts, each document is represented by the words that now scor
 
 Training is bounded by parameters: ``per_class`` labelled rows of each class (those of
 the smallest id hashes) with at most ``longest`` characters. Scoring reads every text
-whole.
+whole. A run of ``RUN`` or more characters without white space counts as many words: its
+overlapping windows of ``PIECE`` characters, and its parts between marks.
 
 Cases: null and empty texts have no words and score below 0.5; labels other than 0 and 1
 and rows without a text are not learned from; without labels of both classes every score
@@ -20,6 +21,7 @@ fold rule; other columns are kept by ``with_score``.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,16 +35,30 @@ from pyspark.sql import types as T
 
 BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5)
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-_=/\\~`^@"
+#: Characters of a run from which it is scored in pieces, of a window of it, and between windows.
+RUN, PIECE, STEP = 65, 10, 5
+#: Marks, those of full width and what is invisible.
+BREAKS = re.compile("[" + re.escape(MARKS) + "\u00ad\u200b-\u200f\u2026\u2060\ufeff\u3000-\u3003\u3008-\u3011\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case, without marks around them."""
-    return [w.strip(MARKS) or w for w in text.lower().split()]
+    """Words in lower case, without marks around them; long runs in pieces."""
+    words = [w.strip(MARKS) or w for w in text.lower().split()]
+    if max(map(len, words), default=0) >= RUN:
+        return [p for w in words for p in (pieces(w) if len(w) >= RUN else (w,))]
+    return words
+
+
+def pieces(run: str) -> list[str]:
+    """Windows that together hold every n-gram of a run, and what stands between marks
+    in it."""
+    windows = [run[a : a + PIECE] for a in range(0, len(run) - PIECE + STEP, STEP)]
+    return windows + [p for p in BREAKS.split(run) if 0 < len(p) < RUN]
 
 
 def grams(word: str) -> list[int]:
     """Rows of a word's n-grams and of the word itself in the embedding table."""
-    w = ("<" + word[:64] + ">").encode()
+    w = ("<" + word + ">").encode()
     n, crc = len(w), zlib.crc32
     out = [crc(w[i : i + k]) & BUCKETS - 1 for k in GRAMS for i in range(n - k + 1)]
     out.append(crc(w, 1) & BUCKETS - 1)

@@ -92,3 +92,16 @@ def test_toxicity_odd(table, spark):
     one_class = toxicity.with_score(table(good), labels.filter("toxic = 0"), "s")
     assert max(r["s"] for r in one_class.collect()) < 0.5
     assert toxicity.with_score(table([]), labels, "s").count() == 0
+
+
+def test_toxicity_long_runs(table, spark):
+    good = [(i, f"the table {w} stands near a window") for i, w in enumerate("abcdefghij" * 6)]
+    bad = [(i + 100, f"you {w} are an idiot and a moron") for i, w in enumerate("abcdefghij" * 6)]
+    labels = spark.createDataFrame([(i, 0) for i, _ in good] + [(i, 1) for i, _ in bad], "doc_id long, toxic int")
+    calm, remark = "the table stands near a window " * 5, "idiot moron idiot and a moron"
+    runs = {900 + i: by.join((calm + r).split()) for i, (by, r) in enumerate((by, r) for by in ("", "_", ",", "/", "\u200b") for r in ("", remark))}
+    got = {r["doc_id"]: r["s"] for r in toxicity.with_score(table(good + bad + list(runs.items())), labels, "s").collect()}
+    assert max(got[i] for i in runs if i % 2 == 0) < 0.5 < min(got[i] for i in runs if i % 2)
+    for run in (runs[900], "漢字" * 90, "x" * 65, "y" * 131):
+        held = set(toxicity.pieces(run))
+        assert all(any(run[a : a + 6] in p for p in held) for a in range(len(run) - 5))
