@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5)
+BUCKETS, WIDTH, WORST, GRAMS = 1 << 18, 8, 3, (3, 4, 5, 6)
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-_=/\\~`^@"
 #: Characters of a run from which it is scored in pieces, of a window of it, and between windows.
 RUN, PIECE, STEP = 65, 10, 5
@@ -142,9 +142,10 @@ class Model:
         return (self.table @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2, drawn: int = 30, batch: int = 256, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2, drawn: int = 30, batch: int = 256, rate: float = 0.3, least: int = 8) -> tuple[np.ndarray, float]:
     """Log odds per table row, and offset. In the first rounds ``drawn`` words of each
-    text are learned from."""
+    text are learned from. A round has ``least`` steps at least, so that few labels are
+    learned from as thoroughly as many."""
     bags, model = Bags(texts), Model()
     docs = [i for i, d in enumerate(bags.docs) if len(d)]
     if not docs or len(set(labels[docs].tolist())) < 2:
@@ -153,7 +154,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2
     distinct = {i: np.unique(bags.docs[i]) for i in docs}
     for turn in range(rounds):
         score = bags.means(model.line()[0]) if turn >= first else None
-        for at in np.array_split(model.rng.permutation(docs), max(1, len(docs) // batch)):
+        for at in np.array_split(model.rng.permutation(docs), min(len(docs), max(least, len(docs) // batch))):
             chosen, of = [], []
             for i in at.tolist():
                 if score is None:
