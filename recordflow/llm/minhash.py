@@ -19,9 +19,10 @@
 
 Cases: null texts and texts without words have no shingles, are linked with nothing and
 kept; texts of one to four words have one shingle; rows that share an id are one
-document; rows with a null id get no component unless their set occurs with an id, and
-are kept then only if they have none; an empty table gives an empty result; texts are
-read whole; other columns are not touched.
+document; rows with a null id are compared like others, under a hash of their set; they
+have the component of a document with an id if they are linked with one, and else none,
+where one row of each group is kept; an empty table gives an empty result; texts are read
+whole; other columns are not touched, those in ``carried`` are handed through.
 """
 
 from __future__ import annotations
@@ -144,7 +145,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one.append((h >> 64) - (1 << 63))
             two.append((h & (1 << 64) - 1) - (1 << 63))
             sig.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary()), *b.columns[2:]], ["doc_id", "n_shingles", "k1", "k2", "sig", *b.schema.names[2:]])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts under the key that their class has if it has no id."""
+    for b in batches:
+        keys = [(xxhash.xxh3_128_intdigest(shingles(t).tobytes()) >> 64) - (1 << 63) for t in b.column(1).to_pylist()]
+        yield pa.record_batch([pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "text"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +231,19 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_ends(pairs, sets, ("s", "x", "y")).filter(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = settle(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
-    classes = settle(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    known = classes.filter("rep is not null").select(F.col("rep").alias("id"), "n", "sig")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and columns carried; one row per row of docs."""
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    rows = docs.mapInArrow(_sketches, f"doc_id long, n_shingles long, k1 long, k2 long, sig binary{kinds}")
+    rows = settle(rows.withColumn("__row", F.monotonically_increasing_id()))
+    docs = docs.select("doc_id", "text")
+    classes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("__row").alias("first"))
+    classes = settle(classes.withColumn("rep", F.coalesce("least", "k1")))
+    without = not classes.filter("least is null").isEmpty()
+    if without:  # of each set one text
+        docs = docs.filter("doc_id is not null").unionAll(settle(docs.filter("doc_id is null and text is not null").mapInArrow(_keyed, "doc_id long, text string").dropDuplicates(["doc_id"])))
+    known = classes.select(F.col("rep").alias("id"), "n", "sig")
     width = 4 * ROWS
     banded = known.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     banded = banded.select(F.col("id").alias("rep"), "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
@@ -261,7 +276,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
     links = links.unionAll(settle(verified(left, docs)))
     comps = components(links)
-    named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "least", "first", F.coalesce("component", "rep").alias("component"))
+    first = F.lit(None).cast("long").alias("first")
+    if without:  # components are named by ids only
+        names = named.groupBy("component").agg(F.min("least").alias("name"), F.min("first").alias("first"))
+        named = named.drop("first").join(names, "component").select("k1", "k2", F.col("name").alias("component"), "first")
+    else:
+        named = named.select("k1", "k2", "component", first)
+    out = rows.drop("sig").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.when((F.col("n_shingles") > 0) & F.col("component").isNull(), F.col("__row") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *carried)

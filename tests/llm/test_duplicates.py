@@ -78,6 +78,16 @@ def test_near_duplicates_odd(table):
     assert sorted(((r["doc_id"] or -1), r["component_id"], r["kept"]) for r in rows if not r["n_shingles"]) == [(-1, None, True), (9, 9, True)]
 
 
+def test_near_duplicates_without_ids(table):
+    words = [f"w{i}" for i in range(60)]
+    near, other = [*words[:30], "new", *words[31:]], [f"v{i}" for i in range(40)]
+    docs = [(None, " ".join(w)) for w in (words, words, near, other, other, [*other, "end"])] + [(None, " ".join(f"u{i}" for i in range(9))), (7, "v " * 9), (5, " ".join([*other, "tail"]))]
+    rows = [tuple(r) for r in minhash.near_duplicates(table(docs)).collect()]
+    assert sorted(r[1:] for r in rows if r[0] is None and r[2] is None) == [(5, None, True), *[(56, None, False)] * 2, (56, None, True)]
+    assert sorted(r[1:] for r in rows if r[0] is None and r[2]) == [(36, 5, False), (36, 5, False), (37, 5, False)]
+    assert sorted(r for r in rows if r[0]) == [(5, 37, 5, True), (7, 1, 7, True)]
+
+
 def test_pruning_keeps_links():
     """Pairs of just the linking similarity survive all batches."""
     r = np.random.default_rng(1)
