@@ -30,9 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The document of the smallest id of each group; of rows with one id and text, one."""
+    name = _unused(docs, "row_key")
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.col("text").isNull().cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn(name, F.unhex(F.md5(whole.cast("binary"))))
+    kept = minhash.near_duplicates(keyed, carried=(name,)).filter("kept").select(name).distinct()
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,14 @@ from tests.llm.test_duplicates import components, stripped
 from tests.llm.test_tokens import held
 
 
+def test_one_row_of_a_group_stays(table, spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = table([(None, ""), (None, a), (4, a), (4, a), (9, a.upper()), (None, b), (None, b), (6, None), (6, None), (8, "")])
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, ""), (4, a), (None, b), (6, None), (8, "")], key=repr)
+
+
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
