@@ -8,7 +8,8 @@ block sizes, also where one vector makes up a third of all rows.
 Cases: vectors that are null, of length zero, or hold a null, a NaN or an infinity take
 no part, neither as queries nor as candidates; for the inner product search neither do
 vectors of zeros. Shorter vectors count as padded with zeros. Repeated rows with one id
-are candidates each (equal ids never match as a query and its own row). Empty tables
+are candidates each (equal ids never match as a query and its own row); ``nearest`` asks
+for equal rows of an id and vector once, ``top_k`` for each, as its SQL does. Empty tables
 give empty results. Other columns are dropped.
 """
 
@@ -356,7 +357,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32,
             yield pa.record_batch([b.column(0), b.column(1), pa.array(list(parts), pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     routed = settle(v.mapInArrow(route, "id long, v array<double>, parts array<int>"))
-    queries = routed.filter(F.col("id") % every == 0).select("id", "v", F.explode("parts").alias("p"))
+    queries = routed.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v", F.explode("parts").alias("p"))
     indexed = routed.select("id", "v", F.element_at("parts", 1).alias("p"))
     n_rows = {r["p"]: blocks(r["n"], rows) for r in indexed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_queries = {r["p"]: blocks(r["n"], at_once) for r in queries.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -52,6 +52,16 @@ def test_nearest_odd(spark):
     assert few == {0: [(1, 2.0)]}
 
 
+def test_repeated_queries_are_asked_once(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(1, 60)]
+    asked = (100, [1.0, 2.0, 0.0, -1.0])
+    got = by_query(vectors.nearest(frame(spark, rows + [asked] * 7).filter("vec_id % 20 <> 0 or vec_id = 100"), n_parts=2, probes=2, k=5).collect())
+    x = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows if i % 20]
+    want = brute([i for i, _ in x], [v for _, v in x], [(100, np.array(asked[1]))], 5)
+    assert {i: [j for j, _ in g] for i, g in got.items()} == {i: [j for j, _ in g] for i, g in want.items()}
+
+
 def test_balanced_parts():
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(c, 0.1, (100, 8)) for c in (-2, 0, 2, 4)])
