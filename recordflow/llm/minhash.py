@@ -5,16 +5,16 @@
 2. Signatures of ``BANDS * ROWS`` hashes are cut into bands; classes that agree in a band
    share a bucket. At a similarity of 0.75 a pair misses all 32 bands of 4 with a
    probability of 5e-6.
-3. Buckets are resolved in three rounds, each of which compares only members that are not
-   yet in one component: with the bucket's smallest member; with a member drawn by hash,
-   another in every bucket; and finally all that still differ, in blocks of bounded size.
-   So a group of n near copies costs about n comparisons, and no link between components
-   is lost.
+3. Buckets are resolved in three rounds, with components after each, and no round compares
+   what is in one component already: every class with the least member of all its buckets;
+   then with the least member of each of its buckets; and at last the rest of each bucket
+   that still holds several components. The rest is dealt to pairs of blocks of bounded
+   bytes, where members are compared side by side, and a task hands out a forest of
+   verified links: never more than it has members, however many pairs it has compared.
 4. A compared pair is verified in batches of signature hashes. After n hashes with m
    matches, a uniform prior gives P(similarity >= 0.75) = P(Binomial(n + 1, 0.75) <= m);
    below ``MISS`` the pair is pruned, as it is if the sizes of the sets rule a link out.
-   Members that reach the last round get ``MORE`` hashes (a byte of each), which tell
-   similarities of 0.65 from 0.75. Survivors are verified exactly, on full sets.
+   Survivors are verified exactly, on full sets.
 5. Verified links are joined to connected components by star contraction.
 
 Cases: null texts and texts without words have no shingles, are linked with nothing and
@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 from recordflow.llm.graphs import components
 from recordflow.llm.shared import among, settle
 
-WORDS, BANDS, ROWS, MORE, MISS = 5, 32, 4, 512, 1e-6
+WORDS, BANDS, ROWS, MISS = 5, 32, 4, 1e-6
 #: Similarity that links, as a fraction.
 OVER, UNDER = 75, 100
-BLOCK = 1024
+#: Members of a block at most, and bytes of their signatures and sets, both on average.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -93,21 +94,12 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(np.concatenate(found)))
 
 
-def _least(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max)
-    for i in range(0, len(s), 1024):
-        np.minimum(low, ((s[i : i + 1024, None] ^ b) * a).min(axis=0), out=low)
-    return low
-
-
 def signature(s: np.ndarray) -> np.ndarray:
     """Least values of the hash family over a set, the high half of each."""
-    return (_least(s, _A[: BANDS * ROWS], _B[: BANDS * ROWS]) >> np.uint64(32)).astype("<u4")
-
-
-def more_hashes(s: np.ndarray) -> np.ndarray:
-    """One mixed byte of further least values; different ones agree once in 256."""
-    return (mixed(_least(s, _A[BANDS * ROWS :], _B[BANDS * ROWS :])) >> np.uint64(56)).astype(np.uint8)
+    low = np.full(len(_A), np.iinfo(np.uint64).max)
+    for i in range(0, len(s), 1024):
+        np.minimum(low, ((s[i : i + 1024, None] ^ _B) * _A).min(axis=0), out=low)
+    return (low >> np.uint64(32)).astype("<u4")
 
 
 @lru_cache
@@ -157,12 +149,9 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
-
-
-def _more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([more_hashes(shingles(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "more"])
+        sets = [shingles(t) for t in b.column(1).to_pylist()]
+        keys = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
+        yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "k1", "s"])
 
 
 def _matrix(column, kind: str) -> np.ndarray:
@@ -177,38 +166,58 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
 
-def _block_pairs(group: pa.Table) -> pa.Table:
-    """Of a pair of blocks of one bucket (columns i, j, r), the surviving pairs between
-    members of different components, each in the first band that it shares."""
-    one = lambda c: group.column(c)[0].as_py()
-    i, j, band = one("i"), one("j"), one("band")
-    rep, comp, size, r = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "r"))
-    sig, more = _matrix(group.column("sig"), "<u4"), _matrix(group.column("more"), np.uint8)
-    left, right = np.nonzero(r == i)[0], np.nonzero(r == j)[0]
-    n = 32
-    m = least_matches(n, n, n)[n]
-    out = [np.zeros((2, 0), np.int64)]
-    for at in range(0, len(left), 16):  # so few that all their pairs take little memory
-        x = left[at : at + 16]
-        same = np.zeros((len(x), len(right)), np.int16)
-        for k in range(n):
-            same += sig[x, k][:, None] == sig[right, k][None, :]
-        a, b = np.nonzero((same >= m) & (comp[x][:, None] != comp[right][None, :]))
-        a, b = x[a], right[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        keep = competing(sig[a], sig[b], size[a], size[b])
-        a, b = a[keep], b[keep]
-        equal = sig[a] == sig[b]
-        first = equal.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        a, b, seen = a[first], b[first], equal[first].sum(axis=1)
-        for done in range(0, MORE, 128):
-            seen = seen + (more[a, done : done + 128] == more[b, done : done + 128]).sum(axis=1)
-            total = BANDS * ROWS + done + 128
-            keep = seen >= least_matches(total, total, 1)[total]
-            a, b, seen = a[keep], b[keep], seen[keep]
-        out.append(np.stack([rep[a], rep[b]]))
-    low, high = np.sort(np.concatenate(out, axis=1), axis=0)
+class Block:
+    """A pair of blocks (columns i, j, r) of one bucket, side by side."""
+
+    def __init__(self, group: pa.Table):
+        one = lambda c: group.column(c)[0].as_py()
+        self.i, self.j, self.band = one("i"), one("j"), one("band")
+        self.rep, self.comp, self.n, r = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "r"))
+        self.sig = _matrix(group.column("sig"), "<u4")
+        self.left, self.right = np.nonzero(r == self.i)[0], np.nonzero(r == self.j)[0]
+
+    def partners(self, x: int, root: np.ndarray) -> np.ndarray:
+        """Members that survive all batches with x, have another root, and share with it
+        no band before this one (whose bucket compares those that do)."""
+        y = self.right if self.i != self.j else self.right[np.searchsorted(self.right, x, "right") :]
+        n = self.n[y]
+        y = y[(root[y] != root[x]) & (UNDER * np.minimum(n, self.n[x]) >= OVER * np.maximum(n, self.n[x]))]
+        y = y[competing(np.broadcast_to(self.sig[x], (len(y), self.sig.shape[1])), self.sig[y], self.n[y], self.n[y])] if len(y) else y
+        return y[(self.sig[y] == self.sig[x]).reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band] if len(y) else y
+
+
+def _contenders(group: pa.Table) -> pa.Table:
+    """Members of a pair of blocks that survive with any other."""
+    block = Block(group)
+    found = np.zeros(len(block.rep), bool)
+    for x in block.left.tolist():
+        y = block.partners(x, block.comp)
+        found[y] = True
+        found[x] |= len(y) > 0
+    return group.select(["bucket", "band", "i", "j", "r", "rep", "k1", "comp"]).filter(pa.array(found))
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """Verified links between components in a pair of blocks, none that closes a circle."""
+    block = Block(group)
+    sets = group.column("s").combine_chunks()
+    values = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    numbers, begin = values[1], np.r_[0, np.cumsum(block.n)]
+    marked, root, links = np.zeros(len(values[0]), bool), block.comp.copy(), []
+    for x in block.left.tolist():
+        y = block.partners(x, root)
+        if not len(y):
+            continue
+        own = numbers[begin[x] : begin[x + 1]]
+        marked[own] = True
+        for z in y.tolist():
+            if root[z] != root[x]:
+                shared = int(marked[numbers[begin[z] : begin[z + 1]]].sum())
+                if UNDER * shared >= OVER * (block.n[x] + block.n[z] - shared):
+                    links.append((block.rep[x], block.rep[z]))
+                    root[root == root[z]] = root[x]
+        marked[own] = False
+    low, high = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1).T
     return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
 
@@ -223,10 +232,16 @@ def with_ends(pairs: DataFrame, facts: DataFrame, *names: tuple[str, str, str])
     return pairs
 
 
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, k1, s: the full sets of ids; one row for each different text of an id."""
+    texts = among(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).dropDuplicates(["id", "text"])
+    return texts.mapInArrow(_sets, "id long, k1 long, s array<long>")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the similarity."""
     pairs = settle(pairs)
-    sets = settle(among(docs.select(F.col("doc_id").alias("id"), "text"), "id", ends(pairs)).mapInArrow(_sets, "id long, s array<long>"))
+    sets = settle(sets_of(ends(pairs), docs))
     shared = F.size(F.array_intersect("x", "y"))
     return with_ends(pairs, sets, ("s", "x", "y")).filter(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -243,40 +258,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without = not classes.filter("least is null").isEmpty()
     if without:  # of each set one text
         docs = docs.filter("doc_id is not null").unionAll(settle(docs.filter("doc_id is null and text is not null").mapInArrow(_keyed, "doc_id long, text string").dropDuplicates(["doc_id"])))
-    known = classes.select(F.col("rep").alias("id"), "n", "sig")
+    known = classes.select(F.col("rep").alias("id"), "k1", "n", "sig")
     width = 4 * ROWS
-    banded = known.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    banded = banded.select(F.col("id").alias("rep"), "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
+    banded = known.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    banded = banded.select(F.col("id").alias("rep"), "n", "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1")
-    members = settle(banded.hint("merge").join(shared, "bucket").select("bucket", "band", "rep", "low"))
+    members = settle(banded.hint("merge").join(shared, "bucket").select("bucket", "band", "rep", "n", "low", "size"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct())
         facts = among(known, "id", ends(pairs))
-        return with_ends(pairs, facts, ("sig", "x", "y"), ("n", "p", "q")).select("a", "b", "x", "y", "p", "q").mapInArrow(_survivors, "a long, b long")
-
-    def open_members(comps: DataFrame) -> DataFrame:
-        """Members of buckets that still hold several components."""
-        m = members.hint("merge").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("bucket", "rep"))
-        mixed_ones = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), drawn.alias("pivot")).filter("c1 <> c2")
-        return settle(m.hint("merge").join(mixed_ones, "bucket").select("bucket", "band", "rep", "comp", "size", "pivot"))
-
-    links = settle(verified(compared(members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))), docs))
-    comps = settle(components(links))
-    left = open_members(comps).filter("comp <> pivot.comp").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-    links = links.unionAll(settle(verified(compared(left), docs)))
-    comps = settle(components(links))
-    left = open_members(comps)
-    facts = settle(among(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", left.select(F.col("rep").alias("id")).distinct()).mapInArrow(_more, "rep long, more binary"))
-    facts = facts.dropDuplicates(["rep"]).hint("merge").join(known.dropDuplicates(["id"]), F.col("rep") == F.col("id")).drop("id")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        pairs = with_ends(pairs, facts, ("sig", "x", "y"), ("n", "p", "q")).select("a", "b", "x", "y", "p", "q").mapInArrow(_survivors, "a long, b long")
+        return settle(verified(pairs, docs))
+
+    def placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        return rows.hint("merge").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+    first = settle(members.filter("low < rep").groupBy("rep").agg(F.min("low").alias("first")))
+    links = linked(first.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    left = placed(members.hint("merge").join(first, "rep", "left"), settle(components(links)))
+    tops = left.filter("rep = low").select("bucket", F.col("comp").alias("top"))
+    left = left.filter("low < rep and low <> first").hint("merge").join(tops, "bucket").filter("comp <> top")
+    links = links.unionAll(linked(left.select(F.col("low").alias("a"), F.col("rep").alias("b"))))
+
+    left = settle(placed(members.filter("low < rep and size > 2"), settle(components(links))))  # members of a bucket but for its least
+    mixed_ones = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("open"), F.sum(F.col("n") * 8 + 4 * BANDS * ROWS).alias("bytes"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
+    mixed_ones = mixed_ones.select("bucket", F.ceil(F.greatest(F.col("open") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    left = left.hint("merge").join(mixed_ones, "bucket")
     left = left.withColumn("r", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", "band", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "rep", "comp").hint("merge").join(facts, "rep")
-    left = left.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
-    links = links.unionAll(settle(verified(left, docs)))
-    comps = components(links)
-    named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "least", "first", F.coalesce("component", "rep").alias("component"))
+    left = left.select("bucket", "band", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "rep", "comp")
+    facts = known.withColumnRenamed("id", "rep")
+    found = settle(left.hint("merge").join(facts, "rep").groupBy("bucket", "i", "j").applyInArrow(_contenders, "bucket long, band int, i int, j int, r int, rep long, k1 long, comp long"))
+    sets = sets_of(found.select(F.col("rep").alias("id")).distinct(), docs).dropDuplicates(["id", "k1"]).withColumnRenamed("id", "rep")
+    sets = sets.hint("merge").join(facts, ["rep", "k1"])
+    links = links.unionAll(found.hint("merge").join(sets, ["rep", "k1"]).groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long").distinct())
+    comps = settle(components(links))
+    named = classes.hint("merge").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "least", "first", F.coalesce("component", "rep").alias("component"))
     first = F.lit(None).cast("long").alias("first")
     if without:  # components are named by ids only
         names = named.groupBy("component").agg(F.min("least").alias("name"), F.min("first").alias("first"))

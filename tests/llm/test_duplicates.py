@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordflow.llm import graphs, minhash, repeats
@@ -202,3 +203,65 @@ def test_suffix_array_and_prefixes():
             while m < min(len(x), len(y)) and x[m] == y[m]:
                 m += 1
             assert lcp[k] == m
+
+
+def copies(n, seed=9):
+    """Near copies of a text that isn't among them, most pairs just under the threshold and
+    some just over it."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(150), 3):
+            words[k] = f"x{i}_{k}"
+        docs.append((i * 7 % n, " ".join(words)))
+    return docs
+
+
+def test_large_group_of_near_copies(table, monkeypatch):
+    """Components are those of all pairs, and each task hands out a forest, not pairs."""
+    docs = copies(1200)
+    words = {i: t.split() for i, t in docs}
+    number = {}
+    sets = np.zeros((len(docs), 150 * 5 + 1), np.float32)
+    rare = np.zeros(len(docs))
+    for i, w in words.items():
+        for k in range(146):
+            s = tuple(w[k : k + 5])
+            if any(x.startswith("x") for x in s):
+                rare[i] += 1  # in no other document
+            else:
+                sets[i, number.setdefault(s, len(number))] = 1
+    shared = sets @ sets.T
+    union = 2 * 146 - shared
+    label = np.arange(len(docs))
+    while True:
+        least = np.where(100 * shared >= 75 * union, label, len(docs)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    assert 2 <= len(set(label)) <= 900, len(set(label))
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(docs)).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_forest_is_no_larger_than_its_block(n):
+    docs = copies(n)
+    sets = [minhash.shingles(t) for _, t in docs]
+    group = pa.table({"bucket": [0] * n, "band": [0] * n, "i": [0] * n, "j": [0] * n, "r": [0] * n, "rep": range(n), "k1": range(n), "comp": range(n), "n": [len(s) for s in sets], "sig": [minhash.signature(s).tobytes() for s in sets], "s": [s.view(np.int64) for s in sets]})
+    pairs = minhash._forest(group)
+    assert 0 < len(pairs) < n
+    found = set(minhash._contenders(group).column("rep").to_pylist())
+    assert found >= {x for c in ("a", "b") for x in pairs.column(c).to_pylist()}
+
+
+def test_repeated_ids_and_hot_rows(table):
+    """An id with two texts, and many rows of one text."""
+    a, b = [f"a{i}" for i in range(40)], [f"c{i}" for i in range(40)]
+    docs = [(3, " ".join(a))] * 200 + [(5, " ".join([*a, "z"])), (4, " ".join(b)), (4, " ".join([*b, "y"])), (8, " ".join([*b, "y", "u"])), (9, " ".join([*a, "z"]))]
+    got = minhash.near_duplicates(table(docs)).collect()
+    assert len(got) == len(docs)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (5, 3, False), (4, 4, True), (8, 4, False), (9, 3, False)}
