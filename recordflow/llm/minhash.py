@@ -148,10 +148,21 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts in the order of their ids, repeated ones once."""
+    last, seen = None, set()
     for b in batches:
-        sets = [shingles(t) for t in b.column(1).to_pylist()]
-        keys = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
-        yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "k1", "s"])
+        out: list[tuple] = []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if i != last:
+                last, seen = i, set()
+            if t in seen:
+                continue
+            seen.add(t)
+            s = shingles(t)
+            out.append((i, (xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63), s.view(np.int64)))
+        if out:
+            ids, keys, sets = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "k1", "s"])
 
 
 def _matrix(column, kind: str) -> np.ndarray:
@@ -172,6 +183,11 @@ class Block:
     def __init__(self, group: pa.Table):
         one = lambda c: group.column(c)[0].as_py()
         self.i, self.j, self.band = one("i"), one("j"), one("band")
+        keys = np.stack([group.column(c).to_numpy() for c in ("rep", "k1")])
+        kept = np.sort(np.unique(keys, axis=1, return_index=True)[1])
+        if len(kept) < len(group):  # sets that several tasks have read
+            group = group.take(pa.array(kept))
+        self.group = group
         self.rep, self.comp, self.n, r = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "r"))
         self.sig = _matrix(group.column("sig"), "<u4")
         self.left, self.right = np.nonzero(r == self.i)[0], np.nonzero(r == self.j)[0]
@@ -194,13 +210,13 @@ def _contenders(group: pa.Table) -> pa.Table:
         y = block.partners(x, block.comp)
         found[y] = True
         found[x] |= len(y) > 0
-    return group.select(["bucket", "band", "i", "j", "r", "rep", "k1", "comp"]).filter(pa.array(found))
+    return block.group.select(["bucket", "band", "i", "j", "r", "rep", "k1", "comp"]).filter(pa.array(found))
 
 
 def _forest(group: pa.Table) -> pa.Table:
     """Verified links between components in a pair of blocks, none that closes a circle."""
     block = Block(group)
-    sets = group.column("s").combine_chunks()
+    sets = block.group.column("s").combine_chunks()
     values = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     numbers, begin = values[1], np.r_[0, np.cumsum(block.n)]
     marked, root, links = np.zeros(len(values[0]), bool), block.comp.copy(), []
@@ -233,9 +249,9 @@ def with_ends(pairs: DataFrame, facts: DataFrame, *names: tuple[str, str, str])
 
 
 def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, k1, s: the full sets of ids; one row for each different text of an id."""
-    texts = among(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).dropDuplicates(["id", "text"])
-    return texts.mapInArrow(_sets, "id long, k1 long, s array<long>")
+    """id, k1, s: the full sets of ids; one row for each different text of an id (but for
+    texts of one id that several tasks meet, which may come once from each)."""
+    return among(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).sortWithinPartitions("id").mapInArrow(_sets, "id long, k1 long, s array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -289,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.select("bucket", "band", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "rep", "comp")
     facts = known.withColumnRenamed("id", "rep")
     found = settle(left.hint("merge").join(facts, "rep").groupBy("bucket", "i", "j").applyInArrow(_contenders, "bucket long, band int, i int, j int, r int, rep long, k1 long, comp long"))
-    sets = sets_of(found.select(F.col("rep").alias("id")).distinct(), docs).dropDuplicates(["id", "k1"]).withColumnRenamed("id", "rep")
+    sets = sets_of(found.select(F.col("rep").alias("id")).distinct(), docs).withColumnRenamed("id", "rep")
     sets = sets.hint("merge").join(facts, ["rep", "k1"])
     links = links.unionAll(found.hint("merge").join(sets, ["rep", "k1"]).groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long").distinct())
     comps = settle(components(links))
