@@ -5,8 +5,10 @@ of an embedding table; a linear softmax over the average of bags gives a class.
 softmax are trained jointly in numpy. An unseen misspelling shares most n-gram vectors
 with the word it stands for; rows start at zero, so n-grams that were never seen say
 nothing. Since a remark in a long text makes it toxic, the average goes over the ``WORST``
-distinct words of a document that score highest; training follows: after rounds on words
-from all over the texts, each document is represented by the words that now score highest.
+distinct words of a document that score highest: their bags are averaged, and the linear
+softmax of that average is the score. Training follows: after rounds on words from all
+over the texts, each document is represented by the words that now score highest; at the
+end the softmax's bias is fitted again, on these averages of whole training documents.
 
 Training is bounded by parameters: ``per_class`` labelled rows of each class (those of
 the smallest id hashes) with at most ``longest`` characters. Scoring reads every text
@@ -142,14 +144,15 @@ class Model:
         return (self.table @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2, drawn: int = 30, batch: int = 256, rate: float = 0.3, least: int = 8) -> tuple[np.ndarray, float]:
-    """Log odds per table row, and offset. In the first rounds ``drawn`` words of each
+def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2, drawn: int = 30, batch: int = 256, rate: float = 0.3, least: int = 8) -> Model:
+    """Embedding table and softmax. In the first rounds ``drawn`` words of each
     text are learned from. A round has ``least`` steps at least, so that few labels are
     learned from as thoroughly as many."""
     bags, model = Bags(texts), Model()
     docs = [i for i, d in enumerate(bags.docs) if len(d)]
     if not docs or len(set(labels[docs].tolist())) < 2:
-        return np.zeros(BUCKETS, np.float32), -20.0
+        model.bias[:] = 0, -20
+        return model
     balance = len(docs) / 2 / np.bincount(labels[docs], minlength=2)
     distinct = {i: np.unique(bags.docs[i]) for i in docs}
     for turn in range(rounds):
@@ -173,7 +176,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, first: int = 2
             model.step(bags, chosen, y, balance[y] / len(of), rate)
     line, offset = model.line()
     score = bags.means(line)
-    return line, threshold(np.array([worst(score[distinct[i]]) for i in docs]), labels[docs], offset)
+    model.bias[:] = 0, threshold(np.array([worst(score[distinct[i]]) for i in docs]), labels[docs], offset)
+    return model
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray, offset: float) -> float:
@@ -220,8 +224,10 @@ class Known(dict):
         return x
 
 
-def scorer(line: np.ndarray, offset: float, keep: int = 150_000):
-    """An Arrow function from texts to scores."""
+def scorer(model: Model, keep: int = 150_000):
+    """An Arrow function from texts to scores. The softmax is linear, so the log odds of an
+    average are the average of the log odds, and those of a word are computed once."""
+    line, offset = model.line()
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -232,7 +238,7 @@ def scorer(line: np.ndarray, offset: float, keep: int = 150_000):
             for t in batch.to_pylist():
                 words = set(words_of(t)) if t else ()
                 z = worst(np.fromiter(map(get, words), np.float64, len(words))) + offset if words else min(offset, -1.0)
-                out.append(1 / (1 + float(np.exp(-max(-60.0, min(60.0, 4 * z))))))
+                out.append(1 / (1 + float(np.exp(-max(-60.0, min(60.0, z))))))
             yield pa.array(out, pa.float64())
 
     return score
@@ -241,8 +247,8 @@ def scorer(line: np.ndarray, offset: float, keep: int = 150_000):
 def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", per_class: int = 2500, longest: int = 50_000, text_col: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
     """docs and one more column, the score of its text. Learned from ``learn_from``
     (doc_id, text; docs by default) and labels (doc_id, toxic)."""
-    line, offset = train(*sample(docs if learn_from is None else learn_from, labels, per_class, longest))
-    return docs.withColumn(name, scorer(line, offset)(F.col(text_col)))
+    model = train(*sample(docs if learn_from is None else learn_from, labels, per_class, longest))
+    return docs.withColumn(name, scorer(model)(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

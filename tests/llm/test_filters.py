@@ -1,5 +1,6 @@
 """License scans, URL filters and toxicity."""
 
+import math
 import zlib
 
 import duckdb
@@ -79,6 +80,47 @@ def test_toxicity_held_out(spark):
     assert hit / sum(y for _, y in held) > 0.85 and hit / sum(p for p, _ in held) > 0.95
 
 
+def test_toxicity_scores_by_brute_force(spark, sf):
+    """Scores from the table and the softmax, by plain loops."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(*toxicity.sample(docs, labels, 2500, 50_000))
+    table, out, bias = model.table.tolist(), model.out.tolist(), model.bias.tolist()
+
+    def vector(word):
+        w = f"<{word}>".encode()
+        rows = [zlib.crc32(w[i : i + k]) % toxicity.BUCKETS for k in toxicity.GRAMS for i in range(len(w) - k + 1)] + [zlib.crc32(w, 1) % toxicity.BUCKETS]
+        return [sum(table[r][c] for r in rows) / len(rows) for c in range(toxicity.WIDTH)]
+
+    def odds(v):
+        return sum(v[c] * (out[c][1] - out[c][0]) for c in range(toxicity.WIDTH))
+
+    def score(text):
+        words = sorted((vector(w) for w in set(toxicity.words_of(text))), key=odds)[-toxicity.WORST :]
+        if not words:
+            return None
+        mean = [sum(v[c] for v in words) / len(words) for c in range(toxicity.WIDTH)]
+        e = [math.exp(sum(mean[c] * out[c][y] for c in range(toxicity.WIDTH)) + bias[y]) for y in (0, 1)]
+        return e[1] / sum(e)
+
+    rows = {r["doc_id"]: r["score"] for r in QUERIES["op3_toxicity"](spark, sf).collect()}
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    assert rows.keys() == texts.keys()
+    for i, t in sorted(texts.items()):
+        if len(t) < 20_000:
+            want = score(t)
+            assert rows[i] < 0.5 if want is None else abs(rows[i] - want) < 1e-4
+
+
+def test_toxicity_late_in_a_run(table, spark):
+    """A toxic word after 10000 characters without white space."""
+    good = [(i, f"the table {w} stands near a window") for i, w in enumerate("abcdefghij" * 6)]
+    bad = [(i + 100, f"you {w} are an idiot and a moron") for i, w in enumerate("abcdefghij" * 6)]
+    labels = spark.createDataFrame([(i, 0) for i, _ in good] + [(i, 1) for i, _ in bad], "doc_id long, toxic int")
+    calm = "the_table_stands_near_a_window_" * 400
+    got = {r["doc_id"]: r["s"] for r in toxicity.with_score(table([*good, *bad, (900, calm), (901, calm + "idiot_moron_idiot")]), labels, "s").collect()}
+    assert got[900] < 0.5 < got[901]
+
+
 def test_toxicity_odd(table, spark):
     good = [(i, f"the table {w} stands near a window") for i, w in enumerate("abcdefghij" * 6)]
     bad = [(i + 100, f"you {w} are an idiot and a moron") for i, w in enumerate("abcdefghij" * 6)]
