@@ -13,6 +13,9 @@ up (shorter sequences are made of a partition's end only). The stream is
 settled in stretches of about ``stretch`` ids, and the last, still open windows of a
 stretch go on to the next one, so memory is bounded by a stretch and one document.
 
+Ids are the tokenizer's own for a whole text: the strings of its special tokens in a text
+become those tokens.
+
 Cases: null text counts as empty (its separator alone); repeated rows and repeated ids
 are packed each; an empty table gives no pieces; a document of any length is packed
 whole; clashing names among other columns don't matter, as two columns are selected.
@@ -21,6 +24,7 @@ whole; clashing names among other columns don't matter, as two columns are selec
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 ENDS = {".", "!", "?", "…", "\n"}
 #: Letters and these marks are parts of their own to the tokenizer's split.
 MARKS = ".,;:!?%&#$*|()-"
+#: Letters outside ASCII that are composed already and whose lower case is one letter.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ab\u03ac-\u03ce\u0410-\u044f\u4e00-\u9fa5]+")
 AFTER_SENTENCE, INSIDE, LONG = 4.0, 64.0, 256
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,7 +51,9 @@ SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, s
 class Words(dict):
     """The ids of a word, four bytes each, remembered. Of about ``keep`` entries the new
     become the old and the old go. Words without spaces and line feeds only: these the
-    tokenizer drops and never joins over."""
+    tokenizer drops and never joins over. Marks after letters are a part of their own, and
+    many words share a stem; where it isn't sure that the tokenizer's normal form of the
+    stem is letters only, it gets the whole word."""
 
     def __init__(self, tokenizer, keep: int):
         super().__init__()
@@ -67,7 +75,7 @@ class Words(dict):
         ids = self.old.get(w)
         if ids is None:
             stem = w.rstrip(MARKS)
-            if stem.isalpha():
+            if stem.isascii() and stem.isalpha() or LETTERS.fullmatch(stem):
                 ids = self.part(stem.lower() if stem.isascii() else stem)
                 if len(stem) < len(w):
                     ids += self.part(w[len(stem) :])
@@ -91,9 +99,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = Words(tokenizer, keep)
+        self.known = Words(Tokenizer.from_file(path), keep)
 
     def texts(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         """Of each text its ids, and the number of ids before each sentence's end. Words

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
@@ -57,7 +58,6 @@ def test_query_bpe(spark, sf):
 def held(rows, texts, width):
     """Pieces cover every id once; sequences are gapless and within the width."""
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for i, x in texts.items()}
     of, sequences = {i: 0 for i in texts}, {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
@@ -90,6 +90,18 @@ def test_packing(table, spark, sf):
     assert sum(r["length"] for r in twice) == 3 + 3 + 2 and sum(r["start"] == 0 for r in twice) == 3
 
 
+def test_word_ids_equal_library():
+    """Ids of texts with marks, letters that change their form, and special strings."""
+    r, t, words = random.Random(8), Tokenizer.from_file(WORD), packing.WordIds(WORD, 500)
+    pieces = ["İ", "i", "A", "é", "e\u0301", "\u0301", "ß", "ẞ", "ŉ", "ſ", "Ω", "Ω", "Å", "ς", "Σ", "한", "ᄒ", "ᅡ", "ᆫ", "中", "か", "\u3099", "ǅ", "ﬁ", "ª", "²", "5", "_", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", " ", " ", "\n", "\t", "\xa0", "\u200b", "\u2028", "🙂", "the", "Word", *packing.MARKS]
+    texts = ["".join(r.choices(pieces, k=r.randint(1, 14))) for _ in range(20000)] + ["İ;", "a <|endoftext|> b", "x<|startoftext|>;;"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids, _ in words.texts(pa.array(texts))]
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    every = [chr(c) + m for c in range(0x21, 0x3000) if not 0xD800 <= c < 0xE000 for m in (";", "a;")]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids, _ in words.texts(pa.array(every))]
+    assert got == [e.ids for e in t.encode_batch(every, add_special_tokens=False)]
+
+
 def test_windows_are_optimal():
     """The monotone queue against all ways to cut."""
     r = random.Random(5)
