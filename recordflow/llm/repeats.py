@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordflow.llm.minhash import _BYTE, Powers, mixed
 from recordflow.llm.shared import settle
@@ -49,6 +50,10 @@ LENGTH, GRAM = 50, 20
 SHARD = 8_000_000
 #: Slices of one anchor that a batch sends to the anchor's bucket, and that a bucket takes.
 CROWD, MOST = 256, 1 << 17
+#: Bytes of text in a group of documents, and in the slices of a bucket, on average.
+GROUP_BYTES = 32 << 20
+#: Anchors are sought in stretches, by numbers of 36 bits of a hash and 28 of a place.
+STRETCH, LOW = 1 << 26, np.uint64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
 
 
@@ -77,9 +82,11 @@ class Slices:
         total = self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
         gram = mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-        low = np.uint64((1 << 28) - 1)
-        least = sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), LENGTH - GRAM + 1)
-        at = (least & low).astype(np.int64)
+        at = np.empty(n - LENGTH + 1, np.int64)
+        for a in range(0, len(at), STRETCH):  # places are counted from a stretch's begin, so any text has room
+            g = gram[a : a + STRETCH + LENGTH - GRAM]
+            least = sliding_min((g & ~LOW) | np.arange(len(g), dtype=np.uint64), LENGTH - GRAM + 1)
+            at[a : a + STRETCH] = (least & LOW).astype(np.int64) + a
         owner = np.repeat(np.arange(len(texts)), size)
         inside = owner[: len(at)] == owner[LENGTH - 1 : LENGTH - 1 + len(at)]
         new = np.r_[True, (at[1:] != at[:-1]) | (owner[1 : len(at)] != owner[: len(at) - 1])] & inside
@@ -519,7 +526,7 @@ def _gone(s: Slices, which: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
-def _stripped(rest: list[str], keep_text: bool):
+def _stripped(keep_text: bool):
     """The rows of a group with what went from each text."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -555,36 +562,44 @@ def _stripped(rest: list[str], keep_text: bool):
         if not keep_text:
             return pa.table(out | {"kept_sha256": pa.array(digest, pa.string())})
         pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": docs.column("doc_id")} | {c: docs.column(c) for c in rest} | {"text": pa.array(kept, pa.string()), "spans": pa.array(where, pairs)})
+        return pa.table({"doc_id": docs.column("doc_id"), "rest": docs.column("rest"), "text": pa.array(kept, pa.string()), "spans": pa.array(where, pairs)})
 
     return run
 
 
 def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFrame, int]:
-    """docs with their group __g, what is known of copies, and what shards found."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """docs (doc_id, text, rest) with their group, and what is known of copies and what
+    shards found. Groups and buckets are as many as the texts' bytes ask for, and at least
+    as many as shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     n_buckets, n_groups = n, n + 1
-    two = docs.select("doc_id", "text")
-    announced = two.mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
-    answers = settle(announced.groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
-    grouped = docs.withColumn("__g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups)))
-    cut = grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(answers.groupBy("g")).applyInArrow(_compared(n_buckets), SENT)
-    found = cut.groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
+    announced = docs.select("doc_id", "text").mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
+    answers = settle(announced.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
+    grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(n_groups, "g")
+    cut = _with_answers(grouped.select("doc_id", "text", "g"), answers, n_groups).applyInArrow(_compared(n_buckets), SENT)
+    found = cut.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
     return grouped, answers.filter(F.col("kind") == COPIED).unionAll(found), n_groups
 
 
+def _with_answers(grouped: DataFrame, answers: DataFrame, n_groups: int):
+    return grouped.groupBy("g").cogroup(answers.repartition(n_groups, "g").groupBy("g"))
+
+
 def digests(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    grouped, told, _ = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard, crowd)
-    return grouped.select("__g", "doc_id", "text").groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped([], False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    grouped, told, n = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard, crowd)
+    return _with_answers(grouped, told, n).applyInArrow(_stripped(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
+def strip(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, spans: str = "spans") -> DataFrame:
     """docs (doc_id long, text, any others) with what repeats taken from the texts, and
-    ``spans``: first byte and end of each run that went. Of a character that went in part
-    nothing stays."""
-    rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text", "spans")]
-    grouped, told, _ = _sought(docs.select("doc_id", "text", *rest), shard, crowd)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
-    schema = f"doc_id long, {types}{', ' if types else ''}text string, spans array<struct<first: long, end: long>>"
-    return grouped.groupBy("__g").cogroup(told.groupBy("g")).applyInArrow(_stripped(rest, True), schema)
+    ``spans`` (or as named; a column of that name in docs is replaced): first byte and end
+    of each run that went. Of a character that went in part nothing stays."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text") and c.lower() != spans.lower()]
+    whole = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    grouped, told, n = _sought(docs.select("doc_id", "text", whole.alias("rest")), shard, crowd)
+    spans_type = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
+    schema = T.StructType().add("doc_id", "long").add("rest", grouped.schema["rest"].dataType).add("text", "string").add("spans", spans_type)
+    out = _with_answers(grouped, told, n).applyInArrow(_stripped(True), schema)
+    return out.select("doc_id", *[F.col(f"rest.c{k}").alias(c) for k, c in enumerate(rest)], "text", F.col("spans").alias(spans))

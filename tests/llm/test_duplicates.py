@@ -265,3 +265,28 @@ def test_repeated_ids_and_hot_rows(table):
     got = minhash.near_duplicates(table(docs)).collect()
     assert len(got) == len(docs)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (5, 3, False), (4, 4, True), (8, 4, False), (9, 3, False)}
+
+
+def test_repeats_in_stretches(table, monkeypatch):
+    """Anchors don't depend on how a run of texts is cut into stretches."""
+    texts = [(t or "").encode() for _, t in passages()]
+    whole = repeats.Slices(texts)
+    for stretch in (1, 7, 50, 64, 1000):
+        monkeypatch.setattr(repeats, "STRETCH", stretch)
+        cut = repeats.Slices(texts)
+        for name in ("start", "count", "text", "anchor", "content"):
+            assert (getattr(cut, name) == getattr(whole, name)).all()
+
+
+def test_repeats_many_groups_and_clashing_names(table, spark, monkeypatch):
+    """Groups by bytes; columns named like those of the operator come back as they were."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 300)
+    docs = passages()
+    want = stripped(docs)
+    for r in repeats.digests(table(docs)).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], dict(docs)[r["doc_id"]]]
+    df = table(docs).selectExpr("*", "'s' as __g", "'t' as Spans", "array(1) as rest", "struct(1 as c0, 2 as C0) as `a.b`")
+    got = repeats.strip(df, spans="where")
+    assert got.columns == ["doc_id", *[c for c in df.columns if c not in ("doc_id", "text")], "text", "where"]
+    r = got.filter("doc_id = 94").first()
+    assert (r["__g"], r["Spans"], r["rest"], r["g"], tuple(r["a.b"])) == ("s", "t", [1], "x", (1, 2))
