@@ -18,7 +18,8 @@ from recordflow.llm.shared import settle, table
 
 
 def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
+    """A name that no column of docs has, whatever its case."""
+    while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
     return name
 
@@ -41,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a document of a smaller id has too;
     ``n_chars`` is counted anew."""
-    out = repeats.strip(docs)
+    out = repeats.strip(docs, spans=_unused(docs, "spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
