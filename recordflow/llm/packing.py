@@ -24,7 +24,6 @@ whole; clashing names among other columns don't matter, as two columns are selec
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -39,86 +38,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-ENDS = {".", "!", "?", "…", "\n"}
+ENDS = r"[.!?…\n]\z"
 #: Letters and these marks are parts of their own to the tokenizer's split.
 MARKS = ".,;:!?%&#$*|()-"
-#: Letters outside ASCII that are composed already and whose lower case is one letter.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ab\u03ac-\u03ce\u0410-\u044f\u4e00-\u9fa5]+")
+#: Letters of ASCII, and others that are composed already and whose lower case is one letter.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ab\u03ac-\u03ce\u0410-\u044f\u4e00-\u9fa5]+"
 AFTER_SENTENCE, INSIDE, LONG = 4.0, 64.0, 256
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Words(dict):
-    """The ids of a word, four bytes each, remembered. Of about ``keep`` entries the new
-    become the old and the old go. Words without spaces and line feeds only: these the
-    tokenizer drops and never joins over. Marks after letters are a part of their own, and
-    many words share a stem; where it isn't sure that the tokenizer's normal form of the
-    stem is letters only, it gets the whole word."""
+    """The ids of words, four bytes each, remembered. Of about ``keep`` entries the new
+    become the old and the old go. Letters only are looked up many at a time, with a digit
+    between them, whose id no letters have."""
+
+    def __init__(self, path: str, keep: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer, keep: int):
         super().__init__()
-        self.encode, self.keep = tokenizer.encode, keep
+        self.encode, self.keep = Tokenizer.from_file(path).encode_batch_fast, keep
+        self.between = self.ids(["0"])[0]
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-
-    def part(self, p: str) -> bytes:
-        ids = self.parts.get(p)
-        if ids is None:
-            ids = self.old_parts.get(p)
-            if ids is None:
-                ids = array("I", self.encode(p, add_special_tokens=False).ids).tobytes()
-            self.parts[p] = ids
-        return ids
-
-    def __missing__(self, w: str) -> bytes:
-        ids = self.old.get(w)
-        if ids is None:
-            stem = w.rstrip(MARKS)
-            if stem.isascii() and stem.isalpha() or LETTERS.fullmatch(stem):
-                ids = self.part(stem.lower() if stem.isascii() else stem)
-                if len(stem) < len(w):
-                    ids += self.part(w[len(stem) :])
-            else:
-                ids = array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
-        self[w] = ids
-        return ids
-
-    def trim(self) -> None:
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encode(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str], letters: np.ndarray) -> None:
+        """Entries for words that have none; letters: which of them consist of letters."""
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
-        if len(self.parts) > self.keep * 5 // 3:
-            self.old_parts, self.parts = self.parts, {}
+        new: tuple[list[str], list[str]] = ([], [])
+        for w, plain in zip(words, letters.tolist(), strict=True):
+            if w not in self:
+                if (got := self.old.get(w)) is None:
+                    new[plain].append(w)
+                else:
+                    self[w] = got
+        together = new[1] if len(self.between) == 1 else []
+        for a in range(0, len(together), 1 << 14):
+            part = together[a : a + (1 << 14)]
+            ids = np.array(self.ids([" 0 ".join(part)])[0], "<u4")
+            ends = np.r_[np.nonzero(ids == self.between[0])[0], len(ids)]
+            blob = ids.tobytes()
+            for w, lo, hi in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                self[w] = blob[4 * lo : 4 * hi]
+        alone = new[0] if together else new[0] + new[1]
+        for a in range(0, len(alone), 1 << 14):
+            part = alone[a : a + (1 << 14)]
+            for w, ids in zip(part, self.ids(part), strict=True):
+                self[w] = array("I", ids).tobytes()
+
+
+def runs(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What stands in pool from each begin on, one after the other."""
+    end = np.cumsum(size)
+    return pool[np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
 
 
 class WordIds:
-    """Ids of whole texts, and where their sentences end."""
+    """Ids of whole texts, and where their sentences end. The tokenizer drops spaces and
+    line feeds and never joins over them, so words are looked up one by one. Marks after
+    letters are a part of their own to it, and many words share the letters; where it isn't
+    sure that its normal form of them is letters only, it gets the whole word."""
 
     def __init__(self, path: str, keep: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.known = Words(Tokenizer.from_file(path), keep)
+        self.known = Words(path, keep)
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        stem = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(stem, f"^{LETTERS}$")
+        # letters and marks of a word, or all of it and nothing
+        parts = pc.if_else(plain, pc.ascii_lower(stem), words), pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), "")
+        at, found = [], []
+        for part in parts:
+            coded = part.dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            self.known.learn(names, pc.match_substring_regex(coded.dictionary, f"^{LETTERS}$").to_numpy(zero_copy_only=False))
+            at.append(coded.indices.to_numpy() + len(found))
+            found += map(self.known.__getitem__, names)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        both = np.stack(at, axis=1)
+        return runs(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(size) - size)[both.ravel()], size[both.ravel()]), size[both].sum(axis=1)
 
     def texts(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         """Of each text its ids, and the number of ids before each sentence's end. Words
         are numbered by Arrow, each distinct one is looked up once, and the ids of all
         occurrences are gathered at once."""
-        self.known.trim()
         spaced = pc.replace_substring(pc.fill_null(column, ""), "\n", " \n ")
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.known["\n"] = b""
-        found = list(map(self.known.__getitem__, words))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        last = np.fromiter([w[-1:] in ENDS for w in words], bool, len(words))
+        ids, size = self.pieces(coded.dictionary)
+        last = pc.match_substring_regex(coded.dictionary, ENDS).to_numpy(zero_copy_only=False)
         at = coded.indices.to_numpy()
         n = size[at]
         done = np.r_[0, np.cumsum(n)]
-        every = ids[np.repeat(begin[at] - done[:-1], n) + np.arange(done[-1])].astype("<u4")
+        every = runs(ids, (np.cumsum(size) - size)[at], n).astype("<u4")
         ends = last[at]
         cut = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
         for a, b in zip(cut[:-1], cut[1:], strict=True):
