@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from recordflow.llm import licenses, toxicity, urls
 from recordflow.llm.queries import ORACLE_SQL, QUERIES
@@ -70,6 +71,30 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+REFERENCES = [
+    (1, "https://shop.dev/login", '<link rel="canonical" href="/login?next=https://x.net/de/secret">'),  # a scheme inside the query
+    (2, "https://old.dev/a", '<!-- <link rel="canonical" href="https://x.net/de/b"> --><p>'), (3, "https://old.dev/c", '<!-- open <link rel=canonical href="https://x.net/de/b">'),
+    (4, "https://up.net/fr/deep/x", '<link rel="canonical" href="../../de/z">'), (5, "https://up.net/fr/y", '<link rel="canonical" href="./../de/./q/..">'),
+    (6, "https://amp.dev/p", '<link rel="canonical" href="https://x.net/de/b?x=1&amp;y=2">'), (7, "https://mail.dev/p", '<link rel="canonical" href="mailto:a@x.net/de/b">'), (8, "https://data.dev/p", '<link data-rel="canonical" href="https://x.net/de/b">'),
+    (9, "https://top.net/a/b", '<link rel="canonical" href="../../../de/../de/k">'), (10, "https://two.dev", '<link rel="canonical" href="x://x.net/de//..//b">'), (11, "https://x.net/fr/b", '<link rel="canonical" href="/de/secret">'), (12, "https://host.dev", '<link rel="canonical" href="de">'), (13, "https://x.dev/a/../b", '<link rel=canonical href="//net/de/">'),
+]
+
+
+def test_references(spark):
+    """What a link points to: schemes, comments, dot segments and entities."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", REFERENCES)
+    df = urls.judge(spark.createDataFrame(REFERENCES, "page_id long, url string, html string"))
+    rows = sorted(map(list, df.collect()), key=repr)
+    assert rows == sql_rows(con, urls.sql(), df.columns)
+    blocked = {r[0] for r in rows if r[4:] == ["block", "alias"]}
+    assert blocked == {4, 5, 6, 9, 10, 11, 13}
+    paths = [("/a/b/../c", "/a/c"), ("/..", "/"), ("/a/..", "/"), ("/a/.", "/a/"), ("/./a/./b", "/a/b"), ("/../../a", "/a"), ("/a//../b", "/a/b"), ("", ""), ("/a/b/", "/a/b/"), ("/...", "/...")]
+    got = spark.createDataFrame(paths, "p string, want string").select(urls.without_dots(F.col("p")).alias("p"), "want").collect()
+    assert [r["p"] for r in got] == [w for _, w in paths]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
