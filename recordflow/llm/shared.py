@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where it is unset (tests, local mode) a temporary folder is made, set and removed
-    at exit.
+    Where it is unset in local mode (tests) a temporary folder is made, set and removed
+    at exit; on a cluster that is an error, as no folder of the driver's is shared.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="recordflow-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
