@@ -47,11 +47,11 @@ from recordflow.llm.minhash import _BYTE, Powers, mixed
 from recordflow.llm.shared import settle
 
 LENGTH, GRAM = 50, 20
-SHARD = 8_000_000
+SHARD = 2_000_000
 #: Slices of one anchor that a batch sends to the anchor's bucket, and that a bucket takes.
 CROWD, MOST = 256, 1 << 17
-#: Bytes of text in a group of documents, and in the slices of a bucket, on average.
-GROUP_BYTES = 32 << 20
+#: Bytes of text for each group of documents and each bucket, and for each task.
+GROUP_BYTES, TASK_BYTES = 8 << 20, 128 << 20
 #: Anchors are sought in stretches, by numbers of 36 bits of a hash and 28 of a place.
 STRETCH, LOW = 1 << 26, np.uint64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
@@ -568,28 +568,30 @@ def _stripped(keep_text: bool):
 
 
 def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFrame, int]:
-    """docs (doc_id, text, rest) with their group, and what is known of copies and what
-    shards found. Groups and buckets are as many as the texts' bytes ask for, and at least
-    as many as shuffle partitions."""
+    """docs (doc_id, text, rest) with their group, what is known of copies and what shards
+    found, and the number of tasks. Groups and buckets, each of which is in memory at once,
+    are as many as the texts' bytes ask for, and at least as many as shuffle partitions; a
+    task has several, one after the other."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
-    n_buckets, n_groups = n, n + 1
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    n_buckets = max(tasks, -(-size // GROUP_BYTES))
+    n_groups = n_buckets + 1
     announced = docs.select("doc_id", "text").mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
-    answers = settle(announced.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
-    grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(n_groups, "g")
-    cut = _with_answers(grouped.select("doc_id", "text", "g"), answers, n_groups).applyInArrow(_compared(n_buckets), SENT)
-    found = cut.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
-    return grouped, answers.filter(F.col("kind") == COPIED).unionAll(found), n_groups
+    answers = settle(announced.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
+    grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(tasks, "g")
+    cut = _with_answers(grouped.select("doc_id", "text", "g"), answers, tasks).applyInArrow(_compared(n_buckets), SENT)
+    found = cut.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
+    return grouped, answers.filter(F.col("kind") == COPIED).unionAll(found), tasks
 
 
-def _with_answers(grouped: DataFrame, answers: DataFrame, n_groups: int):
-    return grouped.groupBy("g").cogroup(answers.repartition(n_groups, "g").groupBy("g"))
+def _with_answers(grouped: DataFrame, answers: DataFrame, tasks: int):
+    return grouped.groupBy("g").cogroup(answers.repartition(tasks, "g").groupBy("g"))
 
 
 def digests(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    grouped, told, n = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard, crowd)
-    return _with_answers(grouped, told, n).applyInArrow(_stripped(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    grouped, told, tasks = _sought(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shard, crowd)
+    return _with_answers(grouped, told, tasks).applyInArrow(_stripped(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, spans: str = "spans") -> DataFrame:
@@ -598,8 +600,8 @@ def strip(docs: DataFrame, shard: int = SHARD, crowd: int = CROWD, spans: str =
     of each run that went. Of a character that went in part nothing stays."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text") and c.lower() != spans.lower()]
     whole = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    grouped, told, n = _sought(docs.select("doc_id", "text", whole.alias("rest")), shard, crowd)
+    grouped, told, tasks = _sought(docs.select("doc_id", "text", whole.alias("rest")), shard, crowd)
     spans_type = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
     schema = T.StructType().add("doc_id", "long").add("rest", grouped.schema["rest"].dataType).add("text", "string").add("spans", spans_type)
-    out = _with_answers(grouped, told, n).applyInArrow(_stripped(True), schema)
+    out = _with_answers(grouped, told, tasks).applyInArrow(_stripped(True), schema)
     return out.select("doc_id", *[F.col(f"rest.c{k}").alias(c) for k, c in enumerate(rest)], "text", F.col("spans").alias(spans))
