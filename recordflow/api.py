@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordflow.lang.nodes import Field, Index, Num, Var, walk
 from recordflow.lang.parser import parse
@@ -83,6 +85,8 @@ class Program:
                 finals += [x for x in self.end_needs(low, V("state", (name,), "?"), f)]
             for at in f.cells:
                 finals += [x for x in self.end_needs(low, V("cell", at, "?"), f)]
+        if not low.ends and not begin and (first := low.first_of_keys(df, c, s, f, order)) is not None:
+            return Lowered("2", "first records of keys", low.print_rows(first, c, [replace(s.outputs[0], guard=None)], names, order, typed), not typed)
         df, windows = low.prepare(df, c, s, f, order, {*used, *finals})
         outs: list[DataFrame] = []
         both = bool(s.outputs) and bool(low.ends) or bool(begin)
@@ -155,8 +159,17 @@ class Program:
                 rel = e.present(rel, cols, array)
                 name, kind = cols[array]
                 n = len(done)
-                small = rel.select(F.col("__k").alias(f"__j{n}"), F.col(name).alias(f"__w{n}"), F.lit(True).alias(f"__in{n}"))
-                df = df.withColumn(f"__q{n}", low.key_text(c2, k)).join(small, F.col(f"__q{n}") == F.col(f"__j{n}"), "left").drop(f"__q{n}", f"__j{n}")
+                theirs = e.key_of(array)
+                ours = [c2.own(v) for v in k]
+                own = [c1.own(v) for v in theirs]
+                if len(k) == len(theirs) and not low.joined(k) and all(a is not None and b is not None and isinstance(a[1], T.IntegralType) and isinstance(b[1], T.IntegralType) for a, b in zip(ours, own, strict=True)):
+                    pairs = [(a[0], F.col(f"__k{i}")) for i, a in enumerate(ours)]  # integers have one text each
+                else:
+                    pairs = [(low.key_text(c2, k), F.col("__k"))]
+                small = rel.select(*[b.alias(f"__j{n}_{i}") for i, (_, b) in enumerate(pairs)], F.col(name).alias(f"__w{n}"), F.lit(True).alias(f"__in{n}"))
+                df = df.select("*", *[a.alias(f"__q{n}_{i}") for i, (a, _) in enumerate(pairs)])
+                on = [F.col(f"__q{n}_{i}") == F.col(f"__j{n}_{i}") for i in range(len(pairs))]
+                df = df.join(small, on, "left").drop(*[f"__{x}{n}_{i}" for x in "qj" for i in range(len(pairs))])
                 done[array, k] = (n, kind)
             n, kind = done[array, k]
             if x.op in ("held", "inconst"):

@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.functions.numbers import to_long
+from recordflow.functions.numbers import fixed, general, number_of_input, let, number_of_text, scientific, text_of_number, to_long
 from recordflow.runtime.ere import compile_ere
 
-# Letters whose upper or lower case is not one letter.
-UNEVEN_UPPER, UNEVEN_LOWER = "[ßŉǰΐΰևẖ-ẚὐ-ὖᾀ-᾿ῂ-ῼﬀ-ﬗ]", "İ"
+# Letters whose upper or lower case is not one letter, or depends on others.
+UNEVEN_UPPER, UNEVEN_LOWER = "[ßŉǰΐΰևẖ-ẚὐ-ὖᾀ-᾿ῂ-ῼﬀ-ﬗ]", "[İΣ]"
 
 
 def _literal(s: str) -> str:
@@ -42,18 +42,18 @@ def index(s: Column, t: Column) -> Column:
 
 
 def tolower(s: Column) -> Column:
-    return F.when(s.rlike(UNEVEN_LOWER), _simple(s, F.lit(False))).otherwise(F.lower(s))
+    return _cased(s, F.lower, UNEVEN_LOWER)
 
 
 def toupper(s: Column) -> Column:
-    return F.when(s.rlike(UNEVEN_UPPER), _simple(s, F.lit(True))).otherwise(F.upper(s))
+    return _cased(s, F.upper, UNEVEN_UPPER)
 
 
-@F.arrow_udf(T.StringType())
-def _simple(texts: pa.Array, upper: pa.Array) -> pa.Array:
-    from recordflow.runtime.evaluator import simple_case
-
-    return pa.array([None if t is None else simple_case(t, str.upper if u else str.lower) for t, u in zip(texts.to_pylist(), upper.to_pylist(), strict=True)], pa.string())
+def _cased(s: Column, change, uneven: str) -> Column:
+    """One character for one: what would become several stays. Texts without uneven letters
+    are changed at once, others letter by letter."""
+    one = lambda c: F.when(F.length(change(c)) == 1, change(c)).otherwise(c)
+    return F.when(s.rlike(uneven), F.array_join(F.transform(F.split(s, ""), one), "")).otherwise(change(s))
 
 
 def _native(pattern: str) -> bool:
@@ -155,10 +155,111 @@ def csv_split(s: Column) -> Column:
     return F.when(quoted, run(F.when(quoted, s))).otherwise(split_fields(s, ","))
 
 
-def sprintf(fmt: str, args: list[tuple[Column, str]], convfmt: str = "%.6g") -> Column:
-    """Formatted text. args: columns with their kinds (N, S, F)."""
+def sprintf(fmt: str, args: list[tuple[Column, str, Column | None]], convfmt: str = "%.6g") -> Column:
+    """Formatted text. args: columns with their kinds (N, S, F), and of numbers that have a
+    text of their own that text. Conversions with fixed widths run natively; a format with
+    others goes through Python as a whole, in Arrow batches."""
+    parts, used = [], 0
+    for literal, spec in _pieces(fmt):
+        if literal:
+            parts.append(F.lit(literal))
+        if spec is None:
+            continue
+        made = _conversion(spec, *args[used], convfmt) if used < len(args) else None
+        if made is None:
+            return _formatted(fmt, args, convfmt)
+        parts.append(made)
+        used += 1
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def _pieces(fmt: str):
+    """Runs of literal text, each with the conversion that follows it."""
+    from recordflow.runtime.formats import SPEC
+
+    at = 0
+    for m in SPEC.finditer(fmt):
+        literal = fmt[at : m.start()]
+        at = m.end()
+        if m[0] == "%%":
+            yield literal + "%", None
+        elif m[4] is None:
+            yield literal + m[0], None
+        else:
+            yield literal, m
+    yield fmt[at:], None
+
+
+def _conversion(m, c: Column, kind: str, own: Column | None, convfmt: str) -> Column | None:
+    """One conversion as a Column; None if it has no native form here."""
+    flags, width, precision, how = m.groups()
+    if "*" in (width, precision) or "#" in flags or int(width or 0) > 1000:
+        return None
+    dotted = "." in m[0][1 + len(flags) + len(width or "") :][:1]
+    n, p = int(width or 0), (int(precision or 0) if dotted else None)
+    left, zero = "-" in flags, "0" in flags
+    if how == "s":
+        text = own if own is not None else text_of_number(c, convfmt) if kind == "N" else c
+        text = F.coalesce(text, F.lit(""))
+        return _widened(text if p is None else F.left(text, F.lit(p)), n, left)
+    x = F.coalesce(c if kind == "N" else number_of_input(c) if kind == "F" else number_of_text(c) + F.lit(0.0), F.lit(0.0))
+    native = _numeric(how, flags, n, p)
+    return None if native is None else let(x, native)
+
+
+def _numeric(how: str, flags: str, n: int, p: int | None):
+    """A function from a number to its text under a conversion; None without one."""
+    left, zero = "-" in flags, "0" in flags
+
+    def signed(x: Column) -> Column:
+        whole = to_long(x)
+        digits, sign = F.regexp_replace(whole.cast("string"), "^-", ""), F.when(whole < 0, "-").otherwise("+" if "+" in flags else " " if " " in flags else "")
+        return _signed(sign, digits, n, left, zero)
+
+    def unsigned(x: Column) -> Column:
+        whole = F.when(F.isnan(x), F.lit(0).cast("bigint")).when(x >= 2.0**64, F.lit(-1).cast("bigint")).when(x >= 2.0**63, to_long(x - 2.0**64)).otherwise(to_long(x))  # as 64 bits
+        if how == "u":
+            digits = F.when(whole < 0, (whole.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")).otherwise(whole.cast("string"))
+        elif how == "o":
+            digits = F.when(whole == F.lit(-(1 << 63)), "1" + "0" * 21).otherwise(F.conv(whole.cast("string"), 10, 8))
+        else:
+            digits = F.hex(whole) if how == "X" else F.lower(F.hex(whole))
+        return _signed(F.lit(""), digits, n, left, zero)
+
+    def real(x: Column) -> Column:
+        q = 6 if p is None else p
+        odd = F.isnan(x) | (F.abs(x) == float("inf"))
+        nought = F.lit({"f": f"%.{q}f", "e": f"%.{q}e", "g": "%.0f"}[how] % 0.0)
+        negative = (x < 0) | (x == 0) & F.startswith(x.cast("string"), F.lit("-"))
+        sign = F.when(negative, "-").otherwise("+" if "+" in flags else " " if " " in flags else "")
+        special = _widened(F.concat(sign, F.when(F.isnan(x), "nan").otherwise("inf")), n, left)
+        body = F.when(x == 0, nought).otherwise({"f": fixed, "e": scientific, "g": general}[how](F.abs(x), q))
+        return F.when(odd, special).otherwise(let(body, lambda t: _signed(sign, t, n, left, zero)))
+
+    if how in "di" and p is None:
+        return signed
+    if how in "uoxX" and p is None:
+        return unsigned
+    if how in "feg" and (p is None or p <= (6 if how == "f" else 12)):
+        return real
+    return None
+
+
+def _widened(text: Column, n: int, left: bool) -> Column:
+    if not n:
+        return text
+    size = F.greatest(F.length(text), F.lit(n))
+    return F.rpad(text, size, F.lit(" ")) if left else F.lpad(text, size, F.lit(" "))
+
+
+def _signed(sign: Column, digits: Column, n: int, left: bool, zero: bool) -> Column:
+    if not n or left or not zero:
+        return _widened(F.concat(sign, digits), n, left)
+    return F.concat(sign, F.lpad(digits, F.greatest(F.length(digits), F.lit(n) - F.length(sign)), F.lit("0")))
+
 
-    kinds = [k for _, k in args]
+def _formatted(fmt: str, args: list[tuple[Column, str, Column | None]], convfmt: str) -> Column:
+    kinds = ["F" if own is not None else k for _, k, own in args]
 
     @F.arrow_udf(T.StringType())
     def run(*columns: pa.Array) -> pa.Array:
@@ -173,7 +274,7 @@ def sprintf(fmt: str, args: list[tuple[Column, str]], convfmt: str = "%.6g") ->
         from recordflow.runtime.formats import sprintf as formatted
 
         return F.lit(formatted(fmt, [], convfmt))
-    return run(*[a for a, _ in args])
+    return run(*[a if own is None else own for a, _, own in args])
 
 
 def strftime(fmt: str, at: Column) -> Column:

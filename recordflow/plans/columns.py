@@ -38,7 +38,31 @@ class Columns:
     def base_text(self, n: int) -> Column:
         name, kind = self.types[n - 1]
         c, k = self.base_field(n)
-        return N.text_of_number(c, integral=isinstance(kind, T.IntegralType)) if k == "N" else c
+        return N.text_of_column(F.col(f"`{name}`"), kind) if k == "N" else c
+
+    def own(self, v: V) -> tuple[Column, T.DataType] | None:
+        """A field that is a table's number as its own column, uncast."""
+        if not self.table or v.op not in ("field", "lastfield") or v.args[0] != V("fields", (), "A") or v.args[0] in self.known:
+            return None
+        n = v.args[1] if v.op == "field" else len(self.types)
+        if not 1 <= n <= len(self.types):
+            return None
+        name, kind = self.types[n - 1]
+        return (F.col(f"`{name}`"), kind) if isinstance(kind, (T.NumericType, T.BooleanType)) else None
+
+    def key(self, v: V) -> Column:
+        """What tells keys apart: a table's numbers themselves, other numbers as doubles (as
+        equal numbers have equal texts), else the text."""
+        if (own := self.own(v)) is not None:
+            return own[0]
+        c, k = self.col(v)
+        return c if k == "N" else self.text(v)
+
+    def key_text(self, v: V, key: Column) -> Column:
+        """The text of a key that has been computed already."""
+        if (own := self.own(v)) is not None:
+            return N.text_of_column(key, own[1])
+        return N.text_of_number(key) if self.col(v)[1] == "N" else key
 
     def array(self, v: V) -> Column:
         """An array of texts."""
@@ -87,13 +111,22 @@ class Columns:
 
     def text(self, v: V, fmt: str = "%.6g") -> Column:
         c, k = self.col(v)
+        if (own := self.own(v)) is not None and v not in self.known:
+            return N.text_of_column(*own)
         if k == "N":
-            integral = v.op == "field" and v.args[0] == V("fields", (), "A") and self.table and isinstance(self.types[v.args[1] - 1][1], T.IntegralType) or v.op in ("nr", "nf", "length", "index")
-            return N.text_of_number(c, fmt, integral)
+            return N.text_of_number(c, fmt, self.integral(v))
         if k == "W":
             return F.coalesce(N.text_of_number(c, fmt), F.lit(""))
         return F.lit("") if k == "U" else c
 
+    def integral(self, v: V) -> bool:
+        """Whether a number is known to be an integer of less than 16 digits."""
+        if v.op in ("nr", "fnr", "nf", "length", "index", "subcount", "matchstart", "matchlength", "cmp", "and", "or", "not", "match", "held", "inconst", "bool"):
+            return True
+        if v.op == "num":
+            return v.args[0] == int(v.args[0]) and abs(v.args[0]) < 1e15 if abs(v.args[0]) != float("inf") and v.args[0] == v.args[0] else False
+        return v.op == "cond" and self.integral(v.args[1]) and self.integral(v.args[2])
+
     def test(self, v: V) -> Column:
         if v.op == "num":
             return F.lit(bool(v.args[0]))
@@ -256,7 +289,8 @@ class Columns:
         given = []
         for a in args:
             c, k = self.col(a)
-            given.append((self.text(a), "S") if k in "UM" else (self.number(a), "N") if k == "W" else (c, k))
+            own = self.own(a)
+            given.append((self.text(a), "S", None) if k in "UM" else (self.number(a), "N", None) if k == "W" else (c, k, N.text_of_column(*own) if own is not None and k == "N" else None))
         return S.sprintf(fmt, given, convfmt), "S"
 
     def c_strftime(self, fmt, at):

@@ -14,8 +14,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recordflow.functions import numbers as N
 from recordflow.lang.nodes import Assign, Binary, Call, Delete, ForIn, Getline, Index, Print, ProgramError, Step, Tree, Var, walk
 from recordflow.operators.ordered import Running, with_running
 from recordflow.plans.columns import Columns
@@ -23,9 +23,6 @@ from recordflow.plans.symbolic import Frame, Output, Symbolic, Update
 from recordflow.plans.symbols import ONE, UNSET, ZERO, NotRelational, V, both, cond, inside, is_const, negated, num, states, substituted, truth
 from recordflow.runtime.evaluator import Evaluator
 
-SUBSEP = "\x1c"
-
-
 @dataclass(frozen=True)
 class Step_:
     """How a state changes with a record: how is keep, add, last, max, min, join or first;
@@ -147,6 +144,7 @@ class Lowering:
                     self.written.add(n.target.name)
         self.fs = self.constants["FS"] if isinstance(self.constants["FS"], str) else N_text(self.constants["FS"])
         self.ofs = N_text(self.constants["OFS"])
+        self.subsep = N_text(self.constants["SUBSEP"])
 
     def note_writes(self, node) -> None:
         for n in walk(node):
@@ -242,11 +240,17 @@ class Lowering:
 
     def key_text(self, c: Columns, k: tuple) -> Column:
         texts = [c.text(x) for x in k]
-        return texts[0] if len(texts) == 1 else F.concat_ws(SUBSEP, *texts)
+        return texts[0] if len(texts) == 1 else F.concat_ws(self.subsep, *texts)
 
     def key_columns(self, c: Columns, k: tuple) -> list[Column]:
-        """What to group by: numbers stay numbers, as equal numbers have equal texts."""
-        return [c.col(x)[0] if c.col(x)[1] == "N" else c.text(x) for x in k]
+        """What to group by. Parts of a key are kept apart, unless a part may hold the
+        separator, as then other parts may make up the same key."""
+        if self.joined(k):
+            return [self.key_text(c, k)]
+        return [c.key(x) for x in k]
+
+    def joined(self, k: tuple) -> bool:
+        return len(k) > 1 and not (len(self.subsep) == 1 and self.subsep < " " and self.subsep not in "\t\n\r")
 
     def prepare(self, df: DataFrame, c: Columns, s: Symbolic, f: Frame, order: list[str], used: set[V]) -> tuple[DataFrame, bool]:
         """Number rows, cut at exits, and add the state before each row that ``used``
@@ -292,6 +296,25 @@ class Lowering:
             done.add(x)
         return df, windows
 
+    def first_of_keys(self, df: DataFrame, c: Columns, s: Symbolic, f: Frame, order: list[str]) -> DataFrame | None:
+        """!seen[k]++ and the like, if that is all a program does: the first record of each
+        key, by partial aggregation instead of a window over each key's rows. None if the
+        program is another."""
+        if not order or len(s.outputs) != 1 or s.updates or s.exits or s.skips or f.vars or len(f.cells) != 1 or s.outputs[0].loop is not None:
+            return None
+        (at, new), o = next(iter(f.cells.items())), s.outputs[0]
+        x, held = V("cell", at, "?"), V("held", at)
+        firsts = [V("cmp", ("==", y, ZERO)) for y in (x, V("tonum", (x,)))] + [V("not", (V("bool", (y,)),)) for y in (x, V("tonum", (x,)))] + [V("not", (held,))]
+        if o.guard not in firsts or any(states(a) or any(y.op in ("nr", "fnr", "rand") for y in inside(a)) for a in (*o.args, *at[1])):
+            return None
+        ever = V("arith", ("+", V("tonum", (x,)), ONE))
+        if new not in (ever, ONE) and not (new.op == "cond" and new.args[0] == o.guard and new.args[1:] in ((ONE, x), (ever, x))):
+            return None
+        keys = self.key_columns(c, at[1])
+        rest = [F.col(f"`{n}`") for n in df.columns]
+        best = df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(f"`{n}`") for n in order])).alias("__r"))
+        return best.select("__r.*")
+
     def limit_of(self, g: V) -> int | None:
         """n of NR==n or NR>=n."""
         if g.op == "cmp" and g.args[0] in ("==", ">=") and g.args[1].op in ("nr", "fnr") and g.args[2].op == "num" and g.args[2].args[0] >= 1:
@@ -418,6 +441,8 @@ class Lowering:
             out = []
             for i, a in enumerate(o.args):
                 col, kind = c.col(a)
+                if (own := c.own(a)) is not None and isinstance(own[1], T.IntegralType):
+                    col = own[0].cast("bigint")
                 out.append((F.lit("") if kind == "U" else F.coalesce(col, F.lit(0.0)) if kind == "W" else col).alias(names[i] if names else f"c{i + 1}"))
             return out
         if o.formatted and not typed and not self.format_of(o).endswith("\n"):
@@ -477,6 +502,7 @@ class End:
         self.low, self.df, self.c, self.s, self.f, self.order = low, df, c, s, f, order
         self.single: dict[str, tuple[Column, str]] = {}  # aggregates over all rows
         self.relations: dict[tuple, dict] = {}
+        self.assumed: V | None = None  # a test that all rows of an aggregation pass
 
     def run(self, rules: list, names: list[str] | None, typed: bool) -> list[DataFrame]:
         y = self.low.symbolic()
@@ -534,7 +560,22 @@ class End:
     # -- aggregates
 
     def fold(self, x: V) -> Step_:
-        return self.low.change_of(self.f, x)
+        if self.assumed is None:
+            return self.low.change_of(self.f, x)
+        return recurrence(simplified(substituted(self.changed(x), {self.assumed: ONE})), x)
+
+    def changed(self, x: V) -> V:
+        return self.f.vars.get(x.args[0], x) if x.op == "state" else self.f.cells.get(x.args, x)
+
+    def shared_guard(self, xs: list[V]) -> V | None:
+        """A test of the record alone without which none of the states changes."""
+        found: set[V] = set()
+        for x in xs:
+            v = self.changed(x)
+            if v.op != "cond" or x not in v.args[1:]:
+                return None
+            found.add(v.args[0] if v.args[2] == x else negated(v.args[0]))
+        return found.pop() if len(found) == 1 and not any(states(g) or any(y.op == "rand" for y in inside(g)) for g in found) else None
 
     def aggregate(self, x: V) -> tuple[Column, str]:
         """A finished fold as an aggregate over the rows of a key, or over all rows."""
@@ -546,7 +587,9 @@ class End:
             return taken
         guard = None if r.guard is None else c.test(r.guard)
         within = (lambda v: v) if guard is None else (lambda v: F.when(guard, v))
-        at = F.struct(*[F.col(f"`{o}`") for o in self.order]) if self.order else None
+        if r.how == "last" and is_const(r.value) and r.value.op == "num":  # whichever is last
+            return F.max(within(F.lit(r.value.args[0]))), "W"
+        at = self.place() if self.order else None
         if r.how == "keep":
             return (F.first(F.lit(None).cast("double")), "W") if start is None else (F.first(F.lit(start)), "N") if isinstance(start, float) else (F.first(F.lit(str(start))), "S")
         if r.how == "add":
@@ -622,12 +665,32 @@ class End:
             out = F.max_by(v, F.when(keep, F.struct(signed, *[F.col(f"`{o}`") for o in self.order])))
         return (out, "W") if kind in "NW" else (F.coalesce(out, F.lit("")), kind)
 
-    def numeric(self, name: str) -> bool:
-        from pyspark.sql import types as T
+    def place(self) -> Column:
+        """A record's place in the order; of one column a value that sorts and fits a hash
+        aggregate, where nulls come first."""
+        if len(self.order) == 1:
+            c, kind = F.col(f"`{self.order[0]}`"), self.df.schema[self.order[0]].dataType
+            if isinstance(kind, T.IntegralType):
+                return F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)))
+            if isinstance(kind, T.TimestampType):
+                return F.coalesce(F.unix_micros(c), F.lit(-(1 << 63)))
+        return F.struct(*[F.col(f"`{o}`") for o in self.order])
 
+    def numeric(self, name: str) -> bool:
         return isinstance(self.df.schema[name].dataType, T.NumericType)
 
+    def key_of(self, array: str) -> tuple:
+        cells = [k for a, k in self.f.cells if a == array]
+        return cells[0] if cells else next(u.key for u in self.s.updates if u.array == array)
+
     def relation(self, array: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+        kept, self.assumed = self.assumed, None
+        try:
+            return self.relation_of(array)
+        finally:
+            self.assumed = kept
+
+    def relation_of(self, array: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
         """The rows of an array: __k (its key as text), and by array the value's column and
         kind. Arrays under the same key are aggregated together."""
         cells = [(a, k) for a, k in self.f.cells if a == array]
@@ -659,6 +722,10 @@ class End:
                     here = [None if w.guard is None else c.test(w.guard) for w in same]
                     if None not in here:
                         aggs.append(F.max(reduce(lambda a, b: a | b, here)).alias("__h" + names[u.array][0]))
+        mine = [] if loop is not None else [V("cell", (a, k), "?") for a, k in self.f.cells if k == key]
+        guard = self.shared_guard(mine) if mine else None
+        if guard is not None and all(self.low.made_first(self.f, V("held", x.args)) == guard for x in mine):
+            df, self.assumed = df.filter(c.test(guard)), guard
         for a, k in self.f.cells:
             if k == key and loop is None:
                 col, kind = self.aggregate(V("cell", (a, k), "?"))
@@ -667,15 +734,13 @@ class End:
                 made = self.low.made_first(self.f, V("held", (a, k)))
                 if states(made):
                     raise NotRelational(f"what makes an element of {a} depends on state")
-                if made != ONE:
+                if made not in (ONE, self.assumed):
                     aggs.append(F.max(c.test(made)).alias("__h" + names[a][0]))
+        self.assumed = None
         keys = [x.alias(f"__k{i}") for i, x in enumerate(self.low.key_columns(c, key))]
         out = df.groupBy(*keys).agg(*aggs)
-        texts = []
-        for i, k in enumerate(key):
-            n = c.col(k)[1] == "N"
-            texts.append(N.text_of_number(F.col(f"__k{i}")) if n else F.col(f"__k{i}"))
-        joined = texts[0] if len(texts) == 1 else F.concat_ws(SUBSEP, *texts)
+        texts = [F.col("__k0")] if self.low.joined(key) else [c.key_text(k, F.col(f"__k{i}")) for i, k in enumerate(key)]
+        joined = texts[0] if len(texts) == 1 else F.concat_ws(self.low.subsep, *texts)
         return {"df": out.withColumn("__k", joined), "names": names}
 
     def present(self, df: DataFrame, names: dict, array: str) -> DataFrame:
@@ -724,6 +789,11 @@ class End:
         if not ones:
             return None
         aggs, rels = [], []
+        df = self.df
+        folded = [V("state", x.args, "?") for x in ones if x.op == "final" and x.args[0] != "NR" and x.args[0] in self.f.vars]
+        alone = all(x.op not in ("lastrecord", "lastfields") and not (x.op == "final" and x.args[0] == "NR") for x in ones) and not any(u.array is None for u in self.s.updates)
+        if alone and folded and (guard := self.shared_guard(folded)) is not None:
+            df, self.assumed = df.filter(self.c.test(guard)), guard
         for i, x in enumerate(sorted(ones, key=repr)):
             name = f"__f{i}"
             if x.op == "final":
@@ -749,7 +819,7 @@ class End:
                     c.known[x] = (F.lit(""), "U")
                     continue
                 col, kind = cols[array]
-                at = SUBSEP.join(str(p.args[0]) for p in k)
+                at = self.low.subsep.join(str(p.args[0]) for p in k)
                 rels.append(self.present(rel, cols, array).filter(F.col("__k") == at).agg((F.first(col) if kind in "NW" else F.coalesce(F.first(col), F.lit(""))).alias(name)))
                 kind = "W" if kind == "N" else kind
             elif x.op == "size":
@@ -766,7 +836,8 @@ class End:
                 rels.append(self.present(rel, cols, x.args[0]).agg(F.coalesce(how(inner.number(x.args[1])), F.lit(0.0)).alias(name)))
                 kind = "N"
             c.known[x] = (F.col(name), kind)
-        out = self.df.agg(*aggs) if aggs else None
+        self.assumed = None
+        out = df.agg(*aggs) if aggs else None
         for r in rels:
             out = r if out is None else out.join(F.broadcast(r), F.lit(True))  # a row each
         return out

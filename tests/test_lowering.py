@@ -19,7 +19,7 @@ PROGRAMS = [
     ("{ l[$1] = $2 } END { for (k in l) print k, l[k] }", "2"), ("{ if (!($1 in f)) f[$1] = $2 } END { for (k in f) print k, f[k] }", "2"), ("{ for (i = 1; i <= NF; i++) w[$i]++ } END { for (k in w) print k, w[k] }", "2"),
     ("{ t[$1] = t[$1] $2 \";\" } END { for (k in t) print k, t[k] }", "2"), ("{ c[$1]++ } END { for (k in c) if (c[k] > 3) { n++; print k } }", "2"), ("{ c[$1]++ } END { print length(c), c[\"k1\"], c[\"none\"] }", "2"),
     ("{ a[$1] += $2 } END { for (k in a) t += a[k]; for (k in a) print k, a[k] / t }", "2"), ("END { print NR, $1 }", "2"), ("{ s = s $1 } END { print s }", "2"),
-    ("!seen[$1]++", "3"), ("seen[$1]++ == 1 { print $0 }", "3"), ("{ s += $2; print s }", "3"), ("{ s[$1] += $2; print $1, s[$1] }", "3"), ("{ print $2 - p; p = $2 + 0 }", "3"), ("{ print $1, ++c[$1] }", "3"),
+    ("!seen[$1]++", "2"), ("{ if (!($1 in s)) { print; s[$1] = 1 } }", "2"), ("{ if (s[$1]++ == 0) print $2, $1 }", "2"), ("!seen[$1, $2]++ { print $0, NF }", "2"), ("seen[$1]++ == 1 { print $0 }", "3"), ("{ s += $2; print s }", "3"), ("{ s[$1] += $2; print $1, s[$1] }", "3"), ("{ print $2 - p; p = $2 + 0 }", "3"), ("{ print $1, ++c[$1] }", "3"),
     ("NR % 3 == 0", "3"), ("NR == 4 { exit } { print }", "3"), ("NR <= 5 { print NR, $1 }", "3"), ("/k2/, /k3/", "3"), ("/k2/, /k2/ { print NR }", "3"), ("$1 != p { g++ } { p = $1; print g, $1 }", "3"),
     ("$2 + 0 > m { m = $2 + 0 } { print m }", "3"), ("{ if ($2 + 0 > best[$1]) best[$1] = $2 + 0; print $1, best[$1] }", "3"), ("{ print seen[$1]; if ($3 > 9) seen[$1] = NR }", "3"), ("$2 > 90 { exit } { n++ } END { print n }", "3"),
     ("function f(a, b) { if (a > b) return a \"!\"; return b } { print f($2 + 0, $3 + 0) }", "1"), ("BEGIN { lim = 40; OFS = \"-\" } $2 > lim { print $1, lim }", "1"), ("BEGIN { w[\"k1\"] = \"one\" } $1 in w { print $1, w[$1] }", "1"), ("BEGIN { w[\"k1\"] = \"one\" } { print $1, ($1 in w), w[$1] }", "4"), ("BEGIN { w[\"k1\"] = 7 } { print w[$1] }", "1"),
