@@ -8,20 +8,24 @@ compiles a program against a relation and returns a DataFrame; ``explain`` names
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordflow.lang.nodes import Field, Index, Num, Var, walk
 from recordflow.lang.parser import parse
 from recordflow.lang.validate import check
+from recordflow.plans.columns import Columns
+from recordflow.plans.local import carried
 from recordflow.plans.program import Lowered, Lowering
 from recordflow.plans.symbols import ZERO, NotRelational, V, inside
-from recordflow.runtime.evaluator import Evaluator
+from recordflow.runtime.evaluator import Evaluator, NextRecord
 
 INNER = ("__src", "__file", "__pos", "rt")
 
@@ -49,14 +53,101 @@ class Program:
         sequence. Several sources are read one after the other: the first may fill arrays
         that rules on the others look up."""
         sources = list(source) if isinstance(source, (list, tuple)) else [source]
+        if any(isinstance(x, str) for x in sources):
+            self.lowered = self.with_assignments(sources, names, order_by, typed, relational)
+            return self.lowered.frame
         try:
             self.lowered = self.lower(sources, names, order_by, typed)
         except NotRelational as why:
+            if len(sources) == 1 and (self.main_prints_only() and carried(self.tree) is None):
+                self.lowered = self.one_by_one(sources[0], names, order_by, typed, str(why))
+                return self.lowered.frame
             if relational:
                 raise
             self.lowered = self.in_sequence(sources, names, order_by, str(why))
         return self.lowered.frame
 
+    def with_assignments(self, sources: list, names, order_by, typed, relational) -> Lowered:
+        """Sources with assignments ``name=value`` between them, which hold from there on.
+        Where no state is carried, each source has its own constants."""
+        given, parts, tiers = [], [], set()
+        for x in sources:
+            if isinstance(x, str):
+                given.append(tuple(x.split("=", 1)))
+                continue
+            p = Program(self.text, self.fs, self.rs, self.csv, [*self.variables, *given], self.safe)
+            parts.append(p.run(x, names, order_by, typed, True))
+            tiers.add(p.lowered.tier)
+        if not tiers <= {"1", "1p"} or any(r.kind in ("BEGIN", "END") for r in self.tree.rules):
+            raise NotRelational("state is carried over an assignment")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return Lowered(max(tiers), "each record by itself, constants by source", out, not typed)
+
+    def targets(self, source: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+        """Lines of a program without carried state, with the file each goes to: columns
+        target and value, as ``sinks.write_targets`` takes them."""
+        low = Lowering(self.tree, self.options(), source.sparkSession)
+        order = list(order_by or [x for x in ("__src", "__pos") if x in source.columns])
+        s, f = low.record()
+        if low.ends or s.updates:
+            raise NotRelational("the end prints")
+        c = low.columns(source.select([x for x in source.columns if x not in INNER]), not self.is_text(source))
+        df, _ = low.prepare(source, c, s, f, order, {v for o in s.outputs for v in (o.guard, o.to, *o.args) if v is not None})
+        return low.target_rows(df, c, s.outputs, order)
+
+    def main_prints_only(self) -> bool:
+        return not any(type(n).__name__ == "Print" for r in self.tree.rules if r.kind == "BEGIN" for n in walk(r.action))
+
+    @staticmethod
+    def is_text(df: DataFrame) -> bool:
+        return "value" in df.columns and set(df.columns) <= {"value", *INNER}
+
+    def line_of(self, df: DataFrame) -> Column:
+        """A record as one text, for the evaluator."""
+        if self.is_text(df):
+            return F.col("value")
+        c = Columns(df.schema, True, " ", " ", False)
+        return F.array_join(c.array(V("fields", (), "A")), "\x1f")
+
+    def one_by_one(self, df: DataFrame, names, order_by, typed, why: str) -> Lowered:
+        """A run of the evaluator over each record by itself, wherever it lies."""
+        order = [x for x in (order_by or ["__src", "__pos"]) if x in df.columns]
+        kept = [] if typed else [F.col(f"`{x}`").alias(f"__o{i}") for i, x in enumerate(order)]
+        given = df.select(*kept, (F.col("__file") if "__file" in df.columns else F.lit(None).cast("string")).alias("__file"), self.line_of(df).alias("__line"))
+        name = names[0] if names and len(names) == 1 else "value"
+        fs = None if self.is_text(df) else "\x1f"
+        n = len(kept)
+        out = given.select(*[f"__o{i}" for i in range(n)])
+        schema = T.StructType([*out.schema.fields, *([] if typed else [T.StructField("__i", T.IntegerType())]), T.StructField(name, T.StringType())])
+        kinds = to_arrow_schema(schema)
+
+        def run(batches):
+            lines: list[str] = []
+            ev = self.evaluator(lines, fs)
+            main = [r for r in ev.rules if r[1] != "BEGIN"]
+            ev.inputs = iter(())
+            ev.special("BEGIN")
+            for b in batches:
+                at, place, texts = [], [], []
+                for i, (file, line) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
+                    lines.clear()
+                    ev.vars["FILENAME"] = file
+                    ev.take_record(line or "")
+                    try:
+                        ev.one_record(main)
+                    except NextRecord:
+                        pass
+                    got = "".join(lines).split("\n")
+                    got = got[:-1] if got[-1] == "" else got
+                    at += [i] * len(got)
+                    place += range(len(got))
+                    texts += got
+                yield pa.record_batch([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(n)], *([] if typed else [pa.array(place, pa.int32())]), pa.array(texts, pa.string())], schema=kinds)
+
+        return Lowered("1p", f"each record by itself, in workers: {why}", given.mapInArrow(run, schema), True)
+
     def explain(self) -> str:
         low = self.lowered
         return "not run yet" if low is None else f"tier={low.tier} reason={low.reason}"
@@ -79,6 +170,7 @@ class Program:
         s, f = low.record()
         c = low.columns(df.select([x for x in df.columns if x not in INNER]), table)
         used = [v for o in s.outputs for v in (o.guard, *o.args) if v is not None] + [v for u in s.updates for v in (u.guard, u.value, *u.key) if v is not None]
+        df = low.with_large_arrays(df, c, [*used, *(v for v in (*f.vars.values(), *f.cells.values()) if v is not None)])
         finals = []
         if low.ends:
             for name, v in f.vars.items():
@@ -194,6 +286,8 @@ class Program:
                         keys.add(n.keys)
                     elif type(n).__name__ in ("Assign", "Step") and isinstance(n.target, (Var, Field)):
                         scalars.add(n.target)
+                    elif type(n).__name__ == "Delete" and n.keys is not None:
+                        keys.add(n.keys)
                     elif type(n).__name__ in ("ForIn", "Delete", "Getline", "Leave") or isinstance(n, Var) and n.name in ("NR", "FNR", "RSTART", "RLENGTH"):
                         return None
                     elif type(n).__name__ == "Jump" and n.kind == "nextfile" or type(n).__name__ == "Call" and n.name in ("rand", "srand", "split", "match", "sub", "gsub"):
@@ -210,21 +304,10 @@ class Program:
     def in_sequence(self, sources: list[DataFrame], names, order_by, why: str) -> Lowered:
         """One run of the evaluator over all records in order; or, where all state hangs on
         one key, a run for each key."""
-        df = sources[0]
-        table = not ("value" in df.columns and set(df.columns) <= {"value", *INNER})
-        spark = df.sparkSession
-        ofs = self.evaluator([]).vars["OFS"]
+        table = not self.is_text(sources[0])
         parts = []
         for i, d in enumerate(sources):
-            if table:
-                low = Lowering.__new__(Lowering)
-                from recordflow.plans.columns import Columns
-
-                c = Columns(d.schema, True, str(ofs), " ", False)
-                del low
-                line = F.array_join(c.array(V("fields", (), "A")), "\x1f")
-            else:
-                line = F.col("value")
+            line = self.line_of(d)
             order = [x for x in (order_by or ["__src", "__pos"]) if x in d.columns]
             parts.append(d.select(F.lit(i).alias("__i"), F.struct(*[F.col(f"`{x}`") for x in order]).alias("__o") if order else F.lit(None).alias("__o"), line.alias("__line"), *([F.col("__file")] if "__file" in d.columns else [F.lit("").alias("__file")])))
         whole = parts[0]
@@ -266,13 +349,34 @@ class Program:
                 for b in batches:
                     yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
 
-            got = lines(None, records())
-            for a in range(0, len(got), 10_000):
-                yield pa.record_batch([pa.array(got[a : a + 10_000], pa.string())], [name])
+            yield from self.in_batches(records(), fs, recut, name)
 
-        del spark
         return Lowered("4", f"in sequence: {why}", ordered.mapInArrow(run, schema), True)
 
+    def in_batches(self, records, fs: str | None, recut: bool, name: str):
+        """The output of a run, handed on while it goes: by the record, not at the end."""
+        out: list[str] = []
+        done: deque = deque()
+
+        def flush(last: bool) -> None:
+            text = "".join(out)
+            out.clear()
+            cut = text.rfind("\n") + 1
+            if text[:cut]:
+                done.extend(text[: cut - 1].split("\n"))
+            if text[cut:]:
+                done.append(text[cut:]) if last else out.append(text[cut:])
+
+        ev = self.evaluator(out, fs)
+        for _ in ev.steps(_files(records, recut)):
+            if len(out) >= 10_000:
+                flush(False)
+                while done:
+                    yield pa.record_batch([pa.array([done.popleft() for _ in range(min(10_000, len(done)))], pa.string())], [name])
+        flush(True)
+        while done:
+            yield pa.record_batch([pa.array([done.popleft() for _ in range(min(10_000, len(done)))], pa.string())], [name])
+
     def evaluator(self, out: list, fs: str | None = None) -> Evaluator:
         o = self.options()
         ev = Evaluator(self.tree, fs=fs or self.fs, csv=self.csv, variables=self.variables, environ=o["environ"], write=out.append, shell=o["shell"])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordflow.api import Program
-from recordflow.sources.records import cut_records
+from recordflow.sources.records import cut_records, read_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,7 +90,7 @@ register("match_pos", "{ m = match($2, /[0-9]+/); print $1, RSTART, RLENGTH }",
 register("longest_match", "{ m = match($2, /w|widget|wid/); print $1, RSTART, RLENGTH }", "part", "k a n", "SELECT p_partkey AS k, CASE WHEN strpos(p_name, 'w') > 0 THEN strpos(p_name, 'w') ELSE 0 END::BIGINT AS a, CASE WHEN strpos(p_name, 'w') = 0 THEN -1 WHEN strpos(p_name, 'widget') = strpos(p_name, 'w') THEN 6 WHEN strpos(p_name, 'wid') = strpos(p_name, 'w') THEN 3 ELSE 1 END::BIGINT AS n FROM part", longs="k a n")
 register("sprintf_fmt", '{ print $1, sprintf("%05d|%.2f|%-6s|%x", $1, $4, $5, $3) }', "customer", "k s", "SELECT c_custkey AS k, printf('%05d|%.2f|', c_custkey, c_acctbal) || rpad(c_mktsegment, greatest(6, length(c_mktsegment))::INTEGER, ' ') || '|' || printf('%x', c_nationkey) AS s FROM customer", longs="k")
 register("printf_rule", '{ printf "%d:%s\\n", $1, $2 }', "nation", "line", "SELECT n_nationkey || ':' || n_name AS line FROM nation")
-register("number_text", '{ print $1 ":" $6 / 8 }', "lineitem", "s", None)
+register("number_text", '{ print $1 ":" $6 / 8 }', "lineitem", "s", "SELECT l_orderkey || ':' || CASE WHEN l_extendedprice / 8 = trunc(l_extendedprice / 8) THEN (l_extendedprice / 8)::BIGINT::VARCHAR ELSE printf('%.6g', l_extendedprice / 8) END AS s FROM lineitem")
 register("math_fns", "{ print $1, sin($5), cos($5), atan2($5, $4), exp(-$4), log($6), sqrt($5) }", "lineitem", "k a b c d e f", "SELECT l_orderkey AS k, round(sin(l_quantity), 6) AS a, round(cos(l_quantity), 6) AS b, round(atan2(l_quantity, l_linenumber), 6) AS c, round(exp(-l_linenumber), 6) AS d, round(ln(l_extendedprice), 6) AS e, round(sqrt(l_quantity), 6) AS f FROM lineitem", longs="k", rounds=dict.fromkeys("abcdef", 6))
 register("bit_fns", "{ print $1, and($1, 7), or($2, 1), xor($1, $3), lshift($4, 2), rshift($1, 1) }", "lineitem", "k a b c d e", "SELECT l_orderkey AS k, l_orderkey & 7 AS a, l_partkey | 1 AS b, xor(l_orderkey, l_suppkey) AS c, (l_linenumber::BIGINT << 2) AS d, (l_orderkey >> 1) AS e FROM lineitem", longs="k a b c d e")
 register("strftime_day", '{ print $1, strftime("%Y-%m-%d", $1 * 3600) }', "events", "id d", "SELECT event_id AS id, strftime(to_timestamp(event_id * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d FROM events", longs="id")
@@ -232,3 +236,251 @@ for _name, _run, _sql in (
 ):
     QUERIES[_name] = _run
     ORACLE_SQL[_name] = _sql
+
+
+# statements, arrays and functions that records keep to themselves
+register("while_loop", "{ n = $1; c = 0; while (n > 1) { n = int(n / 2); c++ } print $1 \":\" c }", "orders", "s", "SELECT o_orderkey || ':' || (length(bin(greatest(o_orderkey, 1))) - 1) AS s FROM orders")
+register("break_continue", "{ s = 0; for (i = 1; i <= 10; i++) { if (i % 2) continue; if (i > $4) break; s += i } print $1 \":\" s }", "lineitem", "s", "SELECT l_orderkey || ':' || coalesce(list_sum(list_filter(range(1, l_linenumber + 1), lambda i: i % 2 = 0)), 0)::BIGINT AS s FROM lineitem")
+register("do_loop", "{ n = $1; d = \"\"; do { d = (n % 8) d; n = int(n / 8) } while (n > 0); print $1 \" \" d }", "events", "s", "SELECT event_id || ' ' || printf('%o', event_id) AS s FROM events")
+register("delete_element", "{ split($2, a, \" \"); delete a[1]; n = 0; for (k in a) n++; print $1 \":\" n \":\" (1 in a) (2 in a) }", "part", "s", "SELECT p_partkey || ':' || (n - 1) || ':0' || (n > 1)::INT AS s FROM (SELECT p_partkey, len(string_split(p_name, ' ')) AS n FROM part)")
+register("read_creates", "{ split(\"\", a); x = a[\"q\"]; n = 0; for (k in a) n++; print $1 \":\" n ((\"z\" in a) ? \"y\" : \"n\") length(a) }", "customer", "s", "SELECT c_custkey || ':1n1' AS s FROM customer")
+register("recursion", "function f(n) { return n < 2 ? n : f(n - 1) + f(n - 2) } { print $1 \":\" f($4) }", "lineitem", "s", "SELECT l_orderkey || ':' || [1, 1, 2, 3, 5, 8, 13][l_linenumber] AS s FROM lineitem")
+register("arrays_by_reference", "function fill(a, n,  i) { for (i = 1; i <= n; i++) a[i] = i * i } { delete q; fill(q, $4); s = 0; for (k in q) s += q[k]; print $1 \":\" s }", "lineitem", "s", "SELECT l_orderkey || ':' || (l_linenumber * (l_linenumber + 1) * (2 * l_linenumber + 1) // 6) AS s FROM lineitem")
+register("function_effects", "function show(x) { if (x > 40) print \"big\"; n = x * 2; return n + 1 } { n = 0; y = show($5); print n \":\" y }", "lineitem", "s", "SELECT 2 * l_quantity::BIGINT || ':' || 2 * l_quantity::BIGINT + 1 AS s FROM lineitem UNION ALL SELECT 'big' FROM lineitem WHERE l_quantity > 40")
+register("dynamic_regex", "{ print $1 \":\" ($2 ~ $1) ($2 ~ (\"^\" substr($2, 1, 3) \".*\" $3 \"$\")) }", "customer", "s", "SELECT c_custkey || ':' || regexp_matches(c_name, c_custkey::VARCHAR)::INT || ends_with(substr(c_name, 4), c_nationkey::VARCHAR)::INT AS s FROM customer")
+register("toggle_delete", "{ if ($3 in a) { print $3 \":\" a[$3] \":\" $1; delete a[$3] } else a[$3] = $1 }", "events", "s", "SELECT user_id || ':' || p || ':' || event_id AS s FROM (SELECT *, row_number() OVER w AS r, lag(event_id) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r % 2 = 0", order="event_id", relational=False)
+register("expression_statement", "{ length($2); $3 + 1; print $1 }", "nation", "k", "SELECT n_nationkey AS k FROM nation", longs="k")
+register("missing_action", "$3 == 2", "nation", "line", "SELECT concat_ws(' ', n_nationkey, n_name, n_regionkey) AS line FROM nation WHERE n_regionkey = 2")
+register("begin_only", "BEGIN { for (i = 1; i <= 9; i++) print i \" \" i * i }", "nation", "line", "SELECT i || ' ' || i * i AS line FROM range(1, 10) t(i)")
+register("seeds", "BEGIN { srand(5); a = srand(7); x = rand(); srand(7); print a, (x == rand()), (x >= 0 && x < 1) }", "nation", "line", "SELECT '5 1 1' AS line")
+register("clock", "{ t = systime(); print $1, (t > 1600000000 && t < 9000000000 && t == int(t)) }", "nation", "k ok", "SELECT n_nationkey AS k, 1::BIGINT AS ok FROM nation", longs="k ok")
+register("subsep", 'BEGIN { SUBSEP = ":" } { a[$9, $10] += $5 } END { for (k in a) print k, a[k] }', "lineitem", "k q", "SELECT l_returnflag || ':' || l_linestatus AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1")
+register("convfmt", 'BEGIN { CONVFMT = "%.3f" } { print $1 ":" $6 / 7 }', "lineitem", "s", "SELECT l_orderkey || ':' || CASE WHEN l_extendedprice / 7 = trunc(l_extendedprice / 7) THEN (l_extendedprice / 7)::BIGINT::VARCHAR ELSE printf('%.3f', l_extendedprice / 7) END AS s FROM lineitem")
+register("double_text", '{ print $1 ":" $6 }', "lineitem", "s", "SELECT l_orderkey || ':' || CASE WHEN l_extendedprice = trunc(l_extendedprice) THEN l_extendedprice::BIGINT::VARCHAR ELSE l_extendedprice::VARCHAR END AS s FROM lineitem")
+register("regex_dot", '{ s = $2 "\\n" $1; m = match(s, /E.*$/); print $1 ":" (s ~ /..\\n./) (s ~ /^.+$/) RSTART "," RLENGTH }', "nation", "s", "SELECT n_nationkey || ':11' || greatest(p, 0) || ',' || CASE WHEN p = 0 THEN -1 ELSE length(n_name) + 1 + length(n_nationkey::VARCHAR) - p + 1 END AS s FROM (SELECT *, strpos(n_name, 'E') AS p FROM nation)")
+register("regex_escapes", '{ print $1, ($2 ~ /^\\x43u\\163/), ($2 ~ /\\u0043\\t/), ($2 ~ /#\\060/), ($2 ~ /r\\#/) }', "customer", "k a b c d", "SELECT c_custkey AS k, 1::BIGINT AS a, 0::BIGINT AS b, (strpos(c_name, '#0') > 0)::BIGINT AS c, (strpos(c_name, 'r#') > 0)::BIGINT AS d FROM customer", longs="k a b c d")
+register("regex_repetition", '{ print $1, ($2 ~ /0{5,8}[1-9]/), ($2 ~ /(er#){1}/), ($2 ~ /C{2}/), ($2 ~ /x{|#/) }', "customer", "k a b c d", "SELECT c_custkey AS k, regexp_matches(c_name, '0{5,8}[1-9]')::BIGINT AS a, (strpos(c_name, 'er#') > 0)::BIGINT AS b, 0::BIGINT AS c, (strpos(c_name, '#') > 0)::BIGINT AS d FROM customer", longs="k a b c d")
+register("regex_classes", '{ print $1, ($2 ~ /[]#]/), ($2 ~ /[^[:alnum:]]/), ($2 ~ /^[[:upper:]][[:lower:]]+#[[:digit:]]+$/), ($2 ~ /[z-a]/), ($2 ~ /(s)\\1/) }', "customer", "k a b c d e", "SELECT c_custkey AS k, 1::BIGINT AS a, 1::BIGINT AS b, 1::BIGINT AS c, 0::BIGINT AS d, (strpos(c_name, 's1') > 0)::BIGINT AS e FROM customer", longs="k a b c d e")
+register("regex_units", '{ s = $2 "é漢"; print $1, length(s) - length($2), match(s, /é.$/) - length($2), gsub(/[^ -~]/, "?", s), substr(s, length(s) - 1) }', "nation", "k n m g t", "SELECT n_nationkey AS k, 2::BIGINT AS n, 1::BIGINT AS m, 2::BIGINT AS g, '??' AS t FROM nation", longs="k n m g")
+register("multi_match_join", "NR == FNR { a[$3] = a[$3] \"|\" $2; next } { n = split(a[$1], p, \"|\"); for (i = 2; i <= n; i++) print $2 \" \" p[i] }", "nation region", "s", "SELECT r_name || ' ' || n_name AS s FROM region JOIN nation ON n_regionkey = r_regionkey", order="n_nationkey r_regionkey", relational=False)
+register("getline_pairs", "{ a = $2; if ((getline) > 0) print a \"+\" $2; else print a }", "nation", "s", "SELECT n_name || coalesce('+' || nx, '') AS s FROM (SELECT n_nationkey, n_name, lead(n_name) OVER (ORDER BY n_nationkey) AS nx FROM nation) WHERE n_nationkey % 2 = 0", order="n_nationkey", relational=False)
+register("keep_first_of_keys", "{ if (!($2 in s)) { print $1 \" \" $2; s[$2] = 1 } }", "orders", "s", "SELECT min(o_orderkey) || ' ' || o_custkey AS s FROM orders GROUP BY o_custkey", order="o_orderkey")
+
+
+def _spool(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads: on a cluster in the warehouse,
+    which executors share."""
+    if spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="recordflow-")
+        atexit.register(shutil.rmtree, base, True)
+        return f"{base}/{name}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/recordflow-{uuid.uuid4().hex}/{name}"
+
+
+def _as_file(df: DataFrame, name: str, order: str, line: Column) -> str:
+    """A small table as one text file, a line a row."""
+    path = _spool(df.sparkSession, name)
+    df.select(order, line.alias("value")).repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+def _two_files(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return read_text(spark, [_as_file(n, "nation", "n_nationkey", F.concat_ws(" ", "n_nationkey", "n_name")), _as_file(r, "region", "r_regionkey", F.concat_ws(" ", "r_regionkey", "r_name"))], **how)
+
+
+def _file_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files one after the other: NR over both, FNR and FILENAME of each."""
+    p = Program('{ k = split(FILENAME, p, "/"); print NR ":" FNR ":" substr($0, index($0, " ") + 1) ":" (p[k - 1] == "region") }')
+    return p.run(_two_files(spark, sf_dir), names=["s"], relational=True)
+
+
+def _nextfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Program('FNR > 3 { nextfile } { print FNR ":" $2 }').run(_two_files(spark, sf_dir), names=["s"], relational=True)
+
+
+def _between_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BEGINFILE and ENDFILE."""
+    return Program('BEGINFILE { n = 0 } { n++ } ENDFILE { print n ":" FNR ":" NR }').run(_two_files(spark, sf_dir), names=["s"])
+
+
+def _operand_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region")
+    return Program('{ print x ":" $2 ":" y }').run(["x=1", n, "x=two", "y=5", r], names=["s"], relational=True)
+
+
+def _slurped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """getline from a file in BEGIN fills an array, which records look up: a join."""
+    import glob
+
+    path = _as_file(table(spark, sf_dir, "customer"), "customer", "c_custkey", F.concat_ws(" ", "c_custkey", "c_mktsegment"))
+    files = sorted(glob.glob(f"{path}/part-*"))
+    if not files:  # not on this machine: read by Spark
+        files = [_local_copy(spark, path)]
+    p = Program('BEGIN { while ((getline line < f) > 0) { split(line, p, " "); seg[p[1]] = p[2] } } $2 in seg { print $1 ":" seg[$2] }', variables=[("f", files[0])])
+    return p.run(table(spark, sf_dir, "orders"), names=["s"], relational=True)
+
+
+def _local_copy(spark: SparkSession, path: str) -> str:
+    base = tempfile.mkdtemp(prefix="recordflow-")
+    atexit.register(shutil.rmtree, base, True)
+    with open(f"{base}/lines", "w") as f:
+        f.writelines(r[0] + "\n" for r in spark.read.text(path).toLocalIterator())
+    return f"{base}/lines"
+
+
+def _one_byte_rs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that end in a full stop; the one after the last stop too, if there is any."""
+    records = cut_records(table(spark, sf_dir, "documents"), "text", ".").select("value")
+    return shaped(Program("{ n++; w += NF } length($0) > 50 { long++ } END { print n, w, long }").run(records, names=["n", "words", "long"], relational=True), "n words long")
+
+
+def _rt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT: which separator ended a record."""
+    records = cut_records(table(spark, sf_dir, "documents"), "text", "[.,]+", rt=True).select("value", "rt")
+    return shaped(Program("{ n[RT]++ } END { for (k in n) print k, n[k] }").run(records, names=["rt", "n"], relational=True), "n")
+
+
+def _rs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RS set while records are read holds for what is left: read in sequence."""
+    lines = table(spark, sf_dir, "region").select(F.lit("").alias("__file"), F.col("r_regionkey").alias("__pos"), F.concat("r_name", F.lit(";x"), F.col("r_regionkey").cast("string"), F.lit(";")).alias("value"))
+    return Program('{ gsub(/\\n/, ""); RS = ";"; print NR ":" $0 }').run(lines, names=["s"])
+
+
+def _fs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FS set by a record holds from the next one on."""
+    lines = table(spark, sf_dir, "nation").select(F.lit("").alias("__file"), F.col("n_nationkey").alias("__pos"), F.concat(F.lit("k "), F.col("n_name"), F.lit(":"), F.col("n_regionkey").cast("string")).alias("value"))
+    return Program('{ print $1; FS = ":" }').run(lines, names=["s"])
+
+
+def _field_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty FS, -F t, and a line feed that separates fields of paragraphs too."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    letters = Program('{ print NF ":" $1 ":" $NF }', fs="").run(n.select(F.col("n_name").alias("value")), names=["s"], relational=True)
+    tabs = Program('{ print $2 "/" NF }', fs="t").run(n.select(F.concat_ws("\t", "n_nationkey", "n_name").alias("value")), names=["s"], relational=True)
+    lines = Program('BEGIN { RS = "" } { print NF "," $2 "," $3 }', fs=":").run(n.select(F.concat(F.lit("a:"), "n_name", F.lit("\n"), F.col("n_regionkey").cast("string")).alias("value")), names=["s"], relational=True)
+    return letters.unionByName(tabs).unionByName(lines)
+
+
+def _lenient_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes inside a field, text after a closing quote, and a quote that stays open."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey").cast("string")
+    line = F.when(F.col("n_nationkey") % 3 == 0, F.concat(k, F.lit(',ab"c,"d""e"'))).when(F.col("n_nationkey") % 3 == 1, F.concat(k, F.lit(',"x"y,z'))).otherwise(F.concat(k, F.lit(',"open, '), "n_name"))
+    return Program('{ print $1 "|" NF "|" $2 "|" $3 }', csv=True).run(n.select(line.alias("value")), names=["s"], relational=True)
+
+
+def _csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file with line feeds inside quotes, read as records."""
+    n = table(spark, sf_dir, "nation")
+    path = _as_file(n, "csv", "n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), "n_name", F.lit('\n""q"", x"')))
+    return Program('{ gsub(/\\n/, "/", $2); print NR ":" $1 ":" $2 }', csv=True).run(read_text(spark, path, csv=True), names=["s"], relational=True)
+
+
+def _exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers beyond 2^53 as text, as keys and as join keys."""
+    big = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 9007199254740992).alias("k"), "o_custkey")
+    text = Program('{ print "t " $1 "-" $2 }').run(big, names=["s"], relational=True)
+    keys = Program('{ n[$1]++ } END { for (k in n) print "n " k "=" n[k] }').run(big, names=["s"], relational=True)
+    joined = Program('NR == FNR { c[$1] = $2; next } $1 in c { print "j " $1 ">" c[$1] }').run([big, big.filter("k % 2 = 0")], names=["s"], relational=True)
+    return text.unionByName(keys).unionByName(joined)
+
+
+def _output_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OFMT in print, CONVFMT in concatenation, ORS and OFS."""
+    p = Program('BEGIN { OFMT = "%.2f"; CONVFMT = "%.4f"; OFS = "|" } { print $6 / 7, ($6 / 7) "", $4 / 2 }')
+    return p.run(table(spark, sf_dir, "lineitem"), typed=False, relational=True).select(F.col("value").alias("s"))
+
+
+def _file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """print > file, appended to once more, and read back."""
+    from recordflow.sources.sinks import write_targets
+
+    path = _spool(spark, "targets")
+    n = table(spark, sf_dir, "nation")
+    write_targets(Program('{ print $2 > ("region" $3) }', safe=False).targets(n), path)
+    write_targets(Program('$3 == 1 { print "again", $1 >> ("region" $3) }', safe=False).targets(n), path, append=True)
+    return spark.read.text(path).select("target", "value")
+
+
+def _line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordflow.sources.sinks import write_lines
+
+    path = _spool(spark, "lines")
+    write_lines(Program("{ print $2, $3 }").run(table(spark, sf_dir, "nation"), typed=False, relational=True), path)
+    return spark.read.text(path)
+
+
+def _driver_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands, the environment and arguments, which belong to the driver."""
+    p = Program('BEGIN { "echo 5" | getline x; print "cmd", x, close("echo 5"), close("none"); print "system", system("exit 3"), system("true"); print "fflush", fflush(); print "env", (length(ENVIRON["PATH"]) > 0); print "arg", ARGC, ("0" in ARGV); print "out" > "/dev/stdout" }', safe=False)
+    return p.run(table(spark, sf_dir, "region"), names=["line"])
+
+
+def _static_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs that are refused before they run, and some that are not."""
+    from recordflow.lang.nodes import ProgramError
+
+    def refused(text: str) -> int:
+        try:
+            Program(text)
+        except ProgramError:
+            return 1
+        return 0
+
+    return spark.createDataFrame([(i, refused(t)) for i, t in enumerate(CHECKED)], "program long, refused long")
+
+
+# The first dozen is refused, the others are not.
+CHECKED = (
+    'BEGIN { system("true") }', 'BEGIN { "date" | getline }', '{ print > "x" }', "{ print /a$^b/ }", "{ print /[a/ }", "function f(a, a) { } { f(1) }", "function f(x) { } function f(y) { }", "function f(f) { }", "BEGIN { next }", "{ break }", "{ return 1 }", "{ print f(1) }",
+    "{ print length ($0) }", "function f(x) { return x } { print f(1) }", "{ print /a{2}/ }", "{ nextfile }",
+)
+
+
+def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over standard input, an assignment and an option."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    text = "".join(f"{r[0]}:{r[1]}\n" for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect())  # five rows
+    done = subprocess.run([sys.executable, "-m", "recordflow", "-F", ":", "-v", "n=2", '{ s += $1 * n; print x $2 } END { print s }', "x=r:", "-"], input=text, capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
+    return spark.createDataFrame([(x,) for x in done.stdout.splitlines()], "line string")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed fold over a stream of a table's files, until it is drained."""
+    from recordflow.streaming.runner import stream
+
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    name = f"recordflow_{uuid.uuid4().hex}"
+    query = stream(Program("$5 > 10 { n[$4]++; s[$4] += $5 } END { for (k in n) print k, n[k], s[k] }"), source, ["t", "n", "s"]).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return shaped(spark.table(name), "n", {"s": 2})
+
+
+for _name, _run, _sql in (
+    ("file_operands", _file_operands, "SELECT n_nationkey + 1 || ':' || n_nationkey + 1 || ':' || n_name || ':0' AS s FROM nation UNION ALL SELECT r_regionkey + 26 || ':' || r_regionkey + 1 || ':' || r_name || ':1' FROM region"),
+    ("nextfile", _nextfile, "SELECT n_nationkey + 1 || ':' || n_name AS s FROM nation WHERE n_nationkey < 3 UNION ALL SELECT r_regionkey + 1 || ':' || r_name FROM region WHERE r_regionkey < 3"),
+    ("between_files", _between_files, "SELECT '25:25:25' AS s UNION ALL SELECT '5:5:30'"),
+    ("operand_assignments", _operand_assignments, "SELECT '1:' || n_name || ':' AS s FROM nation UNION ALL SELECT 'two:' || r_name || ':5' FROM region"),
+    ("slurped_lookup", _slurped, "SELECT o_orderkey || ':' || c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey"),
+    ("one_byte_rs", _one_byte_rs, r"SELECT count(*) AS n, sum(len(list_filter(string_split_regex(v, '[ \t\n]+'), lambda x: x <> '')))::BIGINT AS words, count(*) FILTER (length(v) > 50) AS long FROM (SELECT unnest(string_split(regexp_replace(text, '[.]$', ''), '.')) AS v FROM documents WHERE text <> '')"),
+    ("record_terminators", _rt, "SELECT rt, count(*) AS n FROM (SELECT coalesce(ends[i], '') AS rt FROM (SELECT ends, unnest(range(1, len(parts) + 1 - (parts[-1] = '')::INT)) AS i FROM (SELECT regexp_extract_all(text, '[.,]+') AS ends, string_split_regex(text, '[.,]+') AS parts FROM documents WHERE text <> ''))) GROUP BY 1"),
+    ("rs_changes", _rs_changes, "SELECT CASE WHEN r_regionkey = 0 THEN '1:' || r_name || ';x0;' ELSE 2 * r_regionkey || ':' || r_name END AS s FROM region UNION ALL SELECT 2 * r_regionkey + 1 || ':x' || r_regionkey FROM region WHERE r_regionkey > 0 UNION ALL SELECT '10:'"),
+    ("fs_changes", _fs_changes, "SELECT CASE WHEN n_nationkey = 0 THEN 'k' ELSE 'k ' || n_name END AS s FROM nation"),
+    ("field_separators", _field_separators, "SELECT length(n_name) || ':' || n_name[1] || ':' || n_name[-1] AS s FROM nation UNION ALL SELECT n_name || '/2' FROM nation UNION ALL SELECT '3,' || n_name || ',' || n_regionkey FROM nation"),
+    ("lenient_csv", _lenient_csv, """SELECT n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '|3|ab"c|d"e' WHEN 1 THEN '|2|x"y,z|' ELSE '|2|open, ' || n_name || '|' END AS s FROM nation"""),
+    ("csv_file", _csv_file, """SELECT n_nationkey + 1 || ':' || n_nationkey || ':' || n_name || '/"q", x' AS s FROM nation"""),
+    ("exact_keys", _exact_keys, "WITH b AS (SELECT o_orderkey + 9007199254740992 AS k, o_custkey FROM orders) SELECT 't ' || k || '-' || o_custkey AS s FROM b UNION ALL SELECT 'n ' || k || '=' || count(*) FROM b GROUP BY k UNION ALL SELECT 'j ' || k || '>' || o_custkey FROM b WHERE k % 2 = 0"),
+    ("output_formats", _output_formats, "SELECT CASE WHEN x = trunc(x) THEN x::BIGINT || '|' || x::BIGINT ELSE printf('%.2f|%.4f', x, x) END || '|' || CASE WHEN l_linenumber % 2 = 0 THEN (l_linenumber // 2)::VARCHAR ELSE printf('%.2f', l_linenumber / 2) END AS s FROM (SELECT *, l_extendedprice / 7 AS x FROM lineitem)"),
+    ("file_targets", _file_targets, "SELECT 'region' || n_regionkey AS target, n_name AS value FROM nation UNION ALL SELECT 'region1', 'again ' || n_nationkey FROM nation WHERE n_regionkey = 1"),
+    ("line_sink", _line_sink, "SELECT n_name || ' ' || n_regionkey AS value FROM nation"),
+    ("driver_io", _driver_io, "SELECT unnest(['cmd 5 0 -1', 'system 3 0', 'fflush 0', 'env 1', 'arg 1 1', 'out']) AS line"),
+    ("static_checks", _static_checks, "SELECT i AS program, (i < 12)::BIGINT AS refused FROM range(16) t(i)"),
+    ("command_line", _command_line, "SELECT 'r:' || r_name AS line FROM region UNION ALL SELECT (2 * sum(r_regionkey))::VARCHAR FROM region"),
+    ("event_stream", _stream, "SELECT event_type AS t, count(*) AS n, round(sum(value), 2) AS s FROM events WHERE value > 10 GROUP BY 1"),
+):
+    QUERIES[_name] = _run
+    ORACLE_SQL[_name] = _sql

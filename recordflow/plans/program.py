@@ -23,6 +23,10 @@ from recordflow.plans.symbolic import Frame, Output, Symbolic, Update
 from recordflow.plans.symbols import ONE, UNSET, ZERO, NotRelational, V, both, cond, inside, is_const, negated, num, states, substituted, truth
 from recordflow.runtime.evaluator import Evaluator
 
+#: Elements of a constant array that become a literal; larger arrays are joined.
+MANY = 500
+
+
 @dataclass(frozen=True)
 class Step_:
     """How a state changes with a record: how is keep, add, last, max, min, join or first;
@@ -226,11 +230,27 @@ class Lowering:
 
     def constant_map(self, array: str) -> Column:
         items = self.constant_arrays.get(array, {})
-        if len(items) > 2000:
+        if len(items) > MANY:
             raise NotRelational("a large constant array")
         flat = [F.lit(x) for k, v in items.items() for x in (k, N_text(v))]
         return F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
 
+    def with_large_arrays(self, df: DataFrame, c: Columns, values: Iterable[V]) -> DataFrame:
+        """df joined with the arrays that BEGIN has filled with more elements than a literal
+        should have (read from a file, say), for each key that is looked up."""
+        asked = {x.args for v in values for x in inside(v) if x.op in ("lookup", "inconst")}
+        for n, (array, k) in enumerate(sorted(asked, key=repr)):
+            items = self.constant_arrays.get(array, {})
+            if len(items) <= MANY or any(states(x) for x in k):
+                continue
+            floats = all(isinstance(v, float) for v in items.values())
+            held = pa.table({f"__j{n}": pa.array(list(items), pa.string()), f"__w{n}": pa.array(list(items.values()) if floats else [N_text(v) for v in items.values()], pa.float64() if floats else pa.string())})
+            df = df.withColumn(f"__q{n}", self.key_text(c, k)).join(self.spark.createDataFrame(held), F.col(f"__q{n}") == F.col(f"__j{n}"), "left")
+            c.known[V("inconst", (array, k))] = (F.col(f"__j{n}").isNotNull(), "B")
+            found = F.col(f"__w{n}")
+            c.known[V("lookup", (array, k), "?")] = (found, "W") if floats else (F.coalesce(found, F.lit("")), "S" if all(type(v) is str for v in items.values()) else "F")
+        return df
+
     def constant_lookup(self, c: Columns, array: str, k: tuple) -> tuple[Column, str]:
         items = self.constant_arrays.get(array, {})
         found = F.try_element_at(self.constant_map(array), self.key_text(c, k))
@@ -267,7 +287,7 @@ class Lowering:
         exits = [V("num", (1.0,)) if g is None else g for g in s.exits + s.skips]
         if exits and not order:
             raise NotRelational("an exit needs an order")
-        if len(exits) == 1 and (n := self.limit_of(exits[0])) is not None:
+        if len(exits) == 1 and not (s.skips and self.files(df)) and (n := self.limit_of(exits[0])) is not None and not (exits[0].args[1].op == "fnr" and self.files(df)):
             df = df.orderBy(*order).limit(n)
             exits = []
             windows = True
@@ -278,13 +298,20 @@ class Lowering:
             df = with_running(df, order, [], [Running("__nr", "sum", F.lit(1))]).withColumn("__nr", (F.coalesce("__nr", F.lit(0)) + 1).cast("double"))
             c.known[V("nr", ())] = (F.col("__nr"), "N")
             c.known[V("fnr", ())] = (F.col("__nr"), "N")
+            if (files := self.files(df)) and any(x.op == "fnr" for v in [*every, *exits] if v is not None for x in inside(v)):
+                starts = df.groupBy(*files).agg(F.min("__nr").alias("__first")).select(*[F.col(f"`{x}`").alias(f"__f{i}") for i, x in enumerate(files)], "__first")
+                df = df.join(F.broadcast(starts), [F.col(f"`{x}`") == F.col(f"__f{i}") for i, x in enumerate(files)]).drop(*[f"__f{i}" for i in range(len(files))])  # a row a file
+                c.known[V("fnr", ())] = (F.col("__nr") - F.col("__first") + 1, "N")
             windows = True
-        if exits:
-            if any(states(g) for g in exits):
-                raise NotRelational("an exit depends on state")
-            hit = F.when(reduce(lambda a, b: a | b, [c.test(g) for g in exits]), 1)
-            df = with_running(df, order, [], [Running("__gone", "max", hit)]).filter("__gone is null").drop("__gone")
-            windows = True
+        if any(states(g) for g in exits):
+            raise NotRelational("an exit depends on state")
+        files = self.files(df)
+        skips = [] if not exits or not files else [ONE if g is None else g for g in s.skips]
+        for ended, keys in ((exits[: len(s.exits)] if skips else exits, []), (skips, [F.col(f"`{x}`") for x in files])):
+            if ended:  # an exit ends all that follows, nextfile the rest of its file
+                hit = F.when(reduce(lambda a, b: a | b, [c.test(g) for g in ended]), 1)
+                df = with_running(df, order, keys, [Running("__gone", "max", hit)]).filter("__gone is null").drop("__gone")
+                windows = True
         todo = {x for v in used for x in states(v)}
         done: set[V] = set()
         while todo - done:
@@ -315,6 +342,10 @@ class Lowering:
         best = df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(f"`{n}`") for n in order])).alias("__r"))
         return best.select("__r.*")
 
+    def files(self, df: DataFrame) -> list[str]:
+        """Columns that tell the files of an input apart."""
+        return [x for x in ("__src", "__file") if x in df.columns] if "__file" in df.columns else []
+
     def limit_of(self, g: V) -> int | None:
         """n of NR==n or NR>=n."""
         if g.op == "cmp" and g.args[0] in ("==", ">=") and g.args[1].op in ("nr", "fnr") and g.args[2].op == "num" and g.args[2].args[0] >= 1:
@@ -449,6 +480,17 @@ class Lowering:
             raise NotRelational("a printed format doesn't end its line")
         return [self.line(c, o).alias(names[0] if typed and names else "value")]
 
+    def target_rows(self, df: DataFrame, c: Columns, outputs: list[Output], order: list[str]) -> DataFrame:
+        """Lines with the names of the files they go to (empty: the program's own output)."""
+        rows = []
+        for i, o in enumerate(outputs):
+            if o.mode == "|" or o.loop is not None or o.formatted and not self.format_of(o).endswith("\n"):
+                raise NotRelational("output goes through a command, or to a file in parts of lines")
+            row = F.struct(F.lit(i).alias("i"), (c.text(o.to) if o.mode else F.lit("")).alias("target"), self.line(c, o).alias("value"))
+            rows.append(row if o.guard is None else F.when(c.test(o.guard), row))
+        out = df.select(*[F.col(f"`{x}`").alias(f"__o{i}") for i, x in enumerate(order)], F.explode(F.array_compact(F.array(*rows))).alias("__r"))
+        return out.select(*[F.col(f"__o{i}") for i in range(len(order))], F.col("__r.i").alias("__i"), "__r.target", "__r.value")
+
     def line(self, c: Columns, o: Output) -> Column:
         ofmt = N_text(self.constants["OFMT"])
         if o.formatted:

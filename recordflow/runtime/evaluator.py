@@ -972,12 +972,18 @@ class Evaluator:
 
     def run(self, inputs: Iterable) -> int:
         """inputs: (name, text or iterable of records), or ("=", variable, value)."""
+        for _ in self.steps(inputs):
+            pass
+        return self.code
+
+    def steps(self, inputs: Iterable):
+        """A run that stops after each record."""
         self.inputs = iter(inputs)
         main = [r for r in self.rules if r[1] in ("always", "when", "range")]
         try:
             self.special("BEGIN")
             if main or any(r[1] in ("END", "BEGINFILE", "ENDFILE") for r in self.rules):
-                self.drain(main)
+                yield from self.records(main)
         except Exit:
             pass
         try:
@@ -987,9 +993,12 @@ class Evaluator:
         finally:
             for name in list(self.outputs):
                 self.outputs.pop(name).close()
-        return self.code
 
     def drain(self, main: list) -> None:
+        for _ in self.records(main):
+            pass
+
+    def records(self, main: list):
         while (text := self.read_main()) is not None:
             self.take_record(text)
             try:
@@ -998,6 +1007,7 @@ class Evaluator:
                 pass
             except NextFile:
                 self.close_file()
+            yield
 
     def one_record(self, main: list) -> None:
         for i, kind, pattern, until, action in main:

@@ -78,10 +78,10 @@ def paragraphs(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n\n+", -1))
 
 
-def cut_records(df: DataFrame, text: str, rs: str = "\n", keep: tuple[str, ...] = ()) -> DataFrame:
+def cut_records(df: DataFrame, text: str, rs: str = "\n", keep: tuple[str, ...] = (), rt: bool = False) -> DataFrame:
     """Records of the texts in a column, natively where the separator allows: keep, __pos
-    (place in its text) and value. A text that ends with a separator has no record after
-    it."""
+    (place in its text), value and, if asked for, rt (what ended the record; empty after the
+    last one). A text that ends with a separator has no record after it."""
     from recordflow.functions.strings import split_fields
 
     c = F.coalesce(F.col(text), F.lit(""))
@@ -92,4 +92,20 @@ def cut_records(df: DataFrame, text: str, rs: str = "\n", keep: tuple[str, ...]
         parts = F.split(c, " ", -1) if rs == " " else parts
         parts = F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
         parts = F.when(c == "", F.array().cast("array<string>")).otherwise(parts)
-    return df.select(*keep, F.posexplode(parts).alias("__pos", "value"))
+    if not rt:
+        return df.select(*keep, F.posexplode(parts).alias("__pos", "value"))
+    ends = F.regexp_extract_all(F.regexp_replace(c, r"\A\n+", "") if rs == "" else c, F.lit(terminator(rs)), F.lit(0))
+    out = df.select(*keep, ends.alias("__ends"), F.posexplode(parts).alias("__pos", "value"))
+    return out.select(*keep, "__pos", "value", F.coalesce(F.get("__ends", F.col("__pos")), F.lit("")).alias("rt"))
+
+
+def terminator(rs: str) -> str:
+    """A separator as a pattern of Spark's."""
+    if rs == "":
+        return "\n\n+"
+    if len(rs) == 1:
+        return f"\\x{{{ord(rs):x}}}"
+    ere = compile_ere(rs)
+    if not ere.exact or ere.nullable:
+        raise ValueError(f"the ends of records by {rs!r} need whole_records")
+    return ere.java
