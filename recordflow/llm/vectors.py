@@ -5,12 +5,17 @@ bounded size by a hash of their id, each pair of blocks that has to meet is one
 and every group returns at most k rows a query. What a group holds is bounded by the
 block sizes, also where one vector makes up a third of all rows.
 
+Rows are sent once for each block of queries and queries once for each block of rows, so
+blocks are as large as memory allows (``MOST`` vectors) once there are enough of them for
+all tasks.
+
 Cases: vectors that are null, of length zero, or hold a null, a NaN or an infinity take
 no part, neither as queries nor as candidates; for the inner product search neither do
 vectors of zeros. Shorter vectors count as padded with zeros. Repeated rows with one id
 are candidates each (equal ids never match as a query and its own row); ``nearest`` asks
-for equal rows of an id and vector once, ``top_k`` for each, as its SQL does. Empty tables
-give empty results. Other columns are dropped.
+for equal rows of an id and vector once, ``top_k`` for each, as its SQL does. Integer scores
+are exact while they are below 2^63 in size; beyond that they aren't defined, as the result
+has no room for them. Empty tables give empty results. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 
 from recordflow.llm.shared import settle
 
-ROWS, QUERIES = 4096, 1024
+#: Rows and queries of a block at least (where there are as many), and at most.
+ROWS, QUERIES, MOST = 4096, 1024, 32768
 
 
 def usable(v: Column, zeros: bool) -> Column:
@@ -48,8 +54,14 @@ def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
-def blocks(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
+def blocks(n: int, size: int, tasks: int = 1) -> int:
+    """How many blocks for n vectors: of ``size`` while there are fewer than tasks, then
+    as many as tasks, of up to MOST."""
+    return max(1, min(math.ceil(n / size), max(tasks, math.ceil(n / max(size, MOST)))))
+
+
+def tasks_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def best_of(hits: DataFrame, k: int) -> DataFrame:
@@ -170,7 +182,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, at_once
     """query_id, rank, vec_id, score: the k rows of docs with the highest integer inner
     product with each query. Both tables: id long, terms array<long> (each once a row),
     weights array<long>. A row never answers the query of its own id."""
-    n_rows, n_queries = blocks(docs.count(), rows), blocks(queries.count(), at_once)
+    n_rows = blocks(docs.count(), rows, tasks_of(docs))
+    n_queries = blocks(queries.count(), at_once, math.ceil(tasks_of(docs) / n_rows))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     d = docs.select("id", "terms", "weights", own(n_rows).alias("r"), every(n_queries).alias("q"))
@@ -327,13 +340,17 @@ def probes_for(router: Router, x: np.ndarray, asked: np.ndarray, k: int, target:
     return int(found[min(len(found) - 1, math.ceil(target * len(found)) - 1)]) + 1
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32, probes: int | None = None, target: float = 0.95, sample: int = 8192, rows: int = ROWS, at_once: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int | None = None, probes: int | None = None, target: float = 0.95, sample: int = 8192, rows: int = ROWS, at_once: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``,
     the k rows with the largest inner product found in the ``probes`` parts that the
     router names. The router is fitted on four fifths of the ``sample`` rows of the
     smallest id hashes, which are collected; the others tell how many probes reach the
-    ``target`` recall, where that isn't given. Every row is indexed under its most
-    probable part. On vectors without clusters most parts have to be probed."""
+    ``target`` recall, where that isn't given; of a sample of fewer than ten times k rows
+    that can't be told, and all parts are probed. Every row is indexed under its most
+    probable part. A query whose parts hold fewer than k other rows goes on to its next
+    ones. On vectors without clusters most parts have to be probed. There are 32 parts up to
+    2^17 rows, twice as many for every four times the rows, and at most one for 64 rows of
+    the sample."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v"), False) & F.col("id").isNotNull())
     taken = v.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
@@ -342,6 +359,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32,
     x = matrix(taken.column("v"))
     width = x.shape[1]
     own = np.arange(len(x)) % 5 == 0
+    if n_parts is None:
+        n_parts = min(max(32, sample // 64), 32 << max(0, math.ceil(math.log(max(1, v.count()) / (1 << 17), 4))))
     router = learn(x[~own], n_parts)
     if probes is None:
         few = len(x) < 10 * k
@@ -353,13 +372,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int = 32,
         r.w1, r.b1, r.w2, r.b2 = net
         for b in batches:
             s = r.scores(matrix(b.column(1), width)[:, :width])
-            parts = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(list(parts), pa.list_(pa.int32()))], ["id", "v", "parts"])
+            parts = np.argsort(-s, axis=1, kind="stable").astype(np.int32)
+            parts = [p if i % every == 0 else p[:1] for i, p in zip(b.column(0).to_pylist(), parts, strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     routed = settle(v.mapInArrow(route, "id long, v array<double>, parts array<int>"))
-    queries = routed.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v", F.explode("parts").alias("p"))
     indexed = routed.select("id", "v", F.element_at("parts", 1).alias("p"))
-    n_rows = {r["p"]: blocks(r["n"], rows) for r in indexed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {r["p"]: r["n"] for r in indexed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a part
+    asked = routed.filter(F.col("id") % every == 0)
+    # parts up to the first that makes up k rows besides the query's own
+    size = F.create_map(*[F.lit(x) for p in held for x in (p, held[p])])
+    asked = asked.dropDuplicates(["id", "v"]).join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id")
+    sums = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.try_element_at(size, x), F.lit(0))))
+    enough = F.size(F.filter(sums, lambda n: n < F.col("own") + k)) + 1
+    queries = asked.select("id", "v", F.explode(F.slice("parts", F.lit(1), F.greatest(F.lit(probes), enough))).alias("p"))
+    tasks = tasks_of(vectors)
+    n_rows = {p: blocks(n, rows, math.ceil(tasks / len(held))) for p, n in held.items()}
     n_queries = {r["p"]: blocks(r["n"], at_once) for r in queries.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     both = [p for p in n_rows if p in n_queries]
     if not both:

@@ -1,5 +1,7 @@
 """Searches against brute force."""
 
+import math
+
 import numpy as np
 
 from recordflow.llm import vectors
@@ -96,3 +98,28 @@ def test_max_score_on_sparse_postings():
         want = sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True))[:4]
         found, got = vectors.max_score(p, ids, -1, qt, qw, 4)
         assert [(-int(s), int(i)) for i, s in zip(found, got, strict=True)] == want
+
+
+def test_nearest_goes_on_to_further_parts(spark):
+    """With one probe, queries of small parts still get k rows, or all there are."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(20, [float(a) for a in x[20]])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (20, 100):
+        got = vectors.nearest(df, k=k, probes=1, n_parts=16).groupBy("query_id").count().collect()
+        assert {r["query_id"]: r["count"] for r in got if r["query_id"] != 20} == dict.fromkeys((0, 40), min(k, 62))
+        assert {r["count"] for r in got if r["query_id"] == 20} == {min(k, 59)}
+
+
+def test_blocks():
+    assert [vectors.blocks(n, 4096, 50) for n in (0, 1, 4096, 4097, 4096 * 40, 4096 * 60, 32768 * 50, 32768 * 70)] == [1, 1, 1, 2, 40, 50, 50, 70]
+
+
+def test_large_components(spark):
+    """Exact integer scores close to 2^62."""
+    rows = [(0, [2.0**22, -1.5]), (1, [2.0**22, 3.0]), (2, [-(2.0**22), 0.25]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    w = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.quantized_top_k(df).collect()}
+    assert got == {(q, d): sum(a * b for a, b in zip(w[q], w[d], strict=True)) for q in (0, 50) for d in w if d != q}
