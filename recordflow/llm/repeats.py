@@ -26,7 +26,7 @@ Hashes only choose what is compared or, for copies, stand for a slice by 40 + 48
 besides its bucket. Slices, not documents, are dealt out: a passage in a third of all
 documents is, but for its ends, one slice hash in each.
 
-Cases: null texts are empty and lose nothing, nor do texts of fewer than 50 bytes; a null
+Cases: null texts are empty, lose nothing and stay null, nor do texts of fewer than 50 bytes; a null
 id counts as the largest; rows that share an id don't take from one another; an empty
 table gives an empty result; texts are read whole; other columns pass through ``strip``.
 """
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -562,7 +563,7 @@ def _stripped(keep_text: bool):
         if not keep_text:
             return pa.table(out | {"kept_sha256": pa.array(digest, pa.string())})
         pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": docs.column("doc_id"), "rest": docs.column("rest"), "text": pa.array(kept, pa.string()), "spans": pa.array(where, pairs)})
+        return pa.table({"doc_id": docs.column("doc_id"), "rest": docs.column("rest"), "text": pc.if_else(text.is_null(), pa.scalar(None, pa.string()), pa.array(kept, pa.string())), "spans": pa.array(where, pairs)})
 
     return run
 

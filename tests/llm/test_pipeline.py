@@ -36,3 +36,35 @@ def test_stages(spark, sf):
     packed = stages["packing"](spark, left, sf).collect()
     held(packed, dict(texts(left)), 4096)
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def odd(spark, sf):
+    """Documents with nulls in every column, repeated rows, and columns named like those of
+    the stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [(None, None), (None, ""), (None, "one two three four five six seven"), (3, None), (3, None), (4, ""), (7, "x " * 3000), (7, "x " * 3000), (None, "one two three four five six seven")]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    return docs.selectExpr("*", "'a' as Toxicity", "'b' as spans", "'c' as __g", "'d' as row_key", "1 as g", "2 as rest", "named_struct('x', 1) as component")
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs = odd(spark, sf)
+    given = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = settle(stage(spark, docs, sf))
+        assert after.columns == docs.columns and [f.dataType.simpleString() for f in after.schema] == [f.dataType.simpleString() for f in docs.schema], name
+        r = after.filter("text is not null").first()
+        assert (r["Toxicity"], r["spans"], r["__g"], r["row_key"], r["g"], r["rest"], r["component"]["x"]) == ("a", "b", "c", "d", 1, 2, 1)
+        docs = after
+    # of equal rows one stays, of texts without words all of different ids
+    left = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=repr)
+    assert len(left) < given and len(left) == len(set(left)) and {i for i, t in left if not t} >= {None, 3, 4}
+    held = sum(r["length"] for r in corpus_pipeline.pack(spark, docs, sf).collect())
+    assert held >= len(left)
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = odd(spark, sf).filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
