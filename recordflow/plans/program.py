@@ -447,7 +447,7 @@ class Lowering:
         loop = loops.pop() if loops else None
         if loop is not None:
             items = c.array(loop[0])
-            df = df.select("*", F.posexplode(F.slice(items, loop[1], F.greatest(F.size(items) - loop[1] + 1, F.lit(0)))).alias("__at", "__item"))
+            df = df.select("*", F.posexplode(from_place(items, loop[1])).alias("__at", "__item"))
         keep = [F.col(f"`{o}`").alias(f"__o{i}") for i, o in enumerate(order)] if not typed else []
         if len(outputs) == 1:
             o = outputs[0]
@@ -511,6 +511,11 @@ class Lowering:
         return e.run(self.ends, names, typed)
 
 
+def from_place(items: Column, first: int) -> Column:
+    """The items from a place on, counted from 1."""
+    return items if first == 1 else F.slice(items, first, F.greatest(F.size(items) - first + 1, F.lit(0)))
+
+
 def simplified(v: V) -> V:
     """Constants folded after a substitution."""
     if v.op == "not":
@@ -609,6 +614,10 @@ class End:
     def changed(self, x: V) -> V:
         return self.f.vars.get(x.args[0], x) if x.op == "state" else self.f.cells.get(x.args, x)
 
+    def only_under(self, made: V, guard: V) -> bool:
+        """Whether an element is made by just the records that pass a test."""
+        return simplified(substituted(made, {guard: ONE})) == ONE and simplified(substituted(made, {guard: ZERO})) == ZERO
+
     def shared_guard(self, xs: list[V]) -> V | None:
         """A test of the record alone without which none of the states changes."""
         found: set[V] = set()
@@ -754,7 +763,7 @@ class End:
         aggs, names = [], {}
         if loop is not None:
             items = c.array(loop[0])
-            df = df.select("*", F.posexplode(F.slice(items, loop[1], F.greatest(F.size(items) - loop[1] + 1, F.lit(0)))).alias("__at", "__item"))
+            df = df.select("*", F.posexplode(from_place(items, loop[1])).alias("__at", "__item"))
             for u in self.s.updates:
                 if u.array and u.key == key and u.loop == loop and u.array not in names:
                     same = [w for w in self.s.updates if w.array == u.array]
@@ -766,7 +775,7 @@ class End:
                         aggs.append(F.max(reduce(lambda a, b: a | b, here)).alias("__h" + names[u.array][0]))
         mine = [] if loop is not None else [V("cell", (a, k), "?") for a, k in self.f.cells if k == key]
         guard = self.shared_guard(mine) if mine else None
-        if guard is not None and all(self.low.made_first(self.f, V("held", x.args)) == guard for x in mine):
+        if guard is not None and all(self.only_under(self.low.made_first(self.f, V("held", x.args)), guard) for x in mine):
             df, self.assumed = df.filter(c.test(guard)), guard
         for a, k in self.f.cells:
             if k == key and loop is None:
@@ -776,7 +785,7 @@ class End:
                 made = self.low.made_first(self.f, V("held", (a, k)))
                 if states(made):
                     raise NotRelational(f"what makes an element of {a} depends on state")
-                if made not in (ONE, self.assumed):
+                if made != ONE and self.assumed is None:
                     aggs.append(F.max(c.test(made)).alias("__h" + names[a][0]))
         self.assumed = None
         keys = [x.alias(f"__k{i}") for i, x in enumerate(self.low.key_columns(c, key))]
@@ -909,7 +918,7 @@ class End:
                 c.known[V("itemfield", (u.loop[0],), "F")] = (x, "F")
                 return c.number(u.value)
 
-            one = F.aggregate(F.slice(items, u.loop[1], F.greatest(F.size(items) - u.loop[1] + 1, F.lit(0))), F.lit(0.0), lambda a, x: a + term(x))
+            one = F.aggregate(from_place(items, u.loop[1]), F.lit(0.0), lambda a, x: a + term(x))
             total = total + F.coalesce(F.sum(one if u.guard is None else F.when(c.test(u.guard), one)), F.lit(0.0))
             c.known.pop(V("itemfield", (u.loop[0],), "F"), None)
         return total
