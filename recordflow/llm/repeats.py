@@ -22,8 +22,9 @@ shards, so texts are cut first where equal strings are cut alike:
    own hashes; equal ones of a group of documents only once.
 4. What goes is sent back to the documents' own groups.
 
-Hashes only choose what is compared or, for copies, stand for a slice by 40 + 48 bits
-besides its bucket. Slices, not documents, are dealt out: a passage in a third of all
+Hashes only choose what is compared: a copy is known by 40 + 48 bits besides its bucket, and
+then compared with the first one's bytes, which are sent to each group that has copies, once;
+if two different slices ever had one hash, the job would fail and say so. Slices, not documents, are dealt out: a passage in a third of all
 documents is, but for its ends, one slice hash in each.
 
 Cases: null texts are empty, lose nothing and stay null, nor do texts of fewer than 50 bytes; a null
@@ -56,6 +57,7 @@ GROUP_BYTES, TASK_BYTES = 8 << 20, 128 << 20
 #: Anchors are sought in stretches, by numbers of 36 bits of a hash and 28 of a place.
 STRETCH, LOW = 1 << 26, np.uint64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
+COLLISION = "different strings have one hash; other hash constants are needed"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -109,6 +111,13 @@ class Slices:
         _, down = Powers.to(len(self.raw) + 1)
         return owner, within, mixed((self.total[at + LENGTH] - self.total[at]) * down[at])
 
+    def verify(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Slices x have the bytes of slices y, as their hashes say."""
+        size = self.count[x] + LENGTH - 1
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (self.count[x] != self.count[y]).any() or (self.raw[np.repeat(self.start[x], size) + within] != self.raw[np.repeat(self.start[y], size) + within]).any():
+            raise RuntimeError(COLLISION)
+
     def bytes_of(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.start[i] + self.count[i] + LENGTH - 1].tobytes()
 
@@ -164,7 +173,9 @@ def _announce(n_buckets: int, crowd: int):
                 a, c, d = s.anchor[by], s.content[by], doc[by]
                 new_a = np.r_[True, a[1:] != a[:-1]]
                 new = new_a | np.r_[True, c[1:] != c[:-1]]
-                copy = d > d[new][np.cumsum(new) - 1]
+                run_of = np.cumsum(new) - 1
+                copy = d > d[new][run_of]
+                s.verify(by[copy], by[new][run_of[copy]])
                 kd, kc = d[copy], c[copy]
                 a, c, d, new_a = a[new], c[new], d[new], new_a[new]
                 run_of = np.cumsum(new_a) - 1
@@ -192,9 +203,11 @@ def _announce(n_buckets: int, crowd: int):
     return run
 
 
-ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary"
-#: Kinds of answers: to be compared; copies; strings found; of crowded anchors, to be compared.
-NEEDED, COPIED, FOUND, CROWDED = 0, 1, 2, 3
+ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary, b binary"
+#: Kinds of answers: to be compared; copies by their hashes; strings found; of crowded anchors,
+#: to be compared; copies that have been verified; slices whose bytes other groups (m) want;
+#: such bytes (d: anchors, m: sizes).
+NEEDED, COPIED, FOUND, CROWDED, KNOWN, WANTED, WITNESS = range(7)
 
 
 def _answers(n_groups: int):
@@ -211,7 +224,7 @@ def _answers(n_groups: int):
                 at = np.frombuffer(x["t"], "<u2" if len(x["t"]) < 4 * len(a[-1]) else "<u4")
                 d.append(np.frombuffer(x["d"], "<i8")[at])
             crowded.append(_uncut(x["h"], 5))
-            for kind, k in ((COPIED, "k"), (CROWDED, "h")):
+            for kind, k in ((KNOWN, "k"), (CROWDED, "h")):
                 if x[k + "d"]:
                     rows.extend(_by_group(kind, n_groups, np.frombuffer(x[k + "d"], "<i8"), _uncut(x[k + "c"], 6), None))
         a, c, d, crowded = np.concatenate(a), np.concatenate(c), np.concatenate(d), np.unique(np.concatenate(crowded))
@@ -238,6 +251,9 @@ def _answers(n_groups: int):
         crowd |= kinds > MOST
         for kind, take in ((COPIED, copy), (NEEDED, need & ~crowd), (CROWDED, need & crowd)):
             rows.extend(_by_group(kind, n_groups, d[take], c[take], None))
+        # the first one's bytes go to every group that has copies
+        wants = np.unique(np.stack([of_c[copy], np.mod(d[copy], n_groups)]), axis=1)
+        rows.extend(_by_group(WANTED, n_groups, d[new_c][wants[0]], c[new_c][wants[0]], wants[1]))
         return _answer(rows, bucket)
 
     return run
@@ -254,7 +270,7 @@ def _by_group(kind: int, n_groups: int, d: np.ndarray, c: np.ndarray, m: np.ndar
 
 def _answer(rows: list[tuple], bucket: int) -> pa.Table:
     g, kind, d, c, m = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(g), pa.int64()), "kind": pa.array(kind, pa.int32()), "d": pa.array(d, pa.binary()), "c": pa.array(c, pa.binary()), "m": pa.array(m, pa.binary())})
+    return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(g), pa.int64()), "kind": pa.array(kind, pa.int32()), "d": pa.array(d, pa.binary()), "c": pa.array(c, pa.binary()), "m": pa.array(m, pa.binary()), "b": pa.array([b""] * len(g), pa.binary())})
 
 
 def _told(answers: pa.Table, kinds: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,6 +290,34 @@ def _told(answers: pa.Table, kinds: tuple) -> tuple[np.ndarray, np.ndarray, np.n
     return d[first], c[first], np.bitwise_or.reduceat(m, first)  # all that is said holds
 
 
+def _wanted(answers: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Slices whose bytes are wanted, as ``_told`` gives them with a number for a mask; where
+    the groups of each number begin; and these groups."""
+    d, c, g = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for x in answers.select(["kind", "d", "c", "m"]).to_pylist():
+        if x["kind"] == WANTED:
+            d.append(np.frombuffer(x["d"], "<i8"))
+            c.append(_uncut(x["c"], 6))
+            g.append(np.frombuffer(x["m"], "<i8"))
+    d, c, g = np.concatenate(d), np.concatenate(c), np.concatenate(g)
+    by = np.lexsort((g, c, d))
+    d, c, g = d[by], c[by], g[by]
+    first = np.nonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])[0] if len(d) else np.zeros(0, np.int64)
+    return (d[first], c[first], np.arange(len(first), dtype=np.uint64)), np.r_[first, len(d)], g
+
+
+def _witnesses(answers: pa.Table) -> dict[tuple[int, int], bytes]:
+    """By anchor and slice: the bytes of the first document's slice."""
+    out = {}
+    for x in answers.select(["kind", "d", "c", "m", "b"]).to_pylist():
+        if x["kind"] == WITNESS:
+            end = np.cumsum(np.frombuffer(x["m"], np.uint8).astype(np.int64))
+            for a, c, lo, hi in zip(_uncut(x["d"], 5).tolist(), _uncut(x["c"], 6).tolist(), [0, *end[:-1].tolist()], end.tolist(), strict=True):
+                if out.setdefault((a, c), x["b"][lo:hi]) != x["b"][lo:hi]:
+                    raise RuntimeError(COLLISION)
+    return out
+
+
 def _matched(s: Slices, docs: np.ndarray, told: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Which slices were told of, and their masks; docs: the document of each text."""
     d, c, m = told
@@ -300,26 +344,33 @@ def _matched(s: Slices, docs: np.ndarray, told: tuple) -> tuple[np.ndarray, np.n
     return which[ok], m[k[ok]]
 
 
-SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary, kc binary, km binary"
+SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary, kc binary, km binary, a binary"
 
 
 def _compared(n_buckets: int):
     """What is to be compared of a group's texts, by bucket: slices by their anchors, of
-    crowded anchors single strings (number k of their slice) by their own hashes."""
+    crowded anchors single strings (number k of their slice) by their own hashes. Bytes
+    that other groups want go out under the bucket -1 - group."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[int, list[tuple]] = {}
         known = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         needed, crowded = ((_told(answers, (k,)) for k in (NEEDED, CROWDED)) if answers.num_rows else (None, None))
+        wits: dict[int, list[tuple]] = {}
         if needed is not None and docs.num_rows:
             ids = _ids(docs.column("doc_id"))
-            asked = np.isin(ids, needed[0]) | np.isin(ids, crowded[0])
+            wanted, begin, targets = _wanted(answers)
+            asked = np.isin(ids, needed[0]) | np.isin(ids, crowded[0]) | np.isin(ids, wanted[0])
             ids, text = ids[asked], docs.column("text").combine_chunks().filter(pa.array(asked))
             for first, texts in groups_of(text, 1_000_000):
                 s = Slices(texts)
                 of = ids[first : first + len(texts)]
                 for i in _matched(s, of, needed)[0].tolist():
                     out.setdefault(int(s.anchor[i] % np.uint64(n_buckets)), []).append((int(of[s.text[i]]), int(s.content[i]), 0, s.bytes_of(i)))
+                which, number = _matched(s, of, wanted)
+                for k, i in dict(zip(number.tolist(), which.tolist(), strict=True)).items():
+                    for g in targets[begin[k] : begin[k + 1]].tolist():
+                        wits.setdefault(g, []).append((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]), s.bytes_of(i)))
                 which = _matched(s, of, crowded)[0]
                 if not len(which):
                     continue
@@ -328,7 +379,12 @@ def _compared(n_buckets: int):
                 by = np.lexsort((d, h))
                 slice_, k, h, d = slice_[by], k[by], h[by], d[by]
                 new = np.r_[True, h[1:] != h[:-1]]
-                later = d > d[new][np.cumsum(new) - 1]
+                head = np.nonzero(new)[0][np.cumsum(new) - 1]
+                later = d > d[head]
+                at = s.start[slice_] + k
+                strings = np.lib.stride_tricks.sliding_window_view(s.raw, LENGTH)
+                if later.any() and (strings[at[later]] != strings[at[head[later]]]).any():
+                    raise RuntimeError(COLLISION)
                 known.append((d[later], s.content[slice_[later]], np.uint64(1) << k[later].astype(np.uint64)))
                 for i, j, x, y in zip(slice_[~later].tolist(), k[~later].tolist(), h[~later].tolist(), d[~later].tolist(), strict=True):
                     at = int(s.start[i]) + j
@@ -336,11 +392,14 @@ def _compared(n_buckets: int):
         rows = []
         for bucket, x in out.items():
             d, c, k, b = zip(*x, strict=True)
-            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), np.array(k, np.uint8).tobytes(), b"".join(b), b"", b"", b""))
+            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), np.array(k, np.uint8).tobytes(), b"".join(b), b"", b"", b"", b""))
+        for g, x in wits.items():
+            a, c, b = zip(*x, strict=True)
+            rows.append((-1 - g, b"", _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), b"", b"".join(b), b"", b"", b"", _cut(np.array(a, np.uint64), 5).tobytes()))
         d, c, m = (np.concatenate(x) for x in zip(*known, strict=True))
         if len(d):
-            rows.append((int(d[0]) % n_buckets, b"", b"", b"", b"", b"", d.astype("<i8").tobytes(), _cut(c, 6).tobytes(), m.astype("<u8").tobytes()))
-        buckets, *blobs = zip(*rows, strict=True) if rows else ((),) * 9
+            rows.append((int(d[0]) % n_buckets, b"", b"", b"", b"", b"", d.astype("<i8").tobytes(), _cut(c, 6).tobytes(), m.astype("<u8").tobytes(), b""))
+        buckets, *blobs = zip(*rows, strict=True) if rows else ((),) * 10
         return pa.table([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], [x.split()[0] for x in SENT.split(", ")])
 
     return run
@@ -532,7 +591,9 @@ def _stripped(keep_text: bool):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids = _ids(docs.column("doc_id"))
-        told = _told(answers, (COPIED, FOUND)) if answers.num_rows else (np.zeros(0, np.int64),) * 3
+        told, copied, witness = (np.zeros(0, np.int64),) * 3, (np.zeros(0, np.int64),) * 3, {}
+        if answers.num_rows:
+            told, copied, witness = _told(answers, (COPIED, KNOWN, FOUND)), _told(answers, (COPIED,)), _witnesses(answers)
         size, removed, spans, digest, kept, where = [], [], [], [], [], []
         text = docs.column("text")
         for first, texts in groups_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, 1_000_000):
@@ -540,6 +601,9 @@ def _stripped(keep_text: bool):
             some = [t for t, h in zip(texts, hit.tolist(), strict=True) if h]
             if some:
                 s = Slices(some)
+                for i in _matched(s, ids[first : first + len(texts)][hit], copied)[0].tolist():
+                    if witness.get((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]))) != s.bytes_of(i):
+                        raise RuntimeError(COLLISION)
                 gone = _gone(s, *_matched(s, ids[first : first + len(texts)][hit], told)) if len(s.start) else np.zeros(len(s.raw), bool)
                 at = iter(zip(s.begin.tolist(), map(len, some), strict=True))
             for t, h in zip(texts, hit.tolist(), strict=True):
@@ -580,9 +644,11 @@ def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFra
     announced = docs.select("doc_id", "text").mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
     answers = settle(announced.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
     grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(tasks, "g")
-    cut = _with_answers(grouped.select("doc_id", "text", "g"), answers, tasks).applyInArrow(_compared(n_buckets), SENT)
-    found = cut.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
-    return grouped, answers.filter(F.col("kind") == COPIED).unionAll(found), tasks
+    asked = answers.filter(F.col("kind").isin(NEEDED, CROWDED, WANTED))
+    cut = settle(_with_answers(grouped.select("doc_id", "text", "g"), asked, tasks).applyInArrow(_compared(n_buckets), SENT))
+    found = cut.filter("bucket >= 0").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
+    bytes_ = cut.filter("bucket < 0").select((-1 - F.col("bucket")).alias("g"), "bucket", F.lit(WITNESS).alias("kind"), F.col("a").alias("d"), "c", F.col("n").alias("m"), "b")
+    return grouped, answers.filter(F.col("kind").isin(COPIED, KNOWN)).unionAll(found).unionAll(bytes_), tasks
 
 
 def _with_answers(grouped: DataFrame, answers: DataFrame, tasks: int):

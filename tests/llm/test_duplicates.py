@@ -290,3 +290,17 @@ def test_repeats_many_groups_and_clashing_names(table, spark, monkeypatch):
     assert got.columns == ["doc_id", *[c for c in df.columns if c not in ("doc_id", "text")], "text", "where"]
     r = got.filter("doc_id = 94").first()
     assert (r["__g"], r["Spans"], r["rest"], r["g"], tuple(r["a.b"])) == ("s", "t", [1], "x", (1, 2))
+
+
+def test_equal_hashes_are_not_trusted():
+    """Copies are compared byte by byte; a difference stops the job."""
+    a, b = "".join(chr(97 + i * i % 26) for i in range(300)).encode(), bytes(97 + i * 7 % 26 for i in range(300))
+    s = repeats.Slices([a, b, a])
+    of = [np.nonzero(s.text == i)[0] for i in range(3)]
+    s.verify(of[2], of[0])
+    with pytest.raises(RuntimeError, match="hash"):
+        s.verify(of[1][:1], of[0][:1])
+    rows = [{"kind": repeats.WITNESS, "d": b"aaaaa", "c": b"cccccc", "m": bytes([50]), "b": x * 50} for x in (b"x", b"y")]
+    assert len(repeats._witnesses(pa.Table.from_pylist(rows[:1]))) == 1
+    with pytest.raises(RuntimeError, match="hash"):
+        repeats._witnesses(pa.Table.from_pylist(rows))
