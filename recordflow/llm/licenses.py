@@ -132,7 +132,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     score is 1 where a base phrase stands, else the best containment of a matched block,
     else 0."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words_of(F.col("text")).alias("words"))
+    d = d.select("doc_id", F.struct("doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("hash")).alias("key"), words_of(F.col("text")).alias("words"))
     found = settle(license_blocks(d.select("key", "words"), templates, threshold).groupBy("key").agg(F.collect_set("label").alias("method_labels"), F.max("containment").alias("best")))
     any_word = F.arrays_overlap("words", _strings([p.split()[-2] for p, _ in BASE]))
     norm = F.when(any_word, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(F.lit(" "))

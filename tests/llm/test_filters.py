@@ -27,7 +27,7 @@ def test_queries_against_sql(spark, sf, name):
 GRANT = licenses.TEMPLATES[1][1]
 TEXTS = [
     (1, "Released under the MIT License."), (2, None), (3, ""), (4, "x " * 70 + "Licensed under the Apache License,\nVersion 2.0! under the MIT license under the mit license"), (5, "cc-by-nc cc by  NC; CC BY"),
-    (6, "Under the Mİt license; under\u212athe mit license \u212a"), (7, ("pad " * 50) + GRANT.replace("charge", "money") + " tail" * 90), (8, "permission is granted to nobody"), (9, "mit license the under"), (9, "mit license the under"), (None, "under the mit license"), (10, "é" * 5000 + " under the mit license"),
+    (6, "Under the Mİt license; under\u212athe mit license \u212a"), (7, ("pad " * 50) + GRANT.replace("charge", "money") + " tail" * 90), (8, "permission is granted to nobody"), (9, "mit license the under"), (9, "mit license the under"), (None, "under the mit license"), (None, ("pad " * 9) + GRANT), (None, GRANT.upper()), (9, GRANT), (10, "é" * 5000 + " under the mit license"),
 ]
 
 
