@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,8 @@ _loaded: dict[tuple, MergeReplay] = {}
 
 
 def replay(path: str, pattern: str) -> MergeReplay:
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("the coarse cuts fit public_tokenizers.PATTERN only")
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = MergeReplay.load(path, pattern)
     return _loaded[path, pattern]

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -34,6 +35,11 @@ def test_merge_replay_equals_library():
         assert [i for c in bpe.COARSE.findall(t) for i in e.encode_ordinary(c)] == e.encode_ordinary(t)
 
 
+def test_other_split_patterns_are_refused():
+    with pytest.raises(ValueError, match="PATTERN"):
+        bpe.replay(MULTI, r"\w+|\W+")
+
+
 def test_digests(table, spark):
     e = encoding(MULTI)
     got = {r["doc_id"]: r for r in bpe.encode_digests(table(enumerate(ODD)), MULTI, P.PATTERN, keep=5).collect()}
