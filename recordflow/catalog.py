@@ -264,6 +264,9 @@ register("regex_classes", '{ print $1, ($2 ~ /[]#]/), ($2 ~ /[^[:alnum:]]/), ($2
 register("regex_units", '{ s = $2 "é漢"; print $1, length(s) - length($2), match(s, /é.$/) - length($2), gsub(/[^ -~]/, "?", s), substr(s, length(s) - 1) }', "nation", "k n m g t", "SELECT n_nationkey AS k, 2::BIGINT AS n, 1::BIGINT AS m, 2::BIGINT AS g, '??' AS t FROM nation", longs="k n m g")
 register("multi_match_join", "NR == FNR { a[$3] = a[$3] \"|\" $2; next } { n = split(a[$1], p, \"|\"); for (i = 2; i <= n; i++) print $2 \" \" p[i] }", "nation region", "s", "SELECT r_name || ' ' || n_name AS s FROM region JOIN nation ON n_regionkey = r_regionkey", order="n_nationkey r_regionkey", relational=False)
 register("getline_pairs", "{ a = $2; if ((getline) > 0) print a \"+\" $2; else print a }", "nation", "s", "SELECT n_name || coalesce('+' || nx, '') AS s FROM (SELECT n_nationkey, n_name, lead(n_name) OVER (ORDER BY n_nationkey) AS nx FROM nation) WHERE n_nationkey % 2 = 0", order="n_nationkey", relational=False)
+register("gsub_text", '{ s = $2; n = gsub(/[aeiou]+/, "<&>", s); print $1, n, length(s) }', "documents", "k n size", "SELECT doc_id AS k, len(regexp_extract_all(text, '[aeiou]+'))::BIGINT AS n, length(regexp_replace(text, '[aeiou]+', '<\\0>', 'g'))::BIGINT AS size FROM documents", longs="k n size", columns="doc_id text")
+register("regex_text", "$2 ~ /(th|sch)[aeiou]+n/ { print $1, match($2, /[.!?]/) }", "documents", "k at", "SELECT doc_id AS k, CASE WHEN regexp_matches(text, '[.!?]') THEN length(regexp_extract(text, '^[^.!?]*')) + 1 ELSE 0 END::BIGINT AS at FROM documents WHERE regexp_matches(text, '(th|sch)[aeiou]+n')", longs="k at", columns="doc_id text")
+register("sprintf_lines", '{ print sprintf("%05d|%.2f|%-3s|%x", $1, $6, $9, $3) }', "lineitem", "s", "SELECT printf('%05d|%.2f|', l_orderkey, l_extendedprice) || rpad(l_returnflag, 3, ' ') || '|' || printf('%x', l_suppkey) AS s FROM lineitem")
 register("keep_first_of_keys", "{ if (!($2 in s)) { print $1 \" \" $2; s[$2] = 1 } }", "orders", "s", "SELECT min(o_orderkey) || ' ' || o_custkey AS s FROM orders GROUP BY o_custkey", order="o_orderkey")
 
 

@@ -78,9 +78,38 @@ def scientific(x: Column, precision: int) -> Column:
     return let(digits, lambda d: F.when((F.length(d) == precision + 2) & F.endswith(d, F.lit("5")), tied(d)).otherwise(up))
 
 
+def _sure(y: Column) -> Column:
+    """Whether a product below 1e9 is rounded rightly although it isn't exact."""
+    return (y < 1e9) & (F.abs(y - F.floor(y) - 0.5) > 1e-5)
+
+
 def general(x: Column, precision: int) -> Column:
-    """%.Ng of a finite number that isn't 0."""
+    """%.Ng of a finite number that isn't 0. Most numbers are scaled to an integer of N
+    digits; those that are near a tie, or large or small, go by their shortest digits."""
     n = max(1, precision)
+    if n > 8:
+        return _general(x, n)
+    minus = F.when(x < 0, "-").otherwise("")
+
+    def shaped(p: int):
+        def text(y: Column) -> Column:
+            digits = F.rint(y).cast("bigint")
+            rest = digits % 10**p
+            tail = F.when(rest > 0, F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), p, "0"), F.lit("0")))).otherwise("") if p else F.lit("")
+            return F.when(_sure(y) & (digits < 10**n), F.concat(minus, ((digits - rest) / 10**p).cast("bigint").cast("string"), tail))
+
+        return text
+
+    def sized(size: Column) -> Column:
+        out = F.when(size < 0.01, F.lit(None).cast("string"))
+        for e in range(-2, n):
+            out = out.when(size < 10.0 ** (e + 1), let(size * 10.0 ** (n - 1 - e), shaped(n - 1 - e)))
+        return out
+
+    return F.coalesce(let(F.abs(x), sized), _general(x, n))
+
+
+def _general(x: Column, n: int) -> Column:
 
     def shaped(e: Column) -> Column:
         power = F.substring_index(e, "e", -1).cast("int")
@@ -91,7 +120,19 @@ def general(x: Column, precision: int) -> Column:
 
 
 def fixed(x: Column, precision: int) -> Column:
-    """%.Nf of a finite number, N up to 6."""
+    """%.Nf of a finite number, N up to 6; most go as an integer of the last places."""
+
+    def shaped(y: Column) -> Column:
+        digits = F.rint(y).cast("bigint")
+        rest = digits % 10**precision
+        whole = ((digits - rest) / 10**precision).cast("bigint").cast("string")
+        text = F.concat(F.when(x < 0, "-").otherwise(""), whole, *([F.lit("."), F.lpad(rest.cast("string"), precision, "0")] if precision else []))
+        return F.when(_sure(y), text).otherwise(_fixed(x, precision))
+
+    return let(F.abs(x) * 10.0**precision, shaped)
+
+
+def _fixed(x: Column, precision: int) -> Column:
     up = F.format_string(f"%.{precision}f", x)
     minus = F.when(x < 0, "-").otherwise("")
     ten = F.lit(str(10 ** (precision + 1))).cast("decimal(18,0)")

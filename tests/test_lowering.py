@@ -83,3 +83,25 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, 2.5, None)], "x int, y double, s string")
     got = Program("{ print $1 + 1, $2 * 2, $3 \"!\" }").run(df, names=["a", "b", "c"]).collect()
     assert sorted((r["c"] for r in got)) == ["!", "a!"]
+
+
+OWN = [
+    "{ n = $2; c = 0; while (n > 1) { n = int(n / 2); c++ } print $1, c }", "{ split($0, a, \" \"); delete a[1]; for (k in a) print k, a[k] }", "{ do { x = $2; $2 = x - 10 } while ($2 > 0); print }", "function f(n) { return n < 2 ? n : f(n - 1) + f(n - 2) } { print f($2 % 9) }",
+    "function fill(a, n,  i) { for (i = 1; i <= n; i++) a[i] = i } { delete q; fill(q, $2 % 5); print length(q) }", "{ if ($1 ~ (\"^\" substr($1, 1, 1))) print NF; else print \"no\" }", "{ for (i = NF; i > 0; i--) { if ($i == \"x\") break; if ($i > 50) continue; print i, $i } }", "$2 > 50 { if ($1 == \"k1\") next; while (match($1, /k/)) sub(/k/, \"z\", $1) } { print $1 }",
+]
+CARRIED = [
+    "{ while (n < $2) n += 7; print n }", "{ if ($2 > 9) x = 1; while (x) { print x; x = 0 } }", "function fill(a) { a[length(a)] = 1 } { fill(q); print length(q) }", "function g(n) { t += n; while (n > 0) n--; return t } { print g($2) }", "{ split($0, a); while (!(\"z\" in b)) b[\"z\"] = 1; print length(b) }",
+    "{ do { x += 1 } while (x < $2); print x }", "{ for (;;) { if ($2 > 5) break; y = 1; break } print y }", "{ while ((getline line) > 0) n++; print n }", "{ $1 = NR; while ($2 > 0) $2 -= 9; print }",
+]
+
+
+@pytest.mark.parametrize("program", OWN + CARRIED)
+def test_records_by_themselves(spark, program):
+    """What is run record by record, and what must not be: both as in sequence."""
+    records = lines(40, 3)
+    out = []
+    Program(program).run_local([("", "".join(r + "\n" for r in records))], out.append)
+    p = Program(program)
+    df = from_strings(spark, records).drop("rt")
+    assert p.lines(df.repartition(3)) == "".join(out).split("\n")[:-1]
+    assert (p.lowered.tier == "1p") == (program in OWN), p.explain()
