@@ -382,10 +382,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int | Non
     asked = routed.filter(F.col("id") % every == 0)
     # parts up to the first that makes up k rows besides the query's own
     size = F.create_map(*[F.lit(x) for p in held for x in (p, held[p])])
-    asked = asked.dropDuplicates(["id", "v"]).join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id")
+    counted = asked.groupBy(F.col("id").alias("its_id")).agg(F.count(F.lit(1)).alias("own"))
+    asked = asked.dropDuplicates(["id", "v"]).join(counted, F.col("id") == F.col("its_id"))
     sums = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.try_element_at(size, x), F.lit(0))))
     enough = F.size(F.filter(sums, lambda n: n < F.col("own") + k)) + 1
-    queries = asked.select("id", "v", F.explode(F.slice("parts", F.lit(1), F.greatest(F.lit(probes), enough))).alias("p"))
+    queries = asked.select(F.col("id").alias("asked"), F.col("v").alias("w"), F.explode(F.slice("parts", F.lit(1), F.greatest(F.lit(probes), enough))).alias("p"))
     tasks = tasks_of(vectors)
     n_rows = {p: blocks(n, rows, math.ceil(tasks / len(held))) for p, n in held.items()}
     n_queries = {r["p"]: blocks(r["n"], at_once) for r in queries.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -397,15 +398,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_parts: int | Non
     every_of = lambda n, p: F.explode(F.sequence(F.lit(0), n[p] - 1))
     p = F.col("p")
     left = indexed.filter(p.isin(both)).select("id", "v", "p", dealt(per[0], p).alias("r"), every_of(per[1], p).alias("q"))
-    right = queries.filter(p.isin(both)).select("id", "v", "p", dealt(per[1], p).alias("q"), every_of(per[0], p).alias("r"))
+    right = queries.filter(p.isin(both)).select("asked", "w", "p", F.pmod(F.xxhash64("asked"), per[1][p]).cast("int").alias("q"), every_of(per[0], p).alias("r"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[pd.DataFrame] = []
         if left.num_rows and right.num_rows:
-            a, b = matrix(left.column("v")), matrix(right.column("v"))
+            a, b = matrix(left.column("v")), matrix(right.column("w"))
             w = max(a.shape[1], b.shape[1])
-            a, b = matrix(left.column("v"), w), matrix(right.column("v"), w)
-            ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
+            a, b = matrix(left.column("v"), w), matrix(right.column("w"), w)
+            ids, asked = left.column("id").to_numpy(), right.column("asked").to_numpy()
             for at in range(0, len(b), 256):
                 rough = b[at : at + 256] @ a.T
                 rough[asked[at : at + 256][:, None] == ids[None, :]] = -np.inf
