@@ -249,11 +249,11 @@ register("arrays_by_reference", "function fill(a, n,  i) { for (i = 1; i <= n; i
 register("function_effects", "function show(x) { if (x > 40) print \"big\"; n = x * 2; return n + 1 } { n = 0; y = show($5); print n \":\" y }", "lineitem", "s", "SELECT 2 * l_quantity::BIGINT || ':' || 2 * l_quantity::BIGINT + 1 AS s FROM lineitem UNION ALL SELECT 'big' FROM lineitem WHERE l_quantity > 40")
 register("dynamic_regex", "{ print $1 \":\" ($2 ~ $1) ($2 ~ (\"^\" substr($2, 1, 3) \".*\" $3 \"$\")) }", "customer", "s", "SELECT c_custkey || ':' || regexp_matches(c_name, c_custkey::VARCHAR)::INT || ends_with(substr(c_name, 4), c_nationkey::VARCHAR)::INT AS s FROM customer")
 register("toggle_delete", "{ if ($3 in a) { print $3 \":\" a[$3] \":\" $1; delete a[$3] } else a[$3] = $1 }", "events", "s", "SELECT user_id || ':' || p || ':' || event_id AS s FROM (SELECT *, row_number() OVER w AS r, lag(event_id) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r % 2 = 0", order="event_id", relational=False)
-register("expression_statement", "{ length($2); $3 + 1; print $1 }", "nation", "k", "SELECT n_nationkey AS k FROM nation", longs="k")
+register("expression_statement", "{ length($2); $3 + 1; print $1 }", "nation", "k", "SELECT n_nationkey::BIGINT AS k FROM nation", longs="k")
 register("missing_action", "$3 == 2", "nation", "line", "SELECT concat_ws(' ', n_nationkey, n_name, n_regionkey) AS line FROM nation WHERE n_regionkey = 2")
 register("begin_only", "BEGIN { for (i = 1; i <= 9; i++) print i \" \" i * i }", "nation", "line", "SELECT i || ' ' || i * i AS line FROM range(1, 10) t(i)")
 register("seeds", "BEGIN { srand(5); a = srand(7); x = rand(); srand(7); print a, (x == rand()), (x >= 0 && x < 1) }", "nation", "line", "SELECT '5 1 1' AS line")
-register("clock", "{ t = systime(); print $1, (t > 1600000000 && t < 9000000000 && t == int(t)) }", "nation", "k ok", "SELECT n_nationkey AS k, 1::BIGINT AS ok FROM nation", longs="k ok")
+register("clock", "{ t = systime(); print $1, (t > 1600000000 && t < 9000000000 && t == int(t)) }", "nation", "k ok", "SELECT n_nationkey::BIGINT AS k, 1::BIGINT AS ok FROM nation", longs="k ok")
 register("subsep", 'BEGIN { SUBSEP = ":" } { a[$9, $10] += $5 } END { for (k in a) print k, a[k] }', "lineitem", "k q", "SELECT l_returnflag || ':' || l_linestatus AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1")
 register("convfmt", 'BEGIN { CONVFMT = "%.3f" } { print $1 ":" $6 / 7 }', "lineitem", "s", "SELECT l_orderkey || ':' || CASE WHEN l_extendedprice / 7 = trunc(l_extendedprice / 7) THEN (l_extendedprice / 7)::BIGINT::VARCHAR ELSE printf('%.3f', l_extendedprice / 7) END AS s FROM lineitem")
 register("double_text", '{ print $1 ":" $6 }', "lineitem", "s", "SELECT l_orderkey || ':' || CASE WHEN l_extendedprice = trunc(l_extendedprice) THEN l_extendedprice::BIGINT::VARCHAR ELSE l_extendedprice::VARCHAR END AS s FROM lineitem")
@@ -261,7 +261,7 @@ register("regex_dot", '{ s = $2 "\\n" $1; m = match(s, /E.*$/); print $1 ":" (s
 register("regex_escapes", '{ print $1, ($2 ~ /^\\x43u\\163/), ($2 ~ /\\u0043\\t/), ($2 ~ /#\\060/), ($2 ~ /r\\#/) }', "customer", "k a b c d", "SELECT c_custkey AS k, 1::BIGINT AS a, 0::BIGINT AS b, (strpos(c_name, '#0') > 0)::BIGINT AS c, (strpos(c_name, 'r#') > 0)::BIGINT AS d FROM customer", longs="k a b c d")
 register("regex_repetition", '{ print $1, ($2 ~ /0{5,8}[1-9]/), ($2 ~ /(er#){1}/), ($2 ~ /C{2}/), ($2 ~ /x{|#/) }', "customer", "k a b c d", "SELECT c_custkey AS k, regexp_matches(c_name, '0{5,8}[1-9]')::BIGINT AS a, (strpos(c_name, 'er#') > 0)::BIGINT AS b, 0::BIGINT AS c, (strpos(c_name, '#') > 0)::BIGINT AS d FROM customer", longs="k a b c d")
 register("regex_classes", '{ print $1, ($2 ~ /[]#]/), ($2 ~ /[^[:alnum:]]/), ($2 ~ /^[[:upper:]][[:lower:]]+#[[:digit:]]+$/), ($2 ~ /[z-a]/), ($2 ~ /(s)\\1/) }', "customer", "k a b c d e", "SELECT c_custkey AS k, 1::BIGINT AS a, 1::BIGINT AS b, 1::BIGINT AS c, 0::BIGINT AS d, (strpos(c_name, 's1') > 0)::BIGINT AS e FROM customer", longs="k a b c d e")
-register("regex_units", '{ s = $2 "é漢"; print $1, length(s) - length($2), match(s, /é.$/) - length($2), gsub(/[^ -~]/, "?", s), substr(s, length(s) - 1) }', "nation", "k n m g t", "SELECT n_nationkey AS k, 2::BIGINT AS n, 1::BIGINT AS m, 2::BIGINT AS g, '??' AS t FROM nation", longs="k n m g")
+register("regex_units", '{ s = $2 "é漢"; print $1, length(s) - length($2), match(s, /é.$/) - length($2), gsub(/[^ -~]/, "?", s), substr(s, length(s) - 1) }', "nation", "k n m g t", "SELECT n_nationkey::BIGINT AS k, 2::BIGINT AS n, 1::BIGINT AS m, 2::BIGINT AS g, '??' AS t FROM nation", longs="k n m g")
 register("multi_match_join", "NR == FNR { a[$3] = a[$3] \"|\" $2; next } { n = split(a[$1], p, \"|\"); for (i = 2; i <= n; i++) print $2 \" \" p[i] }", "nation region", "s", "SELECT r_name || ' ' || n_name AS s FROM region JOIN nation ON n_regionkey = r_regionkey", order="n_nationkey r_regionkey", relational=False)
 register("getline_pairs", "{ a = $2; if ((getline) > 0) print a \"+\" $2; else print a }", "nation", "s", "SELECT n_name || coalesce('+' || nx, '') AS s FROM (SELECT n_nationkey, n_name, lead(n_name) OVER (ORDER BY n_nationkey) AS nx FROM nation) WHERE n_nationkey % 2 = 0", order="n_nationkey", relational=False)
 register("gsub_text", '{ s = $2; n = gsub(/[aeiou]+/, "<&>", s); print $1, n, length(s) }', "documents", "k n size", "SELECT doc_id AS k, len(regexp_extract_all(text, '[aeiou]+'))::BIGINT AS n, length(regexp_replace(text, '[aeiou]+', '<\\0>', 'g'))::BIGINT AS size FROM documents", longs="k n size", columns="doc_id text")
