@@ -49,11 +49,16 @@ def number_of_text(s: Column) -> Column:
 
 def _side(x: Column, digits: Column, power: Column) -> Column:
     """The sign of x - digits * 10^power for a positive x near it, from one exact step: a
-    fused multiply-add rounds once, so its sign is that of the exact difference."""
+    fused multiply-add rounds once, so its sign is that of the exact difference. Where the
+    power of ten isn't a double, all digits of x are compared."""
     ten = lambda n: F.concat(F.lit("1e"), n.cast("string")).cast("double")  # noqa: E731  exact up to 22
     fma = lambda a, b, c: F.call_function("reflect", F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
     d = digits.cast("double")
-    return F.signum(F.when(power <= 0, fma(x, ten(-power), -d)).otherwise(-fma(d, ten(power), -x)))
+    every = F.regexp_replace(F.regexp_replace(_exact(x), "E.*$|[.]", ""), "^0+", "")
+    ours = F.rpad(every, F.greatest(F.length(every), F.length(digits.cast("string"))), F.lit("0"))
+    theirs = F.rpad(digits.cast("string"), F.length(ours), F.lit("0"))
+    by_digits = F.when(ours > theirs, 1.0).when(ours < theirs, -1.0).otherwise(0.0)
+    return F.when(F.abs(power) > 22, by_digits).otherwise(F.signum(F.when(power <= 0, fma(x, ten(-power), -d)).otherwise(-fma(d, ten(power), -x))))
 
 
 def let(x: Column, then) -> Column:
@@ -157,8 +162,7 @@ def _fixed(x: Column, precision: int) -> Column:
 
 
 def _whole_text(x: Column) -> Column:
-    """All digits of a whole number below 2^115; of larger ones the shortest digits, and
-    zeros."""
+    """All digits of a whole number."""
     small = F.abs(x) < 2**53
     low = F.when(small, x).otherwise(0.0).cast("bigint").cast("string")
     unit = F.lit(2**53).cast("decimal(20,0)")
@@ -166,7 +170,25 @@ def _whole_text(x: Column) -> Column:
     high = split / 2.0**53
     top = F.when(high >= 0, F.floor(high)).otherwise(F.ceil(high))
     large = (top.cast("decimal(20,0)") * unit).cast("decimal(38,0)") + (split - top.cast("double") * 2.0**53).cast("decimal(20,0)")
-    return F.when(small, low).otherwise(F.coalesce(large.cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x)))
+    return F.when(small, low).otherwise(F.coalesce(large.cast("decimal(38,0)").cast("string"), _exact(x)))
+
+
+def _exact(x: Column) -> Column:
+    return F.call_function("reflect", F.lit("scala.math.BigDecimal"), F.lit("exact"), x)
+
+
+def _huge(x: Column) -> Column:
+    """%.30g of a number from 1e30 on, from all its digits."""
+
+    def shaped(d: Column) -> Column:
+        kept, rest = F.substring(d, 1, 30).cast("decimal(38,0)"), F.substring(d, 31, 400)
+        half = F.rpad(F.lit("5"), F.length(rest), F.lit("0"))
+        more = F.when((rest > half) | (rest == half) & (kept % 2 == 1), 1).otherwise(0)
+        n = (kept + more).cast("decimal(38,0)").cast("string")
+        mantissa = F.rtrim(F.rtrim(F.concat(F.substring(n, 1, 1), F.lit("."), F.substring(n, 2, 29)), F.lit("0")), F.lit("."))
+        return F.concat(F.when(x < 0, "-").otherwise(""), mantissa, F.lit("e+"), (F.length(d) - 31 + F.length(n)).cast("string"))
+
+    return let(_exact(F.abs(x)), shaped)
 
 
 def _special(x: Column) -> Column:
@@ -192,7 +214,7 @@ def text_of_number(x: Column, fmt: str = "%.6g", integral: bool = False) -> Colu
     out = F.when(whole, F.when(whole, x).otherwise(0.0).cast("bigint").cast("string"))
     if m:
         how = {"g": general, "f": fixed, "e": scientific}[m[2]]
-        large = lambda v: F.when(F.abs(v) < 1e30, _whole_text(v)).otherwise(general(v, 30))
+        large = lambda v: F.when(F.abs(v) < 1e30, _whole_text(v)).otherwise(_huge(v))
         return out.when(x.isNotNull(), let(x, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), _special(v)).when(F.abs(v) >= 2**53, large(v)).otherwise(how(v, int(m[1])))))
     return out.otherwise(_formatted(F.when(~whole, x), F.lit(fmt)))
 

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from recordflow.functions.numbers import fixed, general, number_of_input, let, number_of_text, scientific, text_of_number, to_long
 from recordflow.runtime.ere import compile_ere
 
-# Letters whose upper or lower case is not one letter, or depends on others.
-UNEVEN_UPPER, UNEVEN_LOWER = "[ßŉǰΐΰևẖ-ẚὐ-ὖᾀ-᾿ῂ-ῼﬀ-ﬗ]", "[İΣ]"
+# Letters whose upper case is not one letter; whose lower case is not, or
+# depends on others.
+UNEVEN_UPPER, UNEVEN_LOWER = "[ßŉǰΐΰևẖ-ẚὐ-ὖᾀ-᾿ῂ-ῼﬀ-ﬗ]", "İΣ"
 
 
 def _literal(s: str) -> str:
@@ -42,18 +43,18 @@ def index(s: Column, t: Column) -> Column:
 
 
 def tolower(s: Column) -> Column:
-    return _cased(s, F.lower, UNEVEN_LOWER)
+    return _cased(s, F.lower, F.contains(s, F.lit(UNEVEN_LOWER[0])) | F.contains(s, F.lit(UNEVEN_LOWER[1])))
 
 
 def toupper(s: Column) -> Column:
-    return _cased(s, F.upper, UNEVEN_UPPER)
+    return _cased(s, F.upper, (F.octet_length(s) != F.length(s)) & s.rlike(UNEVEN_UPPER))
 
 
-def _cased(s: Column, change, uneven: str) -> Column:
+def _cased(s: Column, change, uneven: Column) -> Column:
     """One character for one: what would become several stays. Texts without uneven letters
     are changed at once, others letter by letter."""
     one = lambda c: F.when(F.length(change(c)) == 1, change(c)).otherwise(c)
-    return F.when(s.rlike(uneven), F.array_join(F.transform(F.split(s, ""), one), "")).otherwise(change(s))
+    return F.when(uneven, F.array_join(F.transform(F.split(s, ""), one), "")).otherwise(change(s))
 
 
 def _native(pattern: str) -> bool:

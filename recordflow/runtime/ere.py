@@ -40,7 +40,9 @@ class Set:
         if not self.ranges:
             return r"[\s\S]" if self.negated else r"[^\s\S]"
         one = (lambda n: f"\\x{{{n:x}}}") if java else (lambda n: f"\\U{n:08x}")
-        return f"[{'^' * self.negated}{''.join(one(a) if a == b else f'{one(a)}-{one(b)}' for a, b in self.ranges)}]"
+        # Java keeps single characters below 256 in a bitmap, but tests ranges one by one
+        several = lambda a, b: "".join(map(one, range(a, b + 1))) if java and b < 256 and b - a < 128 else f"{one(a)}-{one(b)}"
+        return f"[{'^' * self.negated}{''.join(one(a) if a == b else several(a, b) for a, b in self.ranges)}]"
 
 
 class EreParser:

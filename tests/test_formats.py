@@ -13,12 +13,13 @@ from recordflow.runtime.values import number_text
 
 CONVFMTS = ["%.6g", "%.2f", "%.3e", "%.0f", "%.12g"]
 FORMATS = ["%.6g", "%.2f", "%.3e", "%.0f", "%g", "%f", "%e", "%.1g", "%d|%5d|%-6d|%05d|%+d|% d", "%x|%X|%o|%u", "%8.3f|%-8.1f|%08.2f|%+.1e", "%s|%10s|%-12s|%.3s", "100%% %d%%"]
-EDGES = [0.0, -0.0, 1e15, 1e16, 123456789012345680.0, 1e-4, 1e-5, 999999.5, 9999995.0, 0.5, 1.5, 2.5, -2.5, math.inf, -math.inf, math.nan, 1e29, 2.0**53, 1234565.5, 0.1, 123456.5, 123457.5, 2.0**63, 2.0**64, -3.7, 0.125, 0.375, 1960213643554571.5]
+EDGES = [0.0, -0.0, 1e15, 1e16, 123456789012345680.0, 1e-4, 1e-5, 999999.5, 9999995.0, 0.5, 1.5, 2.5, -2.5, math.inf, -math.inf, math.nan, 1e29, 2.0**53, 1234565.5, 0.1, 123456.5, 123457.5, 2.0**63, 2.0**64, -3.7, 0.125, 0.375, 1960213643554571.5, 2.5e300, -1e30, 1.7976931348623157e308, 2.0**115, 2.0**120 + 2.0**70, 9.999999999999999e33]
 
 
 def samples():
     r = random.Random(7)
     out = list(EDGES)
+    out += [float(f"{m}e{e}") for m in ("1.5", "2.5", "1234565", "1234575") for e in (-300, -60, -30, -24, 24, 30, 60, 290)]
     for _ in range(300):
         out += [r.randint(-(10**7), 10**7) / 8, float(f"{r.randint(1, 9999999)}5e{r.randint(-14, 8)}"), r.uniform(-1, 1) * 10 ** r.randint(-12, 20), float(r.randint(-(10**17), 10**17)), round(r.uniform(-1000, 1000), r.randint(0, 5))]
     return out
