@@ -53,7 +53,7 @@ SHARD = 2_000_000
 #: Slices of one anchor that a batch sends to the anchor's bucket, and that a bucket takes.
 CROWD, MOST = 256, 1 << 17
 #: Bytes of text for each group of documents and each bucket, and for each task.
-GROUP_BYTES, TASK_BYTES = 8 << 20, 128 << 20
+GROUP_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: Anchors are sought in stretches, by numbers of 36 bits of a hash and 28 of a place.
 STRETCH, LOW = 1 << 26, np.uint64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
