@@ -155,12 +155,12 @@ class Columns:
         return N.truth(F.coalesce(c, F.lit(0.0)), "N") if k == "W" else N.truth(c, k)
 
     def compared(self, op: str, a: V, b: V) -> Column:
+        if (plain := self.plain_comparison(op, a, b)) is not None:
+            return plain
         x, p = self.col(a)
         y, q = self.col(b)
         if "M" in (p, q):
             raise NotRelational("a comparison of what is text or number by record")
-        if (plain := self.plain_comparison(op, a, b)) is not None:
-            return plain
         if "S" in (p, q):
             return N.compare_texts(op, self.text(a), self.text(b))
         if p in "NUW" and q in "NUW":
@@ -180,6 +180,8 @@ class Columns:
         c, x = F.col(f"`{name}`"), const_value(b)
         if isinstance(kind, T.IntegralType) and isinstance(x, float) and x == int(x) and abs(x) < 2**31:
             return N.compare_texts(op, c, F.lit(int(x)))
+        if isinstance(kind, (T.DoubleType, T.DecimalType)) and isinstance(x, float) and x == x and abs(x) < 1e15 and (isinstance(kind, T.DoubleType) or x == int(x)):
+            return N.compare_numbers(op, c, F.lit(x if isinstance(kind, T.DoubleType) else int(x)))
         if isinstance(kind, T.StringType) and type(x) is str and x and op in ("==", "!="):
             same = c.eqNullSafe(F.lit(x))
             return same if op == "==" else ~same
