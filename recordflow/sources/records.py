@@ -2,7 +2,9 @@
 rt (the terminator).
 
 Newline and other literal separators are cut by Spark's own line reader, so files are
-split over tasks. Paragraphs and separators that are regular expressions need whole files.
+split over tasks. So are they for paragraphs and CSV, whose records are runs of lines: where
+one begins follows from the lines before it, as running state. Separators that are regular
+expressions, terminators and other encodings need whole files.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordflow.operators.ordered import Running, with_running
 from recordflow.runtime.ere import compile_ere
 
 
@@ -19,8 +22,10 @@ def read_text(spark: SparkSession, paths: list[str] | str, rs: str = "\n", csv:
     paths = [paths] if isinstance(paths, str) else list(paths)
     parts = []
     for i, path in enumerate(paths):
-        whole = csv or rs == "" or rt or len(rs) > 1 and compile_ere(rs).literal is None or encoding is not None
-        df = whole_records(spark, path, rs, csv, encoding) if whole else line_records(spark, path, rs)
+        if rt or encoding is not None or not csv and len(rs) > 1 and compile_ere(rs).literal is None:
+            df = whole_records(spark, path, rs, csv, encoding)
+        else:
+            df = records_of_lines(spark, path, csv) if csv or rs == "" else line_records(spark, path, rs)
         parts.append(df.select(F.lit(i).alias("__src"), "*"))
     out = parts[0]
     for p in parts[1:]:
@@ -38,6 +43,28 @@ def line_records(spark: SparkSession, path: str, rs: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("__file"), block.alias("__block"), place.alias("__pos"), "value", F.lit(rs).alias("rt")).drop("__block")
 
 
+def records_of_lines(spark: SparkSession, path: str, csv: bool) -> DataFrame:
+    """CSV records, or paragraphs, of files that are read by lines. A CSV record ends where
+    the quotes since its begin are even; one whose quote is never closed runs to the last
+    line. A paragraph begins at a line that follows an empty one, or none."""
+    lines, file = line_records(spark, path, "\n").select("__file", "__pos", "value"), [F.col("__file")]
+    if csv:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        lines = with_running(lines, ["__pos"], file, [Running("__quotes", "sum", quotes)])
+        begins = F.coalesce("__quotes", F.lit(0)) % 2 == 0
+    else:
+        lines = with_running(lines, ["__pos"], file, [Running("__last", "last", F.col("value"))]).filter("value <> ''")
+        begins = F.coalesce("__last", F.lit("")) == ""
+    # records are numbered by the begins before a line and its own
+    lines = with_running(lines.withColumn("__begins", begins.cast("int")), ["__pos"], file, [Running("__n", "sum", F.col("__begins"))])
+    lines = lines.withColumn("__n", F.coalesce("__n", F.lit(0)) + F.col("__begins"))
+    out = lines.groupBy("__file", "__n").agg(F.min("__pos").alias("__pos"), F.array_sort(F.collect_list(F.struct("__pos", "value"))).alias("__lines"))
+    text = F.array_join(F.transform("__lines", lambda x: x["value"]), "\n")
+    if csv:
+        text = F.regexp_replace(F.when(F.contains(text, F.lit('"')), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text), r"\r\z", "")
+    return out.select("__file", "__pos", text.alias("value"), F.lit(None).cast("string").alias("rt"))
+
+
 def whole_records(spark: SparkSession, path: str, rs: str, csv: bool, encoding: str | None) -> DataFrame:
     """Records of whole files, cut in Arrow batches by the sequential reader."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -39,6 +39,26 @@ def test_csv_files(spark, tmp_path):
     assert Program("{ print NF, $2 }", csv=True).lines(df) == ["3 b,c", "2 two\nlines"]
 
 
+@pytest.mark.parametrize("csv", [True, False])
+def test_records_of_lines_are_those_of_whole_files(spark, tmp_path, csv):
+    import random
+
+    r = random.Random(5)
+    for name in ("a", "b", "c"):
+        lines = []
+        for _ in range(60):
+            lines.append(r.choice(['x,"y', 'z"', '"a ""q"" b",c\r', "plain,1\r", "", "", 'w "odd"', '"k",2']) if csv else r.choice(["a b", "", "", "c", "\td"]))
+        if sum(x.count('"') for x in lines) % 2:
+            lines.append('"')
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    (tmp_path / "d").write_text("")
+    whole = records.whole_records(spark, str(tmp_path), "" if not csv else "\n", csv, None).collect()
+    lined = records.records_of_lines(spark, str(tmp_path), csv).orderBy("__file", "__pos").collect()
+    for name in ("a", "b", "c"):
+        want = [x["value"] for x in sorted(whole, key=lambda x: x["__pos"]) if x["__file"].endswith("/" + name)]
+        assert [x["value"] for x in lined if x["__file"].endswith("/" + name)] == want and want
+
+
 def test_bytes(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"\xff\xe9z\n")
     df = records.read_text(spark, str(tmp_path / "b"), encoding="iso-8859-1")
