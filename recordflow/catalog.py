@@ -307,6 +307,12 @@ def _between_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Program('BEGINFILE { n = 0 } { n++ } ENDFILE { print n ":" FNR ":" NR }').run(_two_files(spark, sf_dir), names=["s"])
 
 
+def _file_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is summed up within a file and printed after it: a fold by file."""
+    p = Program('BEGINFILE { s = 0; m = 0 } { s += length($2) } length($2) > m { m = length($2) } ENDFILE { print FNR ":" s ":" m }')
+    return p.run(_two_files(spark, sf_dir), names=["s"], relational=True)
+
+
 def _operand_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region")
     return Program('{ print x ":" $2 ":" y }').run(["x=1", n, "x=two", "y=5", r], names=["s"], relational=True)
@@ -467,6 +473,7 @@ for _name, _run, _sql in (
     ("file_operands", _file_operands, "SELECT n_nationkey + 1 || ':' || n_nationkey + 1 || ':' || n_name || ':0' AS s FROM nation UNION ALL SELECT r_regionkey + 26 || ':' || r_regionkey + 1 || ':' || r_name || ':1' FROM region"),
     ("nextfile", _nextfile, "SELECT n_nationkey + 1 || ':' || n_name AS s FROM nation WHERE n_nationkey < 3 UNION ALL SELECT r_regionkey + 1 || ':' || r_name FROM region WHERE r_regionkey < 3"),
     ("between_files", _between_files, "SELECT '25:25:25' AS s UNION ALL SELECT '5:5:30'"),
+    ("file_folds", _file_folds, "SELECT count(*) || ':' || sum(length(v)) || ':' || max(length(v)) AS s FROM (SELECT string_split(n_name, ' ')[1] AS v FROM nation) UNION ALL SELECT count(*) || ':' || sum(length(v)) || ':' || max(length(v)) FROM (SELECT string_split(r_name, ' ')[1] AS v FROM region)"),
     ("operand_assignments", _operand_assignments, "SELECT '1:' || n_name || ':' AS s FROM nation UNION ALL SELECT 'two:' || r_name || ':5' FROM region"),
     ("slurped_lookup", _slurped, "SELECT o_orderkey || ':' || c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey"),
     ("one_byte_rs", _one_byte_rs, r"SELECT count(*) AS n, sum(len(list_filter(string_split_regex(v, '[ \t\n]+'), lambda x: x <> '')))::BIGINT AS words, count(*) FILTER (length(v) > 50) AS long FROM (SELECT unnest(string_split(regexp_replace(text, '[.]$', ''), '.')) AS v FROM documents WHERE text <> '')"),

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from recordflow.lang.nodes import Assign, Binary, Call, Delete, ForIn, Getline, Index, Print, ProgramError, Step, Tree, Var, walk
 from recordflow.operators.ordered import Running, with_running
 from recordflow.plans.columns import Columns
+from recordflow.plans.files import by_file
 from recordflow.plans.symbolic import Frame, Output, Symbolic, Update
 from recordflow.plans.symbols import ONE, UNSET, ZERO, NotRelational, V, both, cond, inside, is_const, negated, num, states, substituted, truth
 from recordflow.runtime.evaluator import Evaluator
@@ -125,11 +126,11 @@ class Lowered:
 
 class Lowering:
     def __init__(self, tree: Tree, options: dict, spark: SparkSession):
+        if any(r.kind in ("BEGINFILE", "ENDFILE") for r in tree.rules):
+            tree = by_file(tree)
         self.tree, self.options, self.spark = tree, options, spark
         self.main = [r for r in tree.rules if r.kind in ("always", "when", "range")]
         self.ends = [r for r in tree.rules if r.kind == "END"]
-        if any(r.kind in ("BEGINFILE", "ENDFILE") for r in tree.rules):
-            raise NotRelational("work between files")
         self.begin_lines: list[str] = []
         begin = Tree([r for r in tree.rules if r.kind == "BEGIN"], tree.functions)
         self.evaluator = Evaluator(begin, fs=options.get("fs"), csv=options.get("csv", False), variables=options.get("vars", ()), environ=options.get("environ"), arguments=options.get("arguments", ()), write=self.begin_lines.append, shell=options.get("shell", False))

@@ -105,3 +105,17 @@ def test_records_by_themselves(spark, program):
     df = from_strings(spark, records).drop("rt")
     assert p.lines(df.repartition(3)) == "".join(out).split("\n")[:-1]
     assert (p.lowered.tier == "1p") == (program in OWN), p.explain()
+
+
+@pytest.mark.parametrize("program,relational", [
+    ("BEGINFILE { n = 0 } { n += $2 } ENDFILE { print FNR, n }", True), ('BEGINFILE { m = 0; s = "" } $2 + 0 > m { m = $2 + 0 } /k1/ { s = s $1 } ENDFILE { print FILENAME, m, s }', True),
+    ("{ n += $2 } ENDFILE { print n }", False), ("BEGINFILE { n = 0 } { n++ } ENDFILE { print NR, n }", False), ("BEGINFILE { n = 5 } { n++ } ENDFILE { print n }", False), ("BEGINFILE { n = 0 } { a[$1]++; n++ } ENDFILE { print n, length(a) }", False),
+])
+def test_files(spark, program, relational):
+    texts = {f"f{i}": lines(20 + i, i) for i in range(3)}
+    out = []
+    Program(program).run_local([(name, "".join(r + "\n" for r in rows)) for name, rows in texts.items()], out.append)
+    df = spark.createDataFrame([(i, name, k, r) for i, (name, rows) in enumerate(texts.items()) for k, r in enumerate(rows)], "__src int, __file string, __pos long, value string")
+    p = Program(program)
+    assert sorted(p.lines(df)) == sorted("".join(out).split("\n")[:-1])
+    assert (p.lowered.tier != "4") == relational, p.explain()
