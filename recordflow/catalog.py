@@ -474,7 +474,7 @@ for _name, _run, _sql in (
     ("nextfile", _nextfile, "SELECT n_nationkey + 1 || ':' || n_name AS s FROM nation WHERE n_nationkey < 3 UNION ALL SELECT r_regionkey + 1 || ':' || r_name FROM region WHERE r_regionkey < 3"),
     ("between_files", _between_files, "SELECT '25:25:25' AS s UNION ALL SELECT '5:5:30'"),
     ("file_folds", _file_folds, "SELECT count(*) || ':' || sum(length(v)) || ':' || max(length(v)) AS s FROM (SELECT string_split(n_name, ' ')[1] AS v FROM nation) UNION ALL SELECT count(*) || ':' || sum(length(v)) || ':' || max(length(v)) FROM (SELECT string_split(r_name, ' ')[1] AS v FROM region)"),
-    ("operand_assignments", _operand_assignments, "SELECT '1:' || n_name || ':' AS s FROM nation UNION ALL SELECT 'two:' || r_name || ':5' FROM region"),
+    ("assigned_operands", _operand_assignments, "SELECT '1:' || n_name || ':' AS s FROM nation UNION ALL SELECT 'two:' || r_name || ':5' FROM region"),
     ("slurped_lookup", _slurped, "SELECT o_orderkey || ':' || c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey"),
     ("one_byte_rs", _one_byte_rs, r"SELECT count(*) AS n, sum(len(list_filter(string_split_regex(v, '[ \t\n]+'), lambda x: x <> '')))::BIGINT AS words, count(*) FILTER (length(v) > 50) AS long FROM (SELECT unnest(string_split(regexp_replace(text, '[.]$', ''), '.')) AS v FROM documents WHERE text <> '')"),
     ("record_terminators", _rt, "SELECT rt, count(*) AS n FROM (SELECT coalesce(ends[i], '') AS rt FROM (SELECT ends, unnest(range(1, len(parts) + 1 - (parts[-1] = '')::INT)) AS i FROM (SELECT regexp_extract_all(text, '[.,]+') AS ends, string_split_regex(text, '[.,]+') AS parts FROM documents WHERE text <> ''))) GROUP BY 1"),
