@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.llm.graphs import components
-from recordflow.llm.shared import among, settle
+from recordflow.llm.shared import among, scratch, settle, trim
 
 WORDS, BANDS, ROWS, MISS = 5, 32, 4, 1e-6
 #: Similarity that links, as a fraction.
@@ -129,6 +129,7 @@ def competing(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        trim()
         n, one, two, sig = [], [], [], []
         for t in b.column(1).to_pylist():
             s = shingles(t)
@@ -151,6 +152,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of texts in the order of their ids, repeated ones once."""
     last, seen = None, set()
     for b in batches:
+        trim()
         out: list[tuple] = []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if i != last:
@@ -264,6 +266,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and columns carried; one row per row of docs."""
+    with scratch(docs.sparkSession) as kept:
+        return _near_duplicates(docs, id_col, text_col, carried, kept)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...], still_read: list) -> DataFrame:
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried)
     rows = docs.mapInArrow(_sketches, f"doc_id long, n_shingles long, k1 long, k2 long, sig binary{kinds}")
@@ -309,6 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.hint("merge").join(facts, ["rep", "k1"])
     links = links.unionAll(found.hint("merge").join(sets, ["rep", "k1"]).groupBy("bucket", "i", "j").applyInArrow(_forest, "a long, b long").distinct())
     comps = settle(components(links))
+    still_read += [rows, classes, comps]
     named = classes.hint("merge").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "least", "first", F.coalesce("component", "rep").alias("component"))
     first = F.lit(None).cast("long").alias("first")
     if without:  # components are named by ids only

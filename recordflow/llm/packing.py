@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordflow.llm.shared import trim
 
 ENDS = r"[.!?…\n]\z"
 #: Letters and these marks are parts of their own to the tokenizer's split.
@@ -288,6 +289,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4096, st
 
         for batch in batches:
             for part in parts_of(batch, 8_000_000):
+                trim()
                 for d, (ids, ends) in zip(part.column(0).to_pylist(), words.texts(part.column(1)), strict=True):
                     stream.add(d, ids + end, ends)
                     rows.extend(stream.settle(False))

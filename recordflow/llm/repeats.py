@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.llm.minhash import _BYTE, Powers, mixed
-from recordflow.llm.shared import settle
+from recordflow.llm.shared import settle, trim
 
 LENGTH, GRAM = 50, 20
 SHARD = 2_000_000
@@ -163,6 +163,7 @@ def _announce(n_buckets: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
         for b in batches:
+            trim()
             ids = _ids(b.column(0))
             for first, texts in groups_of(b.column(1), 1_000_000):
                 s = Slices(texts)
@@ -214,6 +215,7 @@ def _answers(n_groups: int):
     """Of the slices of a bucket: copies and those to be compared."""
 
     def run(group: pa.Table) -> pa.Table:
+        trim()
         bucket = group.column("bucket")[0].as_py()
         a, c, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         crowded, rows = [np.zeros(0, np.uint64)], []
@@ -353,6 +355,7 @@ def _compared(n_buckets: int):
     that other groups want go out under the bucket -1 - group."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         out: dict[int, list[tuple]] = {}
         known = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         needed, crowded = ((_told(answers, (k,)) for k in (NEEDED, CROWDED)) if answers.num_rows else (None, None))
@@ -554,6 +557,7 @@ def repeated_strings(sizes: np.ndarray, raw: np.ndarray, docs: np.ndarray, shard
 
 def _resolved(n_groups: int, shard: int):
     def run(group: pa.Table) -> pa.Table:
+        trim()
         bucket = group.column("bucket")[0].as_py()
         every = group.to_pylist()
         rows = [x for x in every if x["d"]]
@@ -590,6 +594,7 @@ def _stripped(keep_text: bool):
     """The rows of a group with what went from each text."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         ids = _ids(docs.column("doc_id"))
         told, copied, witness = (np.zeros(0, np.int64),) * 3, (np.zeros(0, np.int64),) * 3, {}
         if answers.num_rows:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Tables that were settled and not removed yet.
+_made: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends
     there, and a lost executor costs nothing that came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    _made.append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list]:
+    """Tables that are settled inside are removed at the end, when nothing reads them any
+    more, but for those put in the list: what the result is still read from."""
+    first, kept = len(_made), []
+    try:
+        yield kept
+    finally:
+        paths = {df.settled_at for df in kept}
+        for path in _made[first:]:
+            if path not in paths:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _made[first:] = [p for p in _made[first:] if p in paths]
 
 
 def lower_ascii(c: Column) -> Column:
@@ -47,6 +74,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and what its
+    allocators keep is taken from other workers of the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc's
+except (OSError, AttributeError):
+    _trim = None
+
+
 class Recent(dict):
     """A dictionary of bounded size: at ``limit`` entries what is new becomes old, and
     the old goes; what ``missing`` finds among the old is new again."""

@@ -304,3 +304,14 @@ def test_equal_hashes_are_not_trusted():
     assert len(repeats._witnesses(pa.Table.from_pylist(rows[:1]))) == 1
     with pytest.raises(RuntimeError, match="hash"):
         repeats._witnesses(pa.Table.from_pylist(rows))
+
+
+def test_tables_between_steps_are_removed(table, spark):
+    from recordflow.llm import shared
+
+    before = set(shared._made)
+    df = minhash.near_duplicates(table(variants()))
+    left = set(shared._made) - before
+    assert len(left) == 3  # what the result is read from
+    assert df.count() == df.count() > 0
+    assert graphs.components(spark.createDataFrame([(1, 2)], "a long, b long")).count() == 2
