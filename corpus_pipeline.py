@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordflow.llm import minhash, packing, repeats, toxicity
-from recordflow.llm.shared import settle, table
+from recordflow.llm.shared import scratch, settle, table
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables between stages, and those that a stage has made for itself, are removed when
+    the next one's result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = settle(docs)
-    return docs
+    with scratch(spark) as kept:
+        for _, stage in STAGES[:-1]:
+            with scratch(spark) as still_read:
+                docs = settle(stage(spark, docs, sf_dir))
+                still_read.append(docs)
+        kept.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
