@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.llm.minhash import _BYTE, Powers, mixed
-from recordflow.llm.shared import settle, trim
+from recordflow.llm.shared import forget, settle, trim
 
 LENGTH, GRAM = 50, 20
 SHARD = 2_000_000
@@ -648,9 +648,11 @@ def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFra
     n_groups = n_buckets + 1
     announced = docs.select("doc_id", "text").mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
     answers = settle(announced.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
+    forget(docs.sparkSession)
     grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(tasks, "g")
     asked = answers.filter(F.col("kind").isin(NEEDED, CROWDED, WANTED))
     cut = settle(_with_answers(grouped.select("doc_id", "text", "g"), asked, tasks).applyInArrow(_compared(n_buckets), SENT))
+    forget(docs.sparkSession)
     found = cut.filter("bucket >= 0").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
     bytes_ = cut.filter("bucket < 0").select((-1 - F.col("bucket")).alias("g"), "bucket", F.lit(WITNESS).alias("kind"), F.col("a").alias("d"), "c", F.col("n").alias("m"), "b")
     return grouped, answers.filter(F.col("kind").isin(COPIED, KNOWN)).unionAll(found).unionAll(bytes_), tasks
