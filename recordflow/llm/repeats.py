@@ -23,8 +23,9 @@ shards, so texts are cut first where equal strings are cut alike:
 4. What goes is sent back to the documents' own groups.
 
 Hashes only choose what is compared: a copy is known by 40 + 48 bits besides its bucket, and
-then compared with the first one's bytes, which are sent to each group that has copies, once;
-if two different slices ever had one hash, the job would fail and say so. Slices, not documents, are dealt out: a passage in a third of all
+then compared with the first one: in a batch by its bytes, else by a cryptographic digest of
+128 bits, which is sent to each group that has copies, once. If two different slices ever had
+one hash, the job would fail and say so. Slices, not documents, are dealt out: a passage in a third of all
 documents is, but for its ends, one slice hash in each.
 
 Cases: null texts are empty, lose nothing and stay null, nor do texts of fewer than 50 bytes; a null
@@ -118,6 +119,10 @@ class Slices:
         if (self.count[x] != self.count[y]).any() or (self.raw[np.repeat(self.start[x], size) + within] != self.raw[np.repeat(self.start[y], size) + within]).any():
             raise RuntimeError(COLLISION)
 
+    def digest(self, i: int) -> bytes:
+        """128 bits of a cryptographic hash of a slice's bytes."""
+        return hashlib.blake2b(self.bytes_of(i), digest_size=16).digest()
+
     def bytes_of(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.start[i] + self.count[i] + LENGTH - 1].tobytes()
 
@@ -206,8 +211,8 @@ def _announce(n_buckets: int, crowd: int):
 
 ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary, b binary"
 #: Kinds of answers: to be compared; copies by their hashes; strings found; of crowded anchors,
-#: to be compared; copies that have been verified; slices whose bytes other groups (m) want;
-#: such bytes (d: anchors, m: sizes).
+#: to be compared; copies that have been verified; slices whose digests other groups (m)
+#: want; such digests (b; d: anchors, m: sizes).
 NEEDED, COPIED, FOUND, CROWDED, KNOWN, WANTED, WITNESS = range(7)
 
 
@@ -253,7 +258,7 @@ def _answers(n_groups: int):
         crowd |= kinds > MOST
         for kind, take in ((COPIED, copy), (NEEDED, need & ~crowd), (CROWDED, need & crowd)):
             rows.extend(_by_group(kind, n_groups, d[take], c[take], None))
-        # the first one's bytes go to every group that has copies
+        # the first one's digest goes to every group that has copies
         wants = np.unique(np.stack([of_c[copy], np.mod(d[copy], n_groups)]), axis=1)
         rows.extend(_by_group(WANTED, n_groups, d[new_c][wants[0]], c[new_c][wants[0]], wants[1]))
         return _answer(rows, bucket)
@@ -309,7 +314,7 @@ def _wanted(answers: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray]:
 
 
 def _witnesses(answers: pa.Table) -> dict[tuple[int, int], bytes]:
-    """By anchor and slice: the bytes of the first document's slice."""
+    """By anchor and slice: the digest of the first document's slice."""
     out = {}
     for x in answers.select(["kind", "d", "c", "m", "b"]).to_pylist():
         if x["kind"] == WITNESS:
@@ -351,7 +356,7 @@ SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary
 
 def _compared(n_buckets: int):
     """What is to be compared of a group's texts, by bucket: slices by their anchors, of
-    crowded anchors single strings (number k of their slice) by their own hashes. Bytes
+    crowded anchors single strings (number k of their slice) by their own hashes. Digests
     that other groups want go out under the bucket -1 - group."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -373,7 +378,7 @@ def _compared(n_buckets: int):
                 which, number = _matched(s, of, wanted)
                 for k, i in dict(zip(number.tolist(), which.tolist(), strict=True)).items():
                     for g in targets[begin[k] : begin[k + 1]].tolist():
-                        wits.setdefault(g, []).append((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]), s.bytes_of(i)))
+                        wits.setdefault(g, []).append((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]), s.digest(i)))
                 which = _matched(s, of, crowded)[0]
                 if not len(which):
                     continue
@@ -607,7 +612,7 @@ def _stripped(keep_text: bool):
             if some:
                 s = Slices(some)
                 for i in _matched(s, ids[first : first + len(texts)][hit], copied)[0].tolist():
-                    if witness.get((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]))) != s.bytes_of(i):
+                    if witness.get((int(s.anchor[i] >> np.uint64(24)), int(s.content[i]))) != s.digest(i):
                         raise RuntimeError(COLLISION)
                 gone = _gone(s, *_matched(s, ids[first : first + len(texts)][hit], told)) if len(s.start) else np.zeros(len(s.raw), bool)
                 at = iter(zip(s.begin.tolist(), map(len, some), strict=True))
