@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.llm.minhash import _BYTE, Powers, mixed
-from recordflow.llm.shared import forget, settle, trim
+from recordflow.llm.shared import settle, trim
 
 LENGTH, GRAM = 50, 20
 SHARD = 2_000_000
@@ -209,10 +209,10 @@ def _announce(n_buckets: int, crowd: int):
     return run
 
 
-ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary, b binary"
+ANSWER = "g long, bucket long, kind int, d binary, c binary, m binary"
 #: Kinds of answers: to be compared; copies by their hashes; strings found; of crowded anchors,
 #: to be compared; copies that have been verified; slices whose digests other groups (m)
-#: want; such digests (b; d: anchors, m: sizes).
+#: want; such digests (m; d: anchors).
 NEEDED, COPIED, FOUND, CROWDED, KNOWN, WANTED, WITNESS = range(7)
 
 
@@ -277,7 +277,7 @@ def _by_group(kind: int, n_groups: int, d: np.ndarray, c: np.ndarray, m: np.ndar
 
 def _answer(rows: list[tuple], bucket: int) -> pa.Table:
     g, kind, d, c, m = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(g), pa.int64()), "kind": pa.array(kind, pa.int32()), "d": pa.array(d, pa.binary()), "c": pa.array(c, pa.binary()), "m": pa.array(m, pa.binary()), "b": pa.array([b""] * len(g), pa.binary())})
+    return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(g), pa.int64()), "kind": pa.array(kind, pa.int32()), "d": pa.array(d, pa.binary()), "c": pa.array(c, pa.binary()), "m": pa.array(m, pa.binary())})
 
 
 def _told(answers: pa.Table, kinds: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,11 +316,11 @@ def _wanted(answers: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray]:
 def _witnesses(answers: pa.Table) -> dict[tuple[int, int], bytes]:
     """By anchor and slice: the digest of the first document's slice."""
     out = {}
-    for x in answers.select(["kind", "d", "c", "m", "b"]).to_pylist():
+    for x in answers.select(["kind", "d", "c", "m"]).to_pylist():
         if x["kind"] == WITNESS:
-            end = np.cumsum(np.frombuffer(x["m"], np.uint8).astype(np.int64))
-            for a, c, lo, hi in zip(_uncut(x["d"], 5).tolist(), _uncut(x["c"], 6).tolist(), [0, *end[:-1].tolist()], end.tolist(), strict=True):
-                if out.setdefault((a, c), x["b"][lo:hi]) != x["b"][lo:hi]:
+            for k, at in enumerate(zip(_uncut(x["d"], 5).tolist(), _uncut(x["c"], 6).tolist(), strict=True)):
+                told = x["m"][16 * k : 16 * k + 16]
+                if out.setdefault(at, told) != told:
                     raise RuntimeError(COLLISION)
     return out
 
@@ -351,13 +351,13 @@ def _matched(s: Slices, docs: np.ndarray, told: tuple) -> tuple[np.ndarray, np.n
     return which[ok], m[k[ok]]
 
 
-SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary, kc binary, km binary, a binary"
+SENT = "bucket long, d binary, c binary, n binary, k binary, b binary, kd binary, kc binary, km binary, a binary, to long"
 
 
 def _compared(n_buckets: int):
     """What is to be compared of a group's texts, by bucket: slices by their anchors, of
     crowded anchors single strings (number k of their slice) by their own hashes. Digests
-    that other groups want go out under the bucket -1 - group."""
+    that other groups want go through any bucket, with the group in ``to``."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         trim()
@@ -400,15 +400,15 @@ def _compared(n_buckets: int):
         rows = []
         for bucket, x in out.items():
             d, c, k, b = zip(*x, strict=True)
-            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), np.array(k, np.uint8).tobytes(), b"".join(b), b"", b"", b"", b""))
+            rows.append((bucket, np.array(d, "<i8").tobytes(), _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), np.array(k, np.uint8).tobytes(), b"".join(b), b"", b"", b"", b"", -1))
         for g, x in wits.items():
             a, c, b = zip(*x, strict=True)
-            rows.append((-1 - g, b"", _cut(np.array(c, np.uint64), 6).tobytes(), np.array([len(y) for y in b], np.uint8).tobytes(), b"", b"".join(b), b"", b"", b"", _cut(np.array(a, np.uint64), 5).tobytes()))
+            rows.append((g % n_buckets, b"", _cut(np.array(c, np.uint64), 6).tobytes(), b"", b"", b"".join(b), b"", b"", b"", _cut(np.array(a, np.uint64), 5).tobytes(), g))
         d, c, m = (np.concatenate(x) for x in zip(*known, strict=True))
         if len(d):
-            rows.append((int(d[0]) % n_buckets, b"", b"", b"", b"", b"", d.astype("<i8").tobytes(), _cut(c, 6).tobytes(), m.astype("<u8").tobytes(), b""))
-        buckets, *blobs = zip(*rows, strict=True) if rows else ((),) * 10
-        return pa.table([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], [x.split()[0] for x in SENT.split(", ")])
+            rows.append((int(d[0]) % n_buckets, b"", b"", b"", b"", b"", d.astype("<i8").tobytes(), _cut(c, 6).tobytes(), m.astype("<u8").tobytes(), b"", -1))
+        buckets, *blobs, to = zip(*rows, strict=True) if rows else ((),) * 11
+        return pa.table([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs], pa.array(to, pa.int64())], [x.split()[0] for x in SENT.split(", ")])
 
     return run
 
@@ -575,6 +575,8 @@ def _resolved(n_groups: int, shard: int):
             hit = masks > 0
             out = _by_group(FOUND, n_groups, d[hit], c[hit], masks[hit])
         for x in every:
+            if x["to"] >= 0:
+                out.append((x["to"], WITNESS, x["a"], x["c"], x["b"]))
             if x["kd"]:
                 out.extend(_by_group(FOUND, n_groups, np.frombuffer(x["kd"], "<i8"), _uncut(x["kc"], 6), np.frombuffer(x["km"], "<u8")))
         return _answer(out, bucket)
@@ -653,14 +655,11 @@ def _sought(docs: DataFrame, shard: int, crowd: int) -> tuple[DataFrame, DataFra
     n_groups = n_buckets + 1
     announced = docs.select("doc_id", "text").mapInArrow(_announce(n_buckets, crowd), ANNOUNCED)
     answers = settle(announced.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(n_groups), ANSWER))
-    forget(docs.sparkSession)
     grouped = docs.withColumn("g", F.pmod(F.coalesce("doc_id", F.lit(int(LAST))), F.lit(n_groups))).repartition(tasks, "g")
     asked = answers.filter(F.col("kind").isin(NEEDED, CROWDED, WANTED))
-    cut = settle(_with_answers(grouped.select("doc_id", "text", "g"), asked, tasks).applyInArrow(_compared(n_buckets), SENT))
-    forget(docs.sparkSession)
-    found = cut.filter("bucket >= 0").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
-    bytes_ = cut.filter("bucket < 0").select((-1 - F.col("bucket")).alias("g"), "bucket", F.lit(WITNESS).alias("kind"), F.col("a").alias("d"), "c", F.col("n").alias("m"), "b")
-    return grouped, answers.filter(F.col("kind").isin(COPIED, KNOWN)).unionAll(found).unionAll(bytes_), tasks
+    cut = _with_answers(grouped.select("doc_id", "text", "g"), asked, tasks).applyInArrow(_compared(n_buckets), SENT)
+    found = cut.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_resolved(n_groups, shard), ANSWER)
+    return grouped, answers.filter(F.col("kind").isin(COPIED, KNOWN)).unionAll(found), tasks
 
 
 def _with_answers(grouped: DataFrame, answers: DataFrame, tasks: int):

@@ -49,12 +49,6 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(spark: SparkSession) -> None:
-    """Let the driver's collector find plans that are done with: Spark then removes their
-    shuffle files, which else stay until the driver's memory is full."""
-    spark._jvm.System.gc()
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list]:
     """Tables that are settled inside are removed at the end, when nothing reads them any
